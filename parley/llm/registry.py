@@ -1,16 +1,24 @@
-"""The queries of this subpackage; the pipeline's stages are in corpus_pipeline.py."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
-from parley.llm import chat_format, license_scan
+from parley.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, neighbours, recompression, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_dedup": simhash.query,
+        "op2_line_dedup": line_dedup.query,
+        "op3_mix_sources": mixing.query,
+        "op4_recompression_dedup": recompression.query,
         "op5_license_scan": license_scan.query,
+        "op6_suffix_dedup": suffix_dedup.query,
+        "op7_language_id": language_id.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_chat_format": chat_format.query,
+        "op10_nearest_neighbours": neighbours.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": chat_format.SQL}
+    return {"op4_recompression_dedup": recompression.SQL, "op9_chat_format": chat_format.SQL}
