@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from parley.llm.common import table
 
@@ -17,40 +17,45 @@ DICTIONARY_BYTES = 65_536
 #: Bytes of one document that may enter a dictionary, so that it draws on many documents.
 PIECE_BYTES = 1_024
 #: A language is accepted if its code is shorter than the next one's by this share.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.002
 #: Languages that may be told apart.
 MAX_LANGUAGES = 512
-LEVEL = 3
-LETTER = regex.compile(r"\p{L}")
+LEVEL = 6
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def normal(text: str) -> bytes:
+    """Runs of letters, in lower case: what languages differ in."""
+    return " ".join(LETTERS.findall(text)).lower().encode()
 
 
 def learn(labelled: DataFrame, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """A raw-content dictionary per language, from a bounded sample of labelled rows.
 
     labelled: text, lang; rows where either is null or empty are skipped, a text is learned once however
-    often it is repeated. The texts of a language come in hash order until size bytes are
-    full; every executor sends at most the rows that fill a dictionary.
+    often it is repeated. Of each language the first text of each bin of a hash comes in, until size bytes are
+    full. The languages are told in order of their learned rows, the commonest first.
     """
     rows = labelled.select("lang", F.substring("text", 1, PIECE_BYTES).alias("piece")).where("lang is not null and length(piece) > 0")
-    # the hash spreads each language over bins: only the first rows of each bin can enter
     rows = rows.withColumn("h", F.xxhash64("piece", "lang"))
-    need = 4 * size // PIECE_BYTES
-    bins = W.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "piece")
-    rows = rows.withColumn("n", F.row_number().over(bins)).where(F.col("n") <= need)
-    few = rows.dropDuplicates(["lang", "h"]).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "piece"))).where(F.col("n") <= need)
-    texts: dict[str, list[str]] = {}
-    for r in few.orderBy("lang", "h", "piece").select("lang", "piece").collect():
-        texts.setdefault(r.lang, []).append(r.piece)
+    bins = F.pmod("h", F.lit(4 * size // PIECE_BYTES))
+    few = rows.groupBy("lang", bins.alias("bin")).agg(F.min(F.struct("h", "piece")).alias("least"), F.count("*").alias("n"))
+    got = few.limit(MAX_LANGUAGES * (4 * size // PIECE_BYTES) + 1).collect()
+    texts: dict[str, list] = {}
+    counts: dict[str, int] = {}
+    for r in sorted(got, key=lambda r: r.least):
+        texts.setdefault(r.lang, []).append(normal(r.least.piece))
+        counts[r.lang] = counts.get(r.lang, 0) + r.n
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return [(lang, "\n".join(p).encode()[:size]) for lang, p in sorted(texts.items())]
+    return [(lang, b" ".join(texts[lang])[:size]) for lang in sorted(texts, key=lambda x: (-counts[x], x))]
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Adds lang_pred, score, margin and accepted to documents.
 
-    Each whole text is compressed once with each language's dictionary; the shortest code wins, ties
-    go to the first language by code point. margin: the share by which the next code is longer;
+    The letters of each whole text are compressed once with each language's dictionary; the shortest code wins,
+    ties go to the language that comes first in the model. margin: the share by which the next code is longer;
     score: margin / (margin + min_margin), from 0 to 1. accepted is false where the margin
     is under min_margin. A text that is null, empty or without a letter gets und, score 0 and is not accepted, and so do
     all texts of a model without languages. Other columns stay as they are.
@@ -70,10 +75,10 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
             pred, score, margins, ok = [], [], [], []
             for value in batch.column("_text"):
                 text = value.as_py()
-                if not coders or not text or not LETTER.search(text):
+                raw = normal(text) if text else b""
+                if not coders or not any(map(str.isalpha, raw.decode())):
                     pred.append("und"), score.append(0.0), margins.append(0.0), ok.append(False)
                     continue
-                raw = " ".join(text.split()).encode()
                 sizes = np.array([len(c.compress(raw)) for c in coders], dtype=float)
                 order = np.argsort(sizes, kind="stable")
                 margin = 1.0 if len(order) == 1 else float(sizes[order[1]] / sizes[order[0]] - 1)

@@ -109,8 +109,8 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", weights:
     docs: doc_id, an array of the sources that hold the document (an element may be null: a source of its own),
     and its size in words. Adds pattern (the distinct sources, sorted), repeats and taken (repeats * size).
     Documents are aggregated by pattern; the flow gives each pattern its words; all its documents
-    are taken as many whole times as fit, and the rest is filled in a seeded hash order, so that each
-    pattern comes within one document of its share. Bins of that hash are summed first and only the
+    are taken as many whole times as fit, and the rest is filled in a seeded hash order; what then
+    lacks is made up from one document of each size class. Bins of that hash are summed first and only the
     bin where the share ends is sorted, so a source with a third of all rows needs no task of its own.
     A document whose array is null or empty is taken 0 times. Reruns agree; repeated rows
     share their hash and are ordered by size. An empty table gives no rows.
@@ -146,9 +146,23 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", weights:
     run = F.sum(size).over(W.partitionBy("pattern", "_bin").orderBy("_order", "doc_id", size).rowsBetween(W.unboundedPreceding, 0))
     inside = whole.where(border).withColumn("_run", run).withColumn("more", (F.col("_run") <= F.col("room")).cast("long")).drop("_run")
     outside = whole.where(~border).withColumn("more", (F.col("room") >= F.col("words")).cast("long"))
-    out = inside.unionByName(outside)
+    out = cut(inside.unionByName(outside))
+    # what the border left open: one document of each size class that fits, largest first
+    offer = out.where((F.col("more") == 0) & (F.col("base") < most) & (F.col(size) > 0))
+    offer = offer.groupBy("pattern", F.floor(4 * F.log2(size)).alias("_class")).agg(F.min(F.struct("_order", "doc_id", F.col(size).alias("size"))).alias("o"))
+    filled = out.groupBy("pattern").agg(F.sum(F.col("more") * F.col(size)).alias("got"))
+    lacking = {tuple(x.s for x in r.pattern): r.got for r in filled.limit(MAX_PATTERNS + 1).collect()}
+    rest = {tuple(s for (s,) in r[0]): r[2] - lacking.get(tuple(s for (s,) in r[0]), 0) for r in rows}
+    extra = []
+    for r in sorted(offer.limit(MAX_PATTERNS * 256).collect(), key=lambda r: -r._class):
+        p = tuple(x.s for x in r.pattern)
+        if r.o.size <= rest[p] and r.o.doc_id is not None:
+            rest[p] -= r.o.size
+            extra.append((r.pattern, r.o.doc_id))
+    extra = spark.createDataFrame(extra, out.select("pattern", "doc_id").schema).withColumn("_extra", F.lit(1))
+    out = out.join(extra, ["pattern", "doc_id"], "left").withColumn("more", F.col("more") + F.coalesce("_extra", F.lit(0)) * (F.col("more") == 0).cast("int"))
     repeats = F.least(F.lit(most), F.col("base") + F.col("more"))
-    return out.withColumn("repeats", repeats).withColumn("taken", (F.col("repeats") * F.col(size)).cast("long")).drop("_bin", "_order", "base", "room", "words", "more")
+    return out.withColumn("repeats", repeats).withColumn("taken", (F.col("repeats") * F.col(size)).cast("long")).drop("_bin", "_order", "_extra", "base", "room", "words", "more")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

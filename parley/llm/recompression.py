@@ -228,11 +228,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF w <> ''] AS ws FROM documents),
-w AS (SELECT doc_id, at, array_to_string(ws[at:at + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS at FROM d WHERE len(ws) >= 50)),
-f AS (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY s) AS least FROM w),
-g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 50)) AS gone FROM f WHERE least < doc_id),
-p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS at FROM d),
-k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY at) AS kept, count(*) AS n FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.at = g.gone GROUP BY doc_id)
+w AS (SELECT doc_id, pos, array_to_string(ws[pos:pos + 49], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS pos FROM d WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) AS least FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS gone FROM f WHERE least < doc_id),
+p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS kept, count(*) AS n FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.pos = g.gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
