@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import stream_queries
+from parley.plans import score_queries, stream_queries
 
-PARTS = [stream_queries]
+PARTS = [stream_queries, score_queries]
 
 
 def queries() -> dict:
