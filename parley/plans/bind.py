@@ -32,9 +32,9 @@ marks AS (SELECT *, CASE
   WINDOW hi AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
          lo AS (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 states AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) AS state FROM marks),
-turns AS (SELECT * FROM (SELECT session_id, frame_idx, state, lag(state, 1, 0) OVER (PARTITION BY session_id ORDER BY frame_idx) AS before,
+flips AS (SELECT * FROM (SELECT session_id, frame_idx, state, lag(state, 1, 0) OVER (PARTITION BY session_id ORDER BY frame_idx) AS before,
   count(*) OVER (PARTITION BY session_id) AS total FROM states) WHERE state <> before),
-bounds AS (SELECT *, lag(frame_idx) OVER w AS closed, lead(frame_idx) OVER w AS ended FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),
+bounds AS (SELECT *, lag(frame_idx) OVER w AS closed, lead(frame_idx) OVER w AS ended FROM flips WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),
 segments AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY frame_idx) - 1 AS segment_idx,
   frame_idx - least(2, frame_idx - coalesce(closed, 0)) AS start_frame, coalesce(ended, total) AS end_frame, ended IS NULL AS open_at_end
   FROM bounds WHERE state = 1)"""
