@@ -139,8 +139,7 @@ def _stretches(width: int, rounds: int):
                 at = np.where(p >= 0, parse.start[p], w)
                 key = mix(spans(sums, lo, hi) + (at - lo).astype(np.uint64))
                 variant = mix(spans(sums, w, w + n - 1 + width) + (at - w).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-                ids = rows.column("doc_id").take(pa.array(doc[w]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(variant.view(np.int64)), ids, pa.array(w - first[doc[w]]), pa.array(n)], names=["key", "variant", "doc_id", "start", "n"])
+                yield repeats.chains(key, variant, rows.column("doc_id"), doc[w], w - first[doc[w]], n, width)
 
     return run
 
@@ -163,7 +162,8 @@ def _windows(width: int):
                 at, n, flat = at[good], n[good], flat.filter(pa.array(good))
                 w, which = ranges(at, n), np.repeat(np.arange(len(at)), n)
                 take = pa.array(which)
-                yield pa.RecordBatch.from_arrays([flat.field("key").take(take), flat.field("variant").take(take), pa.array(w - at[which]), pa.array(spans(sums, w, w + width).view(np.int64))], names=["key", "variant", "i", "content"])
+                cols = [flat.field("key").take(take), flat.field("variant").take(take), rows.column("doc_id").take(pa.array(doc[good][which]))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(w - at[which]), pa.array(spans(sums, w, w + width).view(np.int64))], names=["key", "variant", "least", "i", "content"])
 
     return run
 
@@ -181,14 +181,14 @@ def repeated_words(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -
     """
     own = docs.select("doc_id", "text").where("doc_id is not null")
     found = repeats.repeated(own.mapInArrow(_stretches(width, rounds), repeats.STRETCH), across=True)
-    alike = found.where("not many and doc_id > first.doc_id").select("doc_id", "start", (F.col("start") + F.col("n") - 1 + width).alias("stop"))
-    texts = own.join(repeats.asked(found), "doc_id").select("text", "asked")
-    windows = texts.mapInArrow(_windows(width), "key long, variant long, i long, content long").distinct()
-    least = found.where("many").groupBy("key", "variant").agg(F.min("doc_id").alias("least"))
-    windows = windows.join(least, ["key", "variant"]).withColumn("least", F.min("least").over(W.partitionBy("key", "content")))
+    alike = found.where("not many and doc_id > first.doc_id").select("doc_id", "start", (F.col("last") + F.col("n") - 1 + width).alias("stop"))
+    # each variant is read where it stands first, so that its least document is the one it is read from
+    texts = own.join(repeats.asked(found), "doc_id").select("doc_id", "text", "asked")
+    windows = texts.mapInArrow(_windows(width), "key long, variant long, least long, i long, content long")
+    windows = windows.withColumn("least", F.min("least").over(W.partitionBy("key", "content")))
     per = windows.groupBy("key", "variant").agg(F.collect_list(F.struct("i", "least")).alias("seen"))
-    mixed = found.where("many").join(per, ["key", "variant"]).select("doc_id", "start", F.explode("seen").alias("w")).where("w.least < doc_id")
-    mixed = mixed.select("doc_id", (F.col("start") + F.col("w.i")).alias("start"), (F.col("start") + F.col("w.i") + width).alias("stop"))
+    mixed = found.where("many").join(per, ["key", "variant"]).select("doc_id", "start", "last", F.explode("seen").alias("w")).where("w.least < doc_id")
+    mixed = mixed.select("doc_id", (F.col("start") + F.col("w.i")).alias("start"), (F.col("last") + F.col("w.i") + width).alias("stop"))
     return repeats.by_document(alike.unionByName(mixed))
 
 

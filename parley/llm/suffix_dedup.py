@@ -43,8 +43,7 @@ def _stretches(width: int, anchor: int):
                 n = np.diff(np.r_[first, len(w)])
                 w, doc, pick = w[first], doc[first], pick[first]
                 variant = mix(spans(sums, w, w + n - 1 + width) + (pick - w).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-                ids = rows.column("doc_id").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[pick].view(np.int64)), pa.array(variant.view(np.int64)), ids, pa.array(w - offsets[doc]), pa.array(n)], names=["key", "variant", "doc_id", "start", "n"])
+                yield repeats.chains(grams[pick], variant, rows.column("doc_id"), doc, w - offsets[doc], n, width)
 
     return run
 
@@ -195,8 +194,8 @@ def maximal_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, b
     `bucket` variants is split: its windows of width bytes are grouped in Spark, which gives the same covered bytes.
 
     Returns groups (key, grp, variant, offset, length: a variant's part of a group; least: the group's first
-    occurrence (doc_id, start)) and occurrences (key, variant, doc_id, start, n, first, many) of all
-    repeated stretches; a stretch with many = false is a group of its own, of n - 1 + width
+    occurrence (doc_id, start)) and occurrences (key, variant, doc_id, start, n, second, last, first,
+    many) of all repeated stretches, by chains; a stretch with many = false is a group of its own, of n - 1 + width
     bytes. A repeat longer than its stretch is continued by the neighbouring stretches. Rows of
     null doc_id are left out; null and short texts have no repeats; repeated rows are one occurrence.
     """
@@ -219,14 +218,14 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """(doc_id, spans): the bytes [start, stop) of each document in an occurrence of a maximal repeat that is not its first."""
     groups, found = maximal_repeats(docs, width, **options)
     place = F.struct("doc_id", "start")
-    alike = found.where(~F.col("many") & (place > F.col("first"))).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + width).alias("stop"))
-    # a variant's own later places repeat all of it
-    again = found.where(F.col("many") & (place > F.col("first"))).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + width).alias("stop"))
+    # all of a variant is repeated but its first place; of a chain that stands there, all but its first stretch
+    begin = F.when(place > F.col("first"), F.col("start")).when(F.col("last") > F.col("start"), F.col("second"))
+    again = found.select("doc_id", begin.alias("start"), (F.col("last") + F.col("n") - 1 + width).alias("stop")).where("start is not null")
     part = groups.groupBy("key", "variant").agg(F.collect_set(F.struct("offset", "length", "least")).alias("parts"))
     head = found.where(F.col("many") & (place <= F.col("first"))).join(part, ["key", "variant"]).select("doc_id", "start", F.explode("parts").alias("p"))
     head = head.where(F.struct("doc_id", (F.col("start") + F.col("p.offset")).alias("start")) > F.col("p.least"))
     head = head.select("doc_id", (F.col("start") + F.col("p.offset")).alias("start"), (F.col("start") + F.col("p.offset") + F.col("p.length")).alias("stop"))
-    return repeats.by_document(alike.unionByName(again).unionByName(head))
+    return repeats.by_document(again.unionByName(head))
 
 
 def remove_bytes(docs: DataFrame, found: DataFrame) -> DataFrame:
