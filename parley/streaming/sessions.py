@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from parley.config import DEFAULTS
+from parley.operators.voices import Matcher
 
 EVENTS = "session_id long, kind string, frame long"
 
@@ -27,20 +28,20 @@ class Hysteresis(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         high, low, is_open, closed, nxt = self.state.get() if self.state.exists() else (0, 0, False, 0, 0)
         out = []
-        part = pd.concat(list(rows)).sort_values("frame_idx")
+        part = pd.concat(list(rows)).sort_values("seq")
         ended = False
-        for frame, prob, end in zip(part["frame_idx"], part["prob"], part["ended"], strict=True):
+        for prob, end in zip(part["prob"], part["ended"], strict=True):
             if end:
                 ended = True
                 continue
             high, low = (high + 1 if prob >= self.threshold else 0), (low + 1 if prob < self.neg else 0)
-            nxt = int(frame) + 1
             if not is_open and high >= self.n_open:
                 is_open = True
-                out.append(("speech_start", int(frame) - min(self.pad, int(frame) - closed)))
+                out.append(("speech_start", nxt - min(self.pad, nxt - closed)))
             elif is_open and low >= self.n_close:
-                is_open, closed = False, int(frame)
-                out.append(("speech_end", int(frame)))
+                is_open, closed = False, nxt
+                out.append(("speech_end", nxt))
+            nxt += 1
         if ended:
             if is_open:
                 out.append(("speech_end", nxt))
@@ -55,16 +56,43 @@ class Hysteresis(StatefulProcessor):
 
 
 def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames) -> DataFrame:
-    """Segment events of a stream of frames (session_id, frame_idx, prob, ended), as segment_hysteresis gives them in batch.
+    """Segment events of a stream of frames (session_id, seq, prob, ended), as segment_hysteresis gives them in batch.
 
-    Frames of a session arrive in order; a row with ended closes what is open and forgets the session.
-    Needs the RocksDB state store.
+    Batches of a session arrive in order, and seq orders the rows of one; frames are counted from 0. A row with ended
+    closes what is open and forgets the session. Needs the RocksDB state store.
     """
     if neg > threshold:
         raise ValueError("neg must not be above threshold")
     return frames.groupBy("session_id").transformWithStateInPandas(Hysteresis(threshold, neg, n_open, n_close, pad), StructType.fromDDL(EVENTS), "Append", "None")
 
 
+class VoiceMatcher(StatefulProcessor):
+    """The state of one session: the centroids of its speakers, DEFAULTS.max_speakers at most."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("centroids", "centroids array<array<double>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        known = self.state.get()[0] if self.state.exists() else []
+        matcher = Matcher(**self.options, centroids=known)
+        part = pd.concat(list(rows)).sort_values("sentence_id")
+        got = [matcher.assign(v) for v in part["embedding"]]
+        self.state.update(([c.tolist() for c in matcher.centroids],))
+        yield pd.DataFrame({"session_id": key[0], "sentence_id": part["sentence_id"].to_numpy(), "label": [g[0] for g in got], "similarity": [g[1] for g in got], "is_new": [g[2] for g in got]})
+
+    def close(self) -> None:
+        pass
+
+
+def assign_voice_stream(voices: DataFrame, **options) -> DataFrame:
+    """assign_voices for a stream of (session_id, sentence_id, embedding)."""
+    own = voices.select("session_id", "sentence_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return own.groupBy("session_id").transformWithStateInPandas(VoiceMatcher(options), StructType.fromDDL("session_id long, sentence_id long, label string, similarity double, is_new boolean"), "Append", "None")
+
+
 def quiet_sessions(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds", ts: str = "ts") -> DataFrame:
     """(session_id, start, end, n): windows that close after a quiet gap, where no hysteresis is wanted."""
     own = events.withWatermark(ts, late).groupBy("session_id", F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
@@ -81,6 +109,19 @@ def hop_windows(frames: DataFrame, size: int, step: int, order: str = "frame_idx
     return own.groupBy(*keys, "window_idx").agg(F.count("*").alias("n"), F.avg(value).alias("level"))
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with timers and several columns needs this store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all its input so far into a table in the folder, and reads the table. A run that was cut short
+    goes on from the checkpoint beside it."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def answered_stream(finals: DataFrame, answers: DataFrame, within: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """Sentences with the answers that arrive within the time; none gives nulls. Both are streams with arrived_at."""
     f = finals.withWatermark("arrived_at", late).alias("f")

@@ -143,7 +143,7 @@ def test_voices(spark):
     assert {r.i: r.usable for r in vc.usable_voice(df).collect()} == {1: False, 2: False, 3: False, 4: False, 5: True}
     zero = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert zero.select(vc.cosine(C("a"), C("b")).alias("c")).first().c == 0.0
-    v = spark.createDataFrame([("s", i, x) for i, x in enumerate([[1.0, 0, 0], [0.9, 0.1, 0], [0, 1.0, 0], [0.0, 0.9, 0.1]])], "session_id string, sentence_id long, embedding array<double>")
+    v = spark.createDataFrame([("s", i, x) for i, x in enumerate([[1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.9, 0.1]])], "session_id string, sentence_id long, embedding array<double>")
     assert [r.label for r in vc.assign_voices(v, threshold=0.5).orderBy("sentence_id").collect()] == ["Speaker_01", "Speaker_01", "Speaker_02", "Speaker_02"]
     assert [r.sentence_id for r in vc.voice_changes(v, ["session_id"], "sentence_id").collect()] == [2]
 
@@ -193,9 +193,10 @@ def test_inference_errors_become_reasons(spark):
     df = spark.createDataFrame([("s", "a"), ("s", "bad")], "system_prompt string, user_prompt string").coalesce(1)
     got = {r.user_prompt: (r.raw, r.error) for r in an.infer(df, make).collect()}
     assert got == {"a": ("A", ""), "bad": (None, "RuntimeError: down")}
-    t = spark.createDataFrame([(1, "hello friend", "vi", "Hello, friend!"), (2, "other", "vi", "fine")], "id long, transcript string, lang_code string, raw string").withColumn("target", an.target_language(C("lang_code")))
-    out = {r.id: r for r in an.retry_echoes(an.judge_answer(t, "transcript", "target").withColumn("target", F.lit("xx")), lambda: lambda asks: ["プレーする"] * len(asks), ["id"]).collect()}
-    assert (out[1].retried, out[1].rescued, out[1].translation) == (True, True, "プレーする") or out[1].reason == "the answer is not written in ja"
+    t = spark.createDataFrame([(1, "hello friend", "ja", "Hello, friend!"), (2, "other", "ja", "fine"), (3, "hello", "ja", "hello")], "id long, transcript string, lang_code string, raw string").withColumn("target", an.target_language(C("lang_code")))
+    again = lambda: lambda asks: ["xin chào" if "friend" in u else "hello" for _, u in asks]
+    out = {r.id: (r.retried, r.rescued, r.translation, r.reason) for r in an.retry_echoes(an.judge_answer(t), again, ["id"]).collect()}
+    assert out == {1: (True, True, "xin chào", ""), 2: (False, False, "fine", ""), 3: (True, False, "", "the answer repeats the source")}
 
 
 def test_queue(spark):

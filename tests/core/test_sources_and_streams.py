@@ -7,6 +7,7 @@ import wave
 from pyspark.sql import functions as F
 
 from parley.operators import segments as sg
+from parley.operators import voices as vc
 from parley.sources import contract as ct
 from parley.sources import lists, sinks
 from parley.streaming import sessions as ss
@@ -52,10 +53,10 @@ def _batches(spark, rows, schema, cuts):
 
 
 def test_segment_stream_equals_batch(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ss.use_rocksdb(spark)
     rng = random.Random(4)
     rows = [(s, i, rng.choice([0.1, 0.3, 0.4, 0.6, 0.9]), False) for i in range(60) for s in range(5)] + [(s, 60, None, True) for s in range(5)]
-    schema = "session_id long, frame_idx long, prob double, ended boolean"
+    schema = "session_id long, seq long, prob double, ended boolean"
     path = _batches(spark, rows, schema, [70, 160, 200])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     q = ss.segment_stream(stream, n_open=2, n_close=3, pad=2).writeStream.format("memory").queryName("seg").outputMode("append").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start()
@@ -99,3 +100,16 @@ def test_answers_stream_joins_in_time(spark):
     q = ss.answered_stream(*s).writeStream.format("memory").queryName("joined").outputMode("append").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert ("x", 1) in {(r.translation, r.sentence_id) for r in spark.table("joined").collect()}
+
+
+def test_voice_stream_equals_batch(spark):
+    ss.use_rocksdb(spark)
+    rng = random.Random(8)
+    rows = [(s, i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(40) for s in range(3)]
+    schema = "session_id long, sentence_id long, embedding array<double>"
+    path = _batches(spark, rows, schema, [30, 31, 90])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    got = ss.drain(ss.assign_voice_stream(stream, threshold=0.4, most=6), tempfile.mkdtemp(prefix="spark-"))
+    want = vc.assign_voices(spark.createDataFrame(rows, schema), threshold=0.4, most=6)
+    key = lambda r: (r.session_id, r.sentence_id, r.label, round(r.similarity, 9), r.is_new)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
