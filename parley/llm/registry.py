@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_recompression_dedup": recompression.SQL, "op9_chat_format": chat_format.SQL}
+    return {"op4_recompression_dedup": recompression.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op9_chat_format": chat_format.SQL}
