@@ -297,3 +297,21 @@ SELECT *, same_min - other_max AS gap, (same_min + other_max) / 2 AS threshold F
     "label_purity": f"""WITH {VOICES}, p AS (SELECT DISTINCT session_id AS truth, label FROM v), n AS (SELECT label, count(*) AS n FROM p GROUP BY 1)
 SELECT truth, count(*) AS labels, count(*) FILTER (n > 1) AS shared FROM p JOIN n USING (label) GROUP BY 1""",
 }
+
+
+def _search_step(before: str, after: str) -> str:
+    """One step of the binary search over the languages of an utterance's windows."""
+    open_, mid = "outcome = 'split' AND hi - lo > 1", "(lo + hi) // 2"
+    return f"""{after} AS (SELECT * REPLACE (CASE WHEN {open_} AND l[{mid} + 1] = b THEN {mid} ELSE lo END AS lo, CASE WHEN {open_} AND l[{mid} + 1] <> b THEN {mid} ELSE hi END AS hi,
+  CASE WHEN {open_} THEN probes + 1 ELSE probes END AS probes) FROM {before})"""
+
+
+_BOUNDS = f"""WITH {LANG_SCORES}, g AS (SELECT session_id, seq // 100 AS utt, list(lang_code ORDER BY seq) AS l FROM decided GROUP BY 1, 2),
+o AS (SELECT *, len(l) AS n, l[1] AS b, l[len(l)] AS a, CASE WHEN len(l) < 2 THEN 'too_short' WHEN l[1] = '' OR l[len(l)] = '' THEN 'undecided' WHEN l[1] = l[len(l)] THEN 'one_language' ELSE 'split' END AS outcome FROM g),
+s0 AS (SELECT *, 1 AS lo, n - 1 AS hi, CASE WHEN outcome = 'too_short' THEN 0 ELSE 2 END AS probes FROM o), {_search_step("s0", "s1")}, {_search_step("s1", "s2")}, {_search_step("s2", "s3")},
+bd AS (SELECT session_id, utt, CASE WHEN outcome = 'split' THEN hi END AS at_window, CASE WHEN outcome IN ('split', 'one_language') THEN b ELSE '' END AS before, CASE WHEN outcome IN ('split', 'one_language') THEN a ELSE '' END AS after, probes, outcome FROM s3)"""
+SQL["language_boundary"] = f"{_BOUNDS} SELECT * FROM bd"
+SQL["split_stats"] = f"""{_BOUNDS} SELECT session_id, count(*) AS checked, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("split", "one_language", "undecided", "too_short"))}, CAST(sum(probes) AS BIGINT) AS probes FROM bd GROUP BY 1"""
+SQL["split_by_language"] = f"""{_BOUNDS}, u AS (SELECT *, utt * 10000.0::DOUBLE AS st, utt * 10000.0::DOUBLE + 5000 AS en, coalesce(at_window * 1000 >= 600 AND 5000 - at_window * 1000 >= 600, false) AS ok FROM bd)
+SELECT session_id, utt, 0 AS part, st AS start_ms, CASE WHEN ok THEN st + at_window * 1000 ELSE en END AS end_ms, before AS lang_code, false AS continues_previous FROM u
+UNION ALL SELECT session_id, utt, 1, st + at_window * 1000, en, after, false FROM u WHERE ok"""

@@ -264,3 +264,9 @@ from parley.plans.score_queries import LANG_SCORES  # noqa: E402
 SQL["confirm_language"] = f"""WITH {LANG_SCORES}, l AS (SELECT session_id, seq, CASE WHEN margin >= 0.5 AND lang_code <> '' THEN lang_code END AS l FROM decided),
 t AS (SELECT *, CASE WHEN l = lag(l) OVER (PARTITION BY session_id ORDER BY seq) THEN l END AS t FROM l)
 SELECT session_id, seq, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), '') AS confirmed FROM t"""
+
+_PARTS = "left(transcript, 40) AS a, substr(transcript, 1 + length(array_to_string(string_split(left(transcript, 40), ' ')[1:3], ' '))) AS b"
+SQL["join_without_repeats"] = f"""WITH {TURNS}, p AS (SELECT session_id, sentence_id, {_PARTS} FROM turns),
+w AS (SELECT session_id, sentence_id, regexp_split_to_array(trim(a), '\\s+') AS x, regexp_split_to_array(trim(b), '\\s+') AS y FROM p),
+n AS (SELECT *, coalesce(list_max([k FOR k IN range(1, 6) IF len(x) >= k AND len(y) >= k AND x[len(x) - k + 1:] = y[:k]]), 0) AS n FROM w)
+SELECT session_id, sentence_id, md5(array_to_string(list_concat(x, y[n + 1:]), ' ')) AS joined_md5 FROM n"""
