@@ -72,11 +72,14 @@ def judgeable(wall_s: Column, audio_s: Column, gaps_s: Column, limit_s: float =
 def check_session(utterances: DataFrame, finals: DataFrame, answers: DataFrame, key: str = "session_id", longest_ms: float = DEFAULTS.max_utterance_ms + 40) -> DataFrame:
     """(session, name, passed, failures): the invariants of a session, one row each."""
     by = W.partitionBy(key).orderBy("idx")
+    if "continues_previous" not in utterances.columns:
+        utterances = utterances.withColumn("continues_previous", F.lit(False))
     u = utterances.withColumns({"_i": F.row_number().over(by) - 1, "_e": F.lag("end_ms").over(by)})
     bad = lambda c: F.count(F.when(c, 1))
     first = u.groupBy(key).agg(
         bad(F.col("idx") != F.col("_i")).alias("indexes are consecutive"), bad(F.col("end_ms") - F.col("start_ms") > longest_ms).alias("no utterance is too long"),
         bad(F.col("start_ms") < F.col("_e")).alias("utterances do not overlap"), bad(F.col("end_ms") <= F.col("start_ms")).alias("utterances have length"),
+        bad(F.col("continues_previous") & (F.abs(F.col("start_ms") - F.col("_e")) >= 1)).alias("a continuation has no gap"),
     )
     said = finals.join(answers.select(key, "sentence_id", "translation", "reason"), [key, "sentence_id"], "left")
     text = F.coalesce(F.trim("translation"), F.lit("")) != ""
@@ -89,6 +92,21 @@ def check_session(utterances: DataFrame, finals: DataFrame, answers: DataFrame,
     return tall(first).unionByName(tall(second)).select(key, "c.name", (F.col("c.failures") == 0).alias("passed"), "c.failures")
 
 
+def check_events(events: DataFrame, utterances: DataFrame, partials: DataFrame, finals: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
+    """(session, name, passed, failures) of the log of events: starts and ends alternate and are as many, no end
+    without its utterance, and the first running text comes before the first committed one."""
+    by = W.partitionBy(key).orderBy("at_ms", "kind")
+    e = events.withColumn("_b", F.lag("kind").over(by))
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    turns = e.groupBy(key).agg(F.count(F.when(F.col("_b") == F.col("kind"), 1)).alias("alternate"), (n("speech_start") - n("speech_end")).alias("more_starts"), n("speech_end").alias("_ends"))
+    said = utterances.groupBy(key).agg(F.count("*").alias("_n"))
+    first = partials.groupBy(key).agg(F.min(order).alias("_p")).join(finals.groupBy(key).agg(F.min(order).alias("_f")), key, "full")
+    own = turns.join(said, key, "left").join(first, key, "left")
+    checks = {"starts and ends alternate": F.col("alternate"), "as many starts as ends": F.abs("more_starts"), "no end without an utterance": F.greatest(F.lit(0), F.col("_ends") - F.coalesce("_n", F.lit(0))), "running text comes first": F.coalesce((F.col("_p") >= F.col("_f")).cast("int"), F.lit(0))}
+    tall = own.select(key, F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("long").alias("failures")) for k, v in checks.items()))).alias("c"))
+    return tall.select(key, "c.name", (F.col("c.failures") == 0).alias("passed"), "c.failures")
+
+
 def check_partition(utterances: DataFrame, segments: DataFrame, frame_ms: float, key: str = "session_id") -> DataFrame:
     """(session, audio_ms, forwarded_ms, covered): utterances hold exactly the forwarded audio."""
     u = utterances.groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("audio_ms"))

@@ -86,6 +86,11 @@ def check_session(spark, d):
     return ql.check_session(u, turns(spark, d), t.where("sentence_id % 4 <> 2"), longest_ms=400.0)
 
 
+def check_events(spark, d):
+    t = frames(spark, d)
+    return ql.check_events(sq.segment_events(spark, d), sq.plain_utterances(spark, d), t.select("session_id", (F.col("frame_idx") + F.col("session_id") % 3).alias("seq")), t.where("prob > 0.5").select("session_id", F.col("frame_idx").alias("seq")))
+
+
 def check_partition(spark, d):
     return ql.check_partition(sq.utterances(spark, d), sq.segments(spark, d), 32.0)
 
@@ -197,7 +202,7 @@ def voice_stream(spark, d):
 QUERIES = {
     "segment_stream": segment_stream, "voice_stream": voice_stream,
     "stage_cost": stage_cost, "slow_items": slow_items, "circuit_breaker": circuit_breaker, "event_lag": event_lag, "corrected_lag": corrected_lag, "judgeable": judgeable,
-    "latency_report": latency, "partial_cadence": cadence, "sentence_gaps": sentence_gaps, "check_session": check_session, "check_partition": check_partition, "session_summary": session_summary,
+    "latency_report": latency, "partial_cadence": cadence, "sentence_gaps": sentence_gaps, "check_session": check_session, "check_events": check_events, "check_partition": check_partition, "session_summary": session_summary,
     "far_from_partial": far_from_partial, "update_survival": update_survival, "lost_turns": lost_turns, "near_block_list": near_blocks, "mixed_language": mixed_language,
     "text_artifacts": artifacts, "compare_runs": compare_runs, "agreed_prefix": agreed, "join_without_repeats": joined, "confirmed_corrections": confirmed,
     "confirm_language": confirm_language, "hop_windows": hops,
@@ -227,8 +232,14 @@ SELECT session_id, count(g) AS n, quantile_cont(g, 0.5) AS median_gap_s, min(g)
 a AS (SELECT session_id, count(*) FILTER (idx <> i) AS c1, count(*) FILTER (end_ms - start_ms > 400) AS c2, count(*) FILTER (start_ms < e) AS c3, count(*) FILTER (end_ms <= start_ms) AS c4 FROM u GROUP BY 1),
 b AS (SELECT session_id, count(*) FILTER (trim(transcript) = '') AS c1, count(*) FILTER (speaker_id IS NULL) AS c2, count(*) FILTER (sentence_id % 4 = 2) AS c3, count(*) FILTER (sentence_id % 4 = 2) AS c4,
   count(*) FILTER (sentence_id % 4 <> 2 AND reason = '' AND t = transcript) AS c5 FROM ans GROUP BY 1),
-x AS (SELECT session_id, unnest(['indexes are consecutive', 'no utterance is too long', 'utterances do not overlap', 'utterances have length']) AS name, unnest([c1, c2, c3, c4]) AS failures FROM a
+x AS (SELECT session_id, unnest(['indexes are consecutive', 'no utterance is too long', 'utterances do not overlap', 'utterances have length', 'a continuation has no gap']) AS name, unnest([c1, c2, c3, c4, 0]) AS failures FROM a
 UNION ALL SELECT session_id, unnest(['finals have text', 'finals have a speaker', 'finals are answered', 'no silent refusal', 'no answer is its source']), unnest([c1, c2, c3, c4, c5]) FROM b)
+SELECT session_id, name, failures = 0 AS passed, failures FROM x""",
+    "check_events": f"""WITH {sq._UTT}, e AS (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY at_ms, kind) AS b FROM seg_events),
+t AS (SELECT session_id, count(*) FILTER (b = kind) AS c1, abs(count(*) FILTER (kind = 'speech_start') - count(*) FILTER (kind = 'speech_end')) AS c2, count(*) FILTER (kind = 'speech_end') AS ends FROM e GROUP BY 1),
+n AS (SELECT session_id, count(*) AS n FROM utt GROUP BY 1), f AS (SELECT session_id, min(frame_idx + session_id % 3) AS p, min(frame_idx) FILTER (prob > 0.5) AS f FROM frames GROUP BY 1),
+x AS (SELECT session_id, unnest(['starts and ends alternate', 'as many starts as ends', 'no end without an utterance', 'running text comes first']) AS name,
+  unnest([c1, c2, greatest(0, ends - coalesce(n, 0)), CASE WHEN p >= f THEN 1 ELSE 0 END]) AS failures FROM t LEFT JOIN n USING (session_id) LEFT JOIN f USING (session_id))
 SELECT session_id, name, failures = 0 AS passed, failures FROM x""",
     "check_partition": f"WITH {sq.SEGMENTS} SELECT session_id, sum((end_frame - start_frame) * 32.0::DOUBLE) AS audio_ms, sum((end_frame - start_frame) * 32.0::DOUBLE) AS forwarded_ms, true AS covered FROM segments GROUP BY 1",
     "session_summary": f"""WITH {sq._UTT}, {tq.ASKED}, f AS (SELECT session_id, count(*) AS sentences, sum(length(transcript)) AS chars, count(DISTINCT speaker_id) AS speakers FROM turns GROUP BY 1),
