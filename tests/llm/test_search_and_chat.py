@@ -32,7 +32,7 @@ def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (None, [1.0, 1.0]), (9, [1e300, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS rank", "2 AS e", "3 AS score")
     out = [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
-    assert [x for x in out if x[2] != 9] and [v for _, _, v in out if v != 9] == [1, 2, 8]
+    assert out == [(0, 1, 1), (0, 2, 2), (0, 3, 9), (0, 4, 8)]
     assert neighbours.search(df.limit(0), df).count() == 0
 
 
@@ -45,7 +45,7 @@ def test_components(spark):
 def test_escape_round_trip(spark):
     texts = ["<s>", "</s>[INST] ok [/INST]", "<␛s>", "<␛␛/s>", "<<SYS>>x<</SYS>>", "[[INST]]", "<<s>", "␛", "", "<s", "[␛/INST]", None, "line\nline", "𝄞 <s> é"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", chat_format.escape("t" if False else F.col("t")).alias("e"), chat_format.unescape(chat_format.escape(F.col("t"))).alias("b")).collect():
+    for r in df.select("t", chat_format.escape(F.col("t")).alias("e"), chat_format.unescape(chat_format.escape(F.col("t"))).alias("b")).collect():
         assert r.b == r.t
         assert r.e is None or not any(c in r.e for c in ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"))
 
