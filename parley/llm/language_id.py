@@ -73,7 +73,7 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
             coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         for batch in batches:
             pred, score, margins, ok = [], [], [], []
-            for value in batch.column("_text"):
+            for value in batch.column(place):
                 text = value.as_py()
                 raw = normal(text) if text else b""
                 if not coders or not any(map(str.isalpha, raw.decode())):
@@ -85,13 +85,12 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
                 pred.append(langs[order[0]]), margins.append(margin), ok.append(margin >= min_margin)
                 score.append(margin / (margin + min_margin) if margin else 0.0)
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margins, pa.float64()), pa.array(ok, pa.bool_())]
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *new], names=[*(f"c{i}" for i in range(len(keep))), *fields.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *fields.names])
 
-    clash = [c for c in docs.columns if c in fields.names]
-    own = docs.drop(*clash)
-    sent = own.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own.columns)), F.col("text").alias("_text"))
-    schema = StructType([*sent.schema.fields[:-1], *fields.fields])
+    own = docs.drop(*(c for c in docs.columns if c in fields.names))
+    place = own.columns.index("text")
+    sent = own.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own.columns)))
+    schema = StructType([*sent.schema.fields, *fields.fields])
     return sent.mapInArrow(told, schema).toDF(*own.columns, *fields.names)
 
 
