@@ -54,7 +54,8 @@ def _shared(rq: np.ndarray, rx: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision on the vectors as given."""
+    """Row by row, in double precision; scaling by powers of two changes no digit and keeps squares finite."""
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (a, b))
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
@@ -82,23 +83,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = R
     points = points[np.random.default_rng(seed).permutation(len(points))[:pivots]]
     prefix = min(prefix, len(points))
 
-    def blocks(df: DataFrame, name: str, rows: int, total: int) -> DataFrame:
-        parts = max(1, -(-total // rows))
+    def pack(rows: pa.Table) -> pa.Table:
+        flat = np.asarray(rows["e"].combine_chunks().flatten(), dtype="<f8")
+        return pa.table({"block": rows["block"].slice(0, 1), "ids": [np.asarray(rows["vec_id"], dtype="<i8").tobytes()], "raw": [flat.tobytes()]})
 
-        def pack(batches):
-            for b in _batches(batches):
-                for at in range(0, b.num_rows, rows):
-                    part = b.slice(at, rows)
-                    flat = np.asarray(part["e"].combine_chunks().flatten(), dtype="<f8")
-                    yield pa.RecordBatch.from_pydict({f"{name}_ids": [np.asarray(part["vec_id"], dtype="<i8").tobytes()], f"{name}_raw": [flat.tobytes()]})
-
-        spread = df.where(F.size("e") == dim).distinct().repartition(parts, F.xxhash64("vec_id"))
-        return spread.mapInArrow(pack, f"{name}_ids binary, {name}_raw binary")
-
-    def _batches(batches):
-        held = [pa.Table.from_batches([b]) for b in batches]
-        if held:
-            yield pa.concat_tables(held)
+    def blocks(df: DataFrame, rows: int, total: int) -> tuple[DataFrame, int]:
+        """(block, ids, raw): about so many rows each, dealt by a hash of the id, so that no block grows with the data."""
+        n = max(1, -(-total // rows))
+        dealt = df.where(F.size("e") == dim).distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+        return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, raw binary"), n
 
     def compare(batches):
         for b in batches:
@@ -132,12 +125,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = R
                     top = place < k
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(x_ids[j[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
-    count = own.count()
-    index = cut(blocks(own, "x", BLOCK, count))
-    ask = cut(blocks(asked, "q", QUERY_BLOCK, asked.count()))
-    # blocks of the stated query set against all blocks, not rows against rows
-    met = ask.crossJoin(index).select("q_ids", "q_raw", "x_ids", "x_raw")
-    found = met.repartition(max(1, -(-count // BLOCK)), F.xxhash64("x_ids", "q_ids")).mapInArrow(compare, schema)
+    index, n = blocks(own, BLOCK, own.count())
+    ask, _ = blocks(asked, QUERY_BLOCK, asked.count())
+    # the stated query set against all rows, in blocks: each block of queries is sent to every block of the index
+    ask = cut(ask.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw")))
+    sent = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    met = sent.join(cut(index).select("block", F.col("ids").alias("x_ids"), F.col("raw").alias("x_raw")), "block")
+    found = met.select("q_ids", "q_raw", "x_ids", "x_raw").mapInArrow(compare, schema)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
