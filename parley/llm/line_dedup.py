@@ -60,6 +60,15 @@ def signatures(hashes: np.ndarray, line: np.ndarray, n: int, size: int) -> np.nd
     return mix(np.take_along_axis(out, nxt % size, axis=1) + apart * np.uint64(0x9E3779B97F4A7C15))
 
 
+def bucket_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands): a name of each band's values."""
+    sig = sig.reshape(len(sig), bands, rows)
+    bucket = np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(rows):
+        bucket = mix(bucket * np.uint64(3) + sig[:, :, i])
+    return bucket
+
+
 def _blank(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     seen = np.r_[0, np.cumsum(~SPACE[data])]
     return seen[stop] == seen[start]
@@ -85,12 +94,10 @@ def _lines(shingle: int, bands: int, rows_: int):
                 if not len(row):
                     continue
                 hashes, line = _shingles(pre, start, stop, shingle)
-                sig = signatures(hashes, line, len(start), bands * rows_).reshape(len(start), bands, rows_)
-                bucket = np.arange(bands, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-                for i in range(rows_):
-                    bucket = mix(bucket * np.uint64(3) + sig[:, :, i])
+                sig = signatures(hashes, line, len(start), bands * rows_)
+                bucket = bucket_hashes(sig, bands, rows_)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(start) * bands + 1, bands, dtype=np.int32)), pa.array(bucket.reshape(-1).view(np.int64)))
-                cols = [rows.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(key[:, 0].view(np.int64)), _binary(key), lists]
+                cols = [rows.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(key[:, 0].view(np.int64)), binary(key), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line", "short", "key", "buckets"])
 
     return run
@@ -107,10 +114,10 @@ def _texts(batches):
             asks = rows.column("asked")
             want = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(asks.offsets))) << 40 | np.asarray(asks.flatten())
             i = np.flatnonzero(np.isin(row << 40 | number, want))
-            yield pa.RecordBatch.from_arrays([pa.array(key[i, 0].view(np.int64)), _binary(key[i]), _cut_out(data, start[i], stop[i])], names=["short", "key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[i, 0].view(np.int64)), binary(key[i]), _cut_out(data, start[i], stop[i])], names=["short", "key", "text"])
 
 
-def _binary(values: np.ndarray) -> pa.Array:
+def binary(values: np.ndarray) -> pa.Array:
     """Rows of numbers as binary values."""
     wide = values.shape[1] * 8
     return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, (len(values) + 1) * wide, wide, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(values))])

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by vantage-point trees over the fingerprints."""
+"""SimHash near-duplicates by vantage-point trees over the fingerprints, and near-duplicates by exact shingle sets."""
 
 from __future__ import annotations
 
@@ -11,8 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm import bucket_links
 from parley.llm.common import connected_components, cut, table
-from parley.llm.textblocks import mix
+from parley.llm.line_dedup import binary, bucket_hashes, signatures
+from parley.llm.textblocks import BYTE, LOWER, SPACE, chunks, mix, prefix, ranges, spans, words
 
 #: Distinct fingerprints, at most, that reach the driver to fit the trees.
 TREE_SAMPLE = 20_000
@@ -216,9 +218,105 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, **tree) -
     return own.join(named.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicates of 5-word shingles at an estimated Jaccard similarity of 0.8: 256 bits, of which two such texts
-#: differ in 39 (angle acos(2 * 0.8 / 1.8)). Twelve trees over 21 or 22 bits each find them.
-STAGE = {"shingle": 5, "lanes": 4, "radius": 39, "block_radius": 1, "blocks": tuple((lane, s, w) for lane in range(4) for s, w in ((0, 21), (21, 21), (42, 22)))}
+#: Near-duplicates: sets of 5-word shingles at a Jaccard similarity of 0.8, told exactly. Candidates share one of 20
+#: bands of 4 MinHash values: a pair at 0.8 is missed with (1 - 0.8 ** 4) ** 20 = 0.003 %.
+STAGE = {"shingle": 5, "similarity": 0.8, "bands": 20, "rows": 4}
+
+
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the sorted set of k-word shingles of each text, one after the other; words as in fingerprints().
+
+    A text of fewer words is one shingle, one without words has none.
+    """
+    low = LOWER[data]
+    start, stop, first = words(low, offsets, ~SPACE)
+    w, n = spans(prefix(BYTE[low]), start, stop), np.diff(first)
+    count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
+    at, end = ranges(first[:-1], count), np.repeat(first[1:], count)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(k if len(at) else 0):
+        h = mix(h * np.uint64(3) + np.where(at + i < end, w[np.minimum(at + i, len(w) - 1)], np.uint64(0)))
+    cuts = np.r_[0, np.cumsum(count)]
+    sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
+
+
+def _set_keys(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set."""
+    sums = [np.r_[np.uint64(0), np.cumsum(mix(sets ^ salt))] for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))]
+    return mix(np.stack([x[ends[1:]] - x[ends[:-1]] for x in sums], axis=1))
+
+
+def _set_rows(shingle: int, bands: int, rows_: int):
+    """(doc_id, short, key, buckets) of each document."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for rows, data, offsets in chunks(batches):
+                sets, ends = _shingle_sets(data, offsets, shingle)
+                key, n = _set_keys(sets, ends), rows.num_rows
+                bucket = bucket_hashes(signatures(sets, np.repeat(np.arange(n), np.diff(ends)), n, bands * rows_), bands, rows_)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(bucket.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(key[:, 0].view(np.int64)), binary(key), lists], names=["doc_id", "short", "key", "buckets"])
+
+    return run
+
+
+def _set_texts(shingle: int):
+    """(short, key, text): text is the set of shingles."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for _, data, offsets in chunks(batches):
+                sets, ends = _shingle_sets(data, offsets, shingle)
+                key = _set_keys(sets, ends)
+                text = [sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0].view(np.int64)), binary(key), pa.array(text, pa.binary())], names=["short", "key", "text"])
+
+    return run
+
+
+def _similar_sets(least: float):
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                both = int((both[1:] == both[:-1]).sum())
+                ok.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("a", "b", "ka", "kb")] + [pa.array(ok, pa.bool_())], names=["a", "b", "ka", "kb", "ok"])
+
+    return run
+
+
+def _set_tokens(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("text")]
+        size = np.array([len(x) for x in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), size))
+        cols = [batch.column("short").take(at), batch.column("key").take(at), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(np.repeat(size, size))]
+        yield pa.RecordBatch.from_arrays(cols, names=["short", "key", "token", "size"])
+
+
+def similar_documents(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that links of documents at the similarity or more reach.
+
+    Sets of shingles are of whole texts and compared exactly; equal sets, and those of texts without words, link
+    whatever their number, through one row per distinct set. Rows of null doc_id are left out.
+    """
+    own = docs.select("doc_id", "text").where("doc_id is not null")
+    sets = cut(own.mapInArrow(_set_rows(shingle, bands, rows), "doc_id long, short long, key binary, buckets array<long>"))
+    first = cut(sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("short").alias("short"), F.first("buckets").alias("buckets")))
+    member = bucket_links.members(first)
+    asked = first.join(member.select("short").distinct(), "short", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    # a doc_id with several texts brings all their sets; one row a set stays
+    text = cut(own.join(asked, "doc_id", "left_semi").select("text").mapInArrow(_set_texts(shingle), "short long, key binary, text binary").dropDuplicates(["key"]))
+    found = bucket_links.links(member, text, _similar_sets(similarity), _set_tokens, similarity)
+    groups = connected_components(found).withColumnRenamed("node", "key")
+    named = first.join(groups, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    heads = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return sets.select("doc_id", "key").join(named.join(heads, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -226,7 +324,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows of null doc_id stay; repeated rows of a kept doc_id all stay.
     """
-    gone = near_duplicates(docs, **STAGE).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_documents(docs, **STAGE).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
 
 
