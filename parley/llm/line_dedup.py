@@ -6,9 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.llm import bucket_links
 from parley.llm.common import connected_components, cut, table
 from parley.llm.textblocks import BYTE, SPACE, chunks, mix, powers, prefix, ranges, spans
 
@@ -167,44 +167,39 @@ def read_lines(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     return cut(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(_lines(shingle, bands, rows), LINES))
 
 
+def _tokens(shingle: int):
+    """(short, key, token, size) of the distinct shingles of each line."""
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for rows, data, offsets in chunks(batches):
+                hashes, line = _shingles(prefix(BYTE[data]), offsets[:-1], offsets[1:], shingle)
+                order = np.lexsort((hashes, line))
+                hashes, line = hashes[order], line[order]
+                new = np.r_[True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])][: len(hashes)]
+                hashes, line = hashes[new], line[new]
+                size = np.bincount(line, minlength=rows.num_rows)[line]
+                cols = [rows.column("short").take(pa.array(line)), rows.column("key").take(pa.array(line)), pa.array(hashes.view(np.int64)), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(cols, names=["short", "key", "token", "size"])
+
+    return run
+
+
 def line_links(docs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
-    """(a, b): keys of distinct lines whose shingle sets have the Jaccard similarity or more.
+    """(a, b): keys of distinct lines; they make the components of all lines that share a band and whose shingle
+    sets have the Jaccard similarity or more.
 
-    Lines that share a band meet in a bucket. There each is compared, exactly, with the bucket's first line (in an
-    order of the bucket's own); those that are unlike it go on among themselves, for so many rounds. A bucket
-    of m lines so takes fewer than m pairs a round, not all; a link that crosses firsts in one bucket is met
-    in the others. Buckets know lines by half of their 128-bit keys; each text of that half is compared.
+    Lines that share a band meet in a bucket, where bucket_links.links() compares them exactly and leaves
+    no pair of different components out, however large the bucket. Buckets know lines by half of their 128-bit
+    keys; each text of that half is compared.
     """
-    by = W.partitionBy("bucket")
-    order = F.xxhash64("bucket", "short")
-    member = lines.select(F.explode("buckets").alias("bucket"), "short")
-    # one shuffle: the window sorts each bucket and spills; lines that are alone end here
-    seen = member.withColumns({"_a": F.min("short").over(by), "_b": F.max("short").over(by)}).where("_a <> _b")
-    seen = seen.withColumn("first", F.min(F.struct(order.alias("h"), F.col("short"))).over(by)).select("bucket", "short", F.col("first.short").alias("first"))
-    member = cut(seen.distinct())
+    member = bucket_links.members(lines)
     # each text that is compared is read where it stands first
     place = lines.select("short", "key", "doc_id", "line").join(member.select("short").distinct(), "short", "left_semi")
     place = place.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("p"))
     asked = place.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.collect_list("p.line").alias("asked"))
     text = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "short long, key binary, text binary")
-    text = cut(text)
-    done = None
-    pairs = member.where("short <> first").select("bucket", F.col("first").alias("a"), F.col("short").alias("b"))
-    side = lambda x: text.select(F.col("short").alias(x), F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
-    for turn in range(rounds):
-        now = pairs.select("a", "b").distinct()
-        if done is not None:
-            now = now.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        now = now.join(side("a"), "a").join(side("b"), "b").mapInArrow(_similar(shingle, similarity), "a long, b long, ka binary, kb binary, ok boolean")
-        done = cut(now if done is None else done.unionByName(now))
-        if turn == rounds - 1:
-            break
-        left = pairs.join(done.where("not ok").select("a", "b").distinct(), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("short"))
-        again = left.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), F.col("short"))).alias("f"))
-        pairs = cut(left.join(again.select("bucket", F.col("f.short").alias("a")), "bucket").where("short <> a").select("bucket", "a", F.col("short").alias("b")))
-        if pairs.isEmpty():
-            break
-    return done.where("ok").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    return bucket_links.links(member, cut(text), _similar(shingle, similarity), _tokens(shingle), similarity, rounds)
 
 
 def repeated_lines(docs: DataFrame, **options) -> DataFrame:

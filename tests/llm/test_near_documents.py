@@ -1,8 +1,8 @@
 import random
 
-from test_documents import components
+from test_documents import components, shingles
 
-from parley.llm import simhash
+from parley.llm import line_dedup, simhash
 
 
 def grams(text, k=5):
@@ -48,3 +48,20 @@ def test_family_of_documents_against_all_pairs(spark):
     docs = spark.createDataFrame([*rows, rows[9], (None, "one two")], "doc_id long, text string")
     got = simhash.similar_documents(docs, **simhash.STAGE).collect()
     assert {(r.doc_id, r.component_id) for r in got} == set(want.items()) and len(got) == len(rows) + 1
+
+
+def test_family_of_lines_against_all_pairs(spark):
+    """Some hundred lines of one template fill the buckets of all bands; each has a near copy, unlike pairs are at 0.75."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    form = "".join(rng.choice(letters) for _ in range(93))
+    lines = []
+    for _ in range(300):
+        own = "".join(rng.choice(letters) for _ in range(14))
+        lines += [form + own, form[:60] + "#" + form[61:] + own]
+    sets = [shingles(s) for s in lines]
+    want = components(range(len(lines)), [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.repeated_lines(docs).collect()}
+    assert len(set(want.values())) > 1
+    assert gone == {i for i, c in want.items() if i != c}
