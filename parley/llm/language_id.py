@@ -16,6 +16,9 @@ from parley.llm.common import table
 DICTIONARY_BYTES = 65_536
 #: Bytes of one document that may enter a dictionary, so that it draws on many documents.
 PIECE_BYTES = 1_024
+#: Bytes of a text's letters that are compressed at a time, each with the dictionary: what that saves is bounded, so
+#: a margin over one code of a long text would fall with its length.
+CODE_BYTES = 16_384
 #: A language is accepted if its code is shorter than the next one's by this share.
 MIN_MARGIN = 0.002
 #: Languages that may be told apart.
@@ -54,9 +57,9 @@ def learn(labelled: DataFrame, size: int = DICTIONARY_BYTES) -> list[tuple[str,
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float = MIN_MARGIN) -> DataFrame:
     """Adds lang_pred, score, margin and accepted to documents.
 
-    The letters of each whole text are compressed once with each language's dictionary; the shortest code wins,
-    ties go to the language that comes first in the model. margin: the share by which the next code is longer;
-    score: margin / (margin + min_margin), from 0 to 1. accepted is false where the margin
+    The letters of each whole text are compressed with each language's dictionary, CODE_BYTES at a time, and the lengths
+    of the codes are summed, so that the margin does not depend on the length; the shortest code wins, ties go to the
+    language that comes first in the model. margin: the share by which the next code is longer; score: margin / (margin + min_margin), from 0 to 1. accepted is false where the margin
     is under min_margin. A text that is null, empty or without a letter gets und, score 0 and is not accepted, and so do
     all texts of a model without languages. Other columns stay as they are.
     """
@@ -79,7 +82,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]], min_margin: float
                 if not coders or not any(map(str.isalpha, raw.decode())):
                     pred.append("und"), score.append(0.0), margins.append(0.0), ok.append(False)
                     continue
-                sizes = np.array([len(c.compress(raw)) for c in coders], dtype=float)
+                parts = [raw[at : at + CODE_BYTES] for at in range(0, len(raw), CODE_BYTES)]
+                sizes = np.array([sum(len(c.compress(part)) for part in parts) for c in coders], dtype=float)
                 order = np.argsort(sizes, kind="stable")
                 margin = 1.0 if len(order) == 1 else float(sizes[order[1]] / sizes[order[0]] - 1)
                 pred.append(langs[order[0]]), margins.append(margin), ok.append(margin >= min_margin)
