@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,18 +18,38 @@ PAIRS = "a long, b long, ka binary, kb binary, ok boolean"
 TOKENS = "short long, key binary, token long, size long"
 
 
-def _order():
-    return F.xxhash64("bucket", "short")
+def _shared(batches):
+    """The rows (bucket, short) whose bucket the row before or behind has too, with the bucket's first short; rows come sorted.
+
+    Only the last row and the first of its bucket are held, however long a bucket is.
+    """
+    held = None
+    for batch in batches:
+        bucket, short = (np.asarray(batch.column(i)) for i in (0, 1))
+        if not len(bucket):
+            continue
+        first, mark = short.copy(), np.zeros(len(bucket), bool)
+        if held is not None:
+            bucket, short, first, mark = (np.r_[h, x] for h, x in zip(held, (bucket, short, first, mark), strict=True))
+        same = bucket[1:] == bucket[:-1]
+        mark[1:] |= same
+        mark[:-1] |= same
+        heads = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(bucket)), 0))
+        first = first[heads]
+        keep = np.flatnonzero(mark[:-1])
+        held = bucket[-1], short[-1], first[-1], mark[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, short, first)], names=["bucket", "short", "first"])
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], names=["bucket", "short", "first"])
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """(bucket, short, first) of buckets (short, buckets) that hold more than one short, written once."""
-    by = W.partitionBy("bucket")
-    member = rows.select(F.explode("buckets").alias("bucket"), "short")
-    # one shuffle: the window sorts each bucket and spills; rows that are alone end here
-    seen = member.withColumns({"_a": F.min("short").over(by), "_b": F.max("short").over(by)}).where("_a <> _b")
-    seen = seen.withColumn("first", F.min(F.struct(_order().alias("h"), F.col("short"))).over(by)).select("bucket", "short", F.col("first.short").alias("first"))
-    return cut(seen.distinct())
+    """(bucket, short, first) of buckets (short, buckets) that hold more than one short, written once; first: the smallest.
+
+    One shuffle of numbers; a bucket streams through its task in order, and rows that are alone end there.
+    """
+    dealt = rows.select(F.explode("buckets").alias("bucket"), "short").repartition("bucket").sortWithinPartitions("bucket", "short")
+    return cut(dealt.mapInArrow(_shared, "bucket long, short long, first long"))
 
 
 def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callable, least: float, rounds: int = 3) -> DataFrame:
@@ -36,8 +58,8 @@ def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callabl
     member: as members() gives it. text: (short, key, text). similar and tokens are for mapInArrow: the one tells
     ok for (a, b, ka, kb, ta, tb), the other lists (TOKENS) the distinct shingles of (short, key, text).
 
-    Each member is compared with its bucket's first (in an order of the bucket's own), and those that are unlike it
-    among themselves, for so many rounds: that joins large groups of copies by fewer pairs than members. Then
+    Each member is compared with its bucket's first, and those that are unlike it among themselves, for so many
+    rounds: that joins large groups of copies by few pairs a member, as their buckets mostly have the same first. Then
     whatever two members of a bucket are still in different components are compared too: by all their pairs if
     the bucket has FEW members or fewer, else by rest_pairs(), which loses none.
     """
@@ -54,8 +76,8 @@ def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callabl
         if turn == rounds - 1:
             break
         left = pairs.join(done.where("not ok").select("a", "b").distinct(), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("short"))
-        again = left.groupBy("bucket").agg(F.min(F.struct(_order().alias("h"), F.col("short"))).alias("f"))
-        pairs = cut(left.join(again.select("bucket", F.col("f.short").alias("a")), "bucket").where("short <> a").select("bucket", "a", F.col("short").alias("b")))
+        again = left.groupBy("bucket").agg(F.min("short").alias("a"))
+        pairs = cut(left.join(again, "bucket").where("short <> a").select("bucket", "a", F.col("short").alias("b")))
         if pairs.isEmpty():
             break
     keys = lambda d: d.where("ok").select(F.col("ka").alias("a"), F.col("kb").alias("b"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import table, union_all
-from parley.llm.textblocks import ALNUM, BYTE, LOWER, chunks, mix, prefix, ranges, spans, words
+from parley.llm.textblocks import ALNUM, LOWER, chunks, names, ranges, word_grams, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -26,15 +26,6 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def _grams(names: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first) of the k-word shingles of each row; a row of fewer words has one, of no words none."""
-    count = np.diff(first)
-    size = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
-    at = ranges(first[:-1], size)
-    end = np.minimum(at + k, np.repeat(first[1:], size))
-    return spans(prefix(names), at, end), np.r_[0, np.cumsum(size)]
-
-
 class Items:
     """The benchmark items of one pass: shingles, fingerprints, and their multi-index blocks."""
 
@@ -42,7 +33,7 @@ class Items:
         data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
         offsets = np.r_[0, np.cumsum([len(t) for _, t in rows])]
         start, stop, first = words(data, offsets, ALNUM)
-        gram, at = _grams(spans(prefix(BYTE[LOWER[data]]), start, stop), first, k)
+        gram, at = word_grams(names(LOWER[data], start, stop), first, k)
         keep = [i for i in range(len(rows)) if at[i + 1] > at[i]]
         self.ids = np.array([rows[i][0] for i in keep], np.int64)
         self.grams = [gram[at[i] : at[i + 1]] for i in keep]
@@ -87,7 +78,7 @@ def _find(items: Items, k: int, similarity: float, radius: int):
                 start, stop, first = words(data, offsets, ALNUM)
                 if not len(start) or not len(items.ids):
                     continue
-                gram, at = _grams(spans(prefix(BYTE[LOWER[data]]), start, stop), first, k)
+                gram, at = word_grams(names(LOWER[data], start, stop), first, k)
                 hit = np.flatnonzero(items.filter[(gram >> np.uint64(44)).astype(np.int64)])
                 which = np.minimum(np.searchsorted(items.known, gram[hit]), len(items.known) - 1)
                 good = items.known[which] == gram[hit]

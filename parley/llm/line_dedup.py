@@ -5,17 +5,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import bucket_links
 from parley.llm.common import connected_components, cut, table
-from parley.llm.textblocks import BYTE, SPACE, chunks, mix, powers, prefix, ranges, spans
+from parley.llm.textblocks import BYTE, SPACE, chunks, joined, mix, ranges
 
+#: Characters of a shingle.
 SHINGLE = 8
 SIMILARITY = 0.8
 #: Bands of a signature and hashes of a band: at similarity 0.8 a pair is missed with (1 - 0.8 ** 4) ** 10 = 0.5 %.
 BANDS, ROWS = 10, 4
+#: Bytes of text that are shingled at a time, so that the arrays stay in a core's cache.
+BLOCK = 200_000
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -27,19 +31,29 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return row, start, stop
 
 
-def _shingles(pre: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of all k-byte shingles of lines; a shorter line is one shingle. pre: prefix() of the bytes."""
-    whole = np.flatnonzero(stop - start >= k)
+def _characters(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, start, stop) with characters of UTF-8 instead of bytes; a code is a hash of a character's bytes."""
+    if not len(data) or data.max() < 0x80:
+        return BYTE[data], start, stop
+    leads = np.flatnonzero(data & 0xC0 != 0x80)
+    number = np.r_[0, np.cumsum(data & 0xC0 != 0x80)]
+    size = np.minimum(np.diff(np.r_[leads, len(data)]), 4)
+    four = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(4, np.uint8)]), 4)
+    code = four[leads].view("<u4")[:, 0].astype(np.uint64) & ((np.uint64(1) << (8 * size).astype(np.uint64)) - np.uint64(1))
+    return mix(code + np.uint64(1)), number[start], number[stop]
+
+
+def _shingles(data: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of all shingles of k characters of lines; a shorter line is one shingle."""
+    codes, start, stop = _characters(data, start, stop)
+    whole, short = np.flatnonzero(stop - start >= k), np.flatnonzero(stop - start < k)
     count = stop[whole] - start[whole] - k + 1
-    inside = np.zeros(len(pre), np.int8)
-    inside[start[whole]] += 1
-    np.subtract.at(inside, stop[whole] - k + 1, 1)
-    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-    n = max(len(pre) - k, 0)
-    rolled = (pre[k:] - pre[:n]) * powers(n, "down") if n else np.zeros(0, np.uint64)
-    short = np.flatnonzero(stop - start < k)
-    hashes = np.concatenate([mix(rolled[inside[:n]]), spans(pre, start[short], stop[short])])
-    return hashes, np.concatenate([np.repeat(whole, count), short])
+    hashes = joined(codes, k)[ranges(start[whole], count)] if len(whole) else np.zeros(0, np.uint64)
+    few = np.zeros(len(short), np.uint64)
+    for i in range(k - 1 if len(short) else 0):
+        inside = start[short] + i < stop[short]
+        few = np.where(inside, mix(few * np.uint64(3) + codes[np.where(inside, start[short] + i, 0)]), few)
+    return mix(np.concatenate([hashes, few])), np.concatenate([np.repeat(whole, count), short])
 
 
 def signatures(hashes: np.ndarray, line: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -74,47 +88,57 @@ def _blank(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return seen[stop] == seen[start]
 
 
+def _keys(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:
+    """128-bit XXH3 of each data[start:stop]."""
+    raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+    return [digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+
+
 def _read(data: np.ndarray, offsets: np.ndarray):
-    """(row, number, start, stop, key, pre) of the lines that are not blank; key: two 64-bit hashes, pre: prefix() of data."""
+    """(row, number, start, stop, key) of the lines that are not blank."""
     row, start, stop = line_bounds(data, offsets)
     number = np.arange(len(row)) - np.searchsorted(row, row)
     keep = ~_blank(data, start, stop)
     row, start, stop, number = row[keep], start[keep], stop[keep], number[keep]
-    one, two = prefix(BYTE[data]), prefix(mix(BYTE)[data])
-    return row, number, start, stop, np.stack([spans(one, start, stop), spans(two, start, stop)], axis=1), one
+    return row, number, start, stop, _keys(data, start, stop)
 
 
 def _lines(shingle: int, bands: int, rows_: int):
-    """(doc_id, line, short, key, buckets) of each line that is not blank; short is the first half of its key."""
+    """LINES of each line that is not blank; the buckets of equal lines of a block are told once."""
 
     def run(batches):
-        with np.errstate(over="ignore"):
-            for rows, data, offsets in chunks(batches, limit=1_000_000):
-                row, number, start, stop, key, pre = _read(data, offsets)
-                if not len(row):
-                    continue
-                hashes, line = _shingles(pre, start, stop, shingle)
-                sig = signatures(hashes, line, len(start), bands * rows_)
-                bucket = bucket_hashes(sig, bands, rows_)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(start) * bands + 1, bands, dtype=np.int32)), pa.array(bucket.reshape(-1).view(np.int64)))
-                cols = [rows.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(key[:, 0].view(np.int64)), binary(key), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line", "short", "key", "buckets"])
+        for rows, data, offsets in chunks(batches, limit=BLOCK):
+            row, number, start, stop, key = _read(data, offsets)
+            if not len(row):
+                continue
+            seen: dict = {}
+            for i, k in enumerate(key):
+                seen.setdefault(k, i)
+            own = np.fromiter(seen.values(), np.int64, len(seen))
+            hashes, line = _shingles(data, start[own], stop[own], shingle)
+            bucket = bucket_hashes(signatures(hashes, line, len(own), bands * rows_), bands, rows_)
+            told = np.zeros(len(row), np.int64)
+            told[own] = bands
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(told)].astype(np.int32)), pa.array(bucket.reshape(-1).view(np.int64)))
+            cols = [rows.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(key, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line", "key", "buckets"])
 
     return run
 
 
-LINES = "doc_id long, line long, short long, key binary, buckets array<long>"
+LINES = "doc_id long, line long, key binary, buckets array<long>"
 
 
 def _texts(batches):
-    """(short, key, text) of the asked lines of each document."""
-    with np.errstate(over="ignore"):
-        for rows, data, offsets in chunks(batches):
-            row, number, start, stop, key, _ = _read(data, offsets)
-            asks = rows.column("asked")
-            want = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(asks.offsets))) << 40 | np.asarray(asks.flatten())
-            i = np.flatnonzero(np.isin(row << 40 | number, want))
-            yield pa.RecordBatch.from_arrays([pa.array(key[i, 0].view(np.int64)), binary(key[i]), _cut_out(data, start[i], stop[i])], names=["short", "key", "text"])
+    """(key, text) of the asked lines of each document."""
+    for rows, data, offsets in chunks(batches):
+        row, start, stop = line_bounds(data, offsets)
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        asks = rows.column("asked")
+        want = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(asks.offsets))) << 40 | np.asarray(asks.flatten())
+        i = np.flatnonzero(np.isin(row << 40 | number, want))
+        key = _keys(data, start[i], stop[i])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), _cut_out(data, start[i], stop[i])], names=["key", "text"])
 
 
 def binary(values: np.ndarray) -> pa.Array:
@@ -135,7 +159,7 @@ def _similar(shingle: int, least: float):
     def sets(col):
         data, offsets = np.frombuffer(col.buffers()[2] or b"", np.uint8), np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        return _shingles(prefix(BYTE[data]), offsets[:-1], offsets[1:], shingle)
+        return _shingles(data, offsets[:-1], offsets[1:], shingle)
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -144,7 +168,7 @@ def _similar(shingle: int, least: float):
                 ends = np.r_[0, np.cumsum(np.asarray(pc.add(pc.binary_length(whole.column("ta")), pc.binary_length(whole.column("tb"))), np.int64))]
                 to = 0
                 while to < whole.num_rows:
-                    at, to = to, max(to + 1, int(np.searchsorted(ends, ends[to] + 2_000_000, "right")) - 1)
+                    at, to = to, max(to + 1, int(np.searchsorted(ends, ends[to] + 2 * BLOCK, "right")) - 1)
                     batch = whole.slice(at, to - at)
                     # pair number and 44 bits of each shingle's hash in one word: plain sorts make the sets and their intersection
                     made = []
@@ -154,7 +178,7 @@ def _similar(shingle: int, least: float):
                         made.append(words[np.r_[True, words[1:] != words[:-1]]])
                     count = lambda words: np.bincount((words >> np.uint64(44)).astype(np.int64), minlength=batch.num_rows)  # noqa: B023, E731
                     sizes = [count(x) for x in made]
-                    merged = np.sort(np.concatenate(made))
+                    merged = np.sort(np.concatenate(made), kind="stable")
                     both = count(merged[1:][merged[1:] == merged[:-1]])
                     ok = both >= least * (sizes[0] + sizes[1] - both)
                     yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("a", "b", "ka", "kb")] + [pa.array(ok)], names=["a", "b", "ka", "kb", "ok"])
@@ -173,7 +197,7 @@ def _tokens(shingle: int):
     def run(batches):
         with np.errstate(over="ignore"):
             for rows, data, offsets in chunks(batches):
-                hashes, line = _shingles(prefix(BYTE[data]), offsets[:-1], offsets[1:], shingle)
+                hashes, line = _shingles(data, offsets[:-1], offsets[1:], shingle)
                 order = np.lexsort((hashes, line))
                 hashes, line = hashes[order], line[order]
                 new = np.r_[True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])][: len(hashes)]
@@ -185,20 +209,22 @@ def _tokens(shingle: int):
     return run
 
 
-def line_links(docs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def line_links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, rounds: int = 1) -> DataFrame:
     """(a, b): keys of distinct lines; they make the components of all lines that share a band and whose shingle
     sets have the Jaccard similarity or more.
 
     Lines that share a band meet in a bucket, where bucket_links.links() compares them exactly and leaves
-    no pair of different components out, however large the bucket. Buckets know lines by half of their 128-bit
-    keys; each text of that half is compared.
+    no pair of different components out, however large the bucket. Buckets know lines by a 64-bit hash of their
+    128-bit keys; each text of that hash is compared.
     """
-    member = bucket_links.members(lines)
+    own = distinct.withColumn("short", F.xxhash64("key"))
+    member = bucket_links.members(own)
     # each text that is compared is read where it stands first
-    place = lines.select("short", "key", "doc_id", "line").join(member.select("short").distinct(), "short", "left_semi")
-    place = place.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("p"))
-    asked = place.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.collect_list("p.line").alias("asked"))
-    text = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "short long, key binary, text binary")
+    place = own.select("short", "first").join(member.select("short").distinct(), "short", "left_semi")
+    asked = place.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line").alias("asked"))
+    text = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "key binary, text binary")
+    # a doc_id with several texts may bring a line twice, or another one
+    text = text.withColumn("short", F.xxhash64("key")).dropDuplicates(["key"]).select("short", "key", "text")
     return bucket_links.links(member, cut(text), _similar(shingle, similarity), _tokens(shingle), similarity, rounds)
 
 
@@ -207,18 +233,18 @@ def repeated_lines(docs: DataFrame, **options) -> DataFrame:
 
     Lines are cut at line feeds. Equal lines, and lines linked through near ones, form a component; the line of
     the smallest (doc_id, number) stays, all others go. Blank lines are no lines here and stay.
+    Equal lines are folded into one row before anything is compared, so a line that is common everywhere is one row.
     Null and empty texts have no lines. Rows of null doc_id are left out; repeated rows of a document are one.
     """
     place = F.struct("doc_id", "line")
     lines = read_lines(docs, **{k: v for k, v in options.items() if k in ("shingle", "bands", "rows")})
-    groups = connected_components(line_links(docs, lines, **{k: v for k, v in options.items() if k in ("shingle", "similarity", "rounds")}))
-    lines = lines.select("doc_id", "line", "key")
-    first = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    first = first.join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
-    first = cut(first.select("key", "component", "first"))
+    distinct = cut(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("buckets").alias("buckets")))
+    groups = connected_components(line_links(docs, distinct, **{k: v for k, v in options.items() if k in ("shingle", "similarity", "rounds")}))
+    first = distinct.select("key", "first", "n").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    first = cut(first.where("n > 1 or component is not null").select("key", F.coalesce("component", "key").alias("component"), "first"))
     kept = first.groupBy("component").agg(F.min("first").alias("kept"))
     kept = first.join(kept, "component").select("key", "kept")
-    gone = lines.join(kept, "key").where(place != F.col("kept"))
+    gone = lines.select("doc_id", "line", "key").join(kept, "key").where(place != F.col("kept"))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from parley.llm import repeats
 from parley.llm.common import table
-from parley.llm.textblocks import BYTE, SPACE, chunks, mix, prefix, ranges, spans, words
+from parley.llm.textblocks import SPACE, chunks, mix, prefix, ranges, spans, words
+from parley.llm.textblocks import names as word_names
 
 WINDOW = 50
 #: Each round names runs of equal symbols, then pairs of a left and a right symbol.
@@ -119,7 +120,7 @@ def _stretches(width: int, rounds: int):
                 count = np.diff(first)
                 if not len(start) or count.max() < width:
                     continue
-                names = spans(prefix(BYTE[data]), start, stop)
+                names = word_names(data, start, stop)
                 doc = np.repeat(np.arange(len(count)), count)
                 parse = Parse(names, doc)
                 for turn in range(rounds):
@@ -151,7 +152,7 @@ def _windows(width: int):
         with np.errstate(over="ignore"):
             for rows, data, offsets in chunks(batches):
                 start, stop, first = words(data, offsets, ~SPACE)
-                sums = prefix(spans(prefix(BYTE[data]), start, stop))
+                sums = prefix(word_names(data, start, stop))
                 asks = rows.column("asked")
                 lists = pa.array(np.diff(np.asarray(asks.offsets)))
                 flat = asks.flatten()

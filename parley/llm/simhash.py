@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from parley.llm import bucket_links
 from parley.llm.common import connected_components, cut, table
 from parley.llm.line_dedup import binary, bucket_hashes, signatures
-from parley.llm.textblocks import BYTE, LOWER, SPACE, chunks, mix, prefix, ranges, spans, words
+from parley.llm.textblocks import LOWER, SPACE, chunks, mix, names, word_grams, words
 
 #: Distinct fingerprints, at most, that reach the driver to fit the trees.
 TREE_SAMPLE = 20_000
@@ -230,13 +230,7 @@ def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nda
     """
     low = LOWER[data]
     start, stop, first = words(low, offsets, ~SPACE)
-    w, n = spans(prefix(BYTE[low]), start, stop), np.diff(first)
-    count = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
-    at, end = ranges(first[:-1], count), np.repeat(first[1:], count)
-    h = np.zeros(len(at), np.uint64)
-    for i in range(k if len(at) else 0):
-        h = mix(h * np.uint64(3) + np.where(at + i < end, w[np.minimum(at + i, len(w) - 1)], np.uint64(0)))
-    cuts = np.r_[0, np.cumsum(count)]
+    h, cuts = word_grams(names(low, start, stop), first, k)
     sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int64)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import repeats
 from parley.llm.common import cut, table
-from parley.llm.textblocks import BYTE, chunks, mix, prefix, ranges, sliding_min, spans
+from parley.llm.textblocks import BYTE, chunks, joined, mix, prefix, ranges, sliding_min, spans
 
 WIDTH = 100
 #: Bytes of an anchor: the least of the anchors in a window names the bucket of the window's suffix.
@@ -26,8 +26,8 @@ def _stretches(width: int, anchor: int):
                 if not len(data) or length.max() < width:
                     continue
                 sums = prefix(BYTE[data])
-                at = np.arange(len(data) - anchor + 1)
-                grams = spans(sums, at, at + anchor)
+                grams = mix(joined(BYTE[data], anchor))
+                at = np.arange(len(grams))
                 # the least hash of the window, then the first place
                 bits = np.uint64(max(1, int(len(grams)).bit_length()))
                 low = (np.uint64(1) << bits) - np.uint64(1)

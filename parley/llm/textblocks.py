@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are held as arrays at a time, unless one text alone is longer.
 CHUNK = 2_000_000
@@ -22,31 +23,100 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_BASE = 0xD1342543DE82EF95
-_STEP = {"up": np.uint64(_BASE), "down": np.uint64(pow(_BASE, -1, 1 << 64))}
+_PRIME, _31 = np.uint64((1 << 31) - 1), np.uint64(31)
+#: Two fixed bases, drawn once, of polynomials modulo the prime 2 ** 31 - 1.
+_BASES = (1_318_699_077, 752_918_453)
+_powers = {(base, way): np.ones(1, np.uint64) for base in _BASES for way in (1, -1)}
 
 
-def powers(n: int, way: str = "up") -> np.ndarray:
-    """_BASE ** i modulo 2 ** 64 for i < n, or of its inverse."""
-    have = _powers[way]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime itself for 0, for x under 2 ** 63."""
+    x = (x & _PRIME) + (x >> _31)
+    return (x & _PRIME) + (x >> _31)
+
+
+def _power(base: int, n: int, way: int) -> np.ndarray:
+    """base ** (way * i) modulo the prime, for i < n."""
+    have = _powers[base, way]
     while len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.concatenate([have, have * have[-1] * _STEP[way]])
-        _powers[way] = have
+        step = np.uint64(pow(base, way * len(have), int(_PRIME)))
+        have = np.concatenate([have, _reduced(have * step)])
+        _powers[base, way] = have
     return have[:n]
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Sums of values[i] * base ** i; spans() makes hashes of any stretch of them."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+def prefix(values: np.ndarray) -> list[np.ndarray]:
+    """For each base, sums of 31 bits of values[i] * base ** i; spans() makes hashes of any stretch of them."""
+    out = []
+    for base, bits in zip(_BASES, (values >> np.uint64(33), values & _PRIME), strict=True):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        x = bits * _power(base, len(values), 1)
+        np.cumsum((x & _PRIME) + (x >> _31), out=sums[1:])
+        out.append(sums)
+    return out
+
+
+def spans(pre: list[np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of values[start:stop], the same wherever it stands.
+
+    Polynomials modulo a prime in two bases, 62 bits: sequences that differ collide by chance only (modulo a power of two
+    they would not: a Thue-Morse word and its complement have one value there).
+    """
+    h = (stop - start).astype(np.uint64) * _ODD
+    for base, sums in zip(_BASES, pre, strict=True):
+        x = _reduced(_reduced(sums[stop] - sums[start]) * _power(base, len(sums), -1)[start])
+        h = mix(h + np.where(x >= _PRIME, x - _PRIME, x))
+    return h
+
+
+def joined(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of values[i:i + k] for each i, by doubling."""
+    have, out = 1, values
+    while have < k:
+        more = min(have, k - have)
+        # the second half may overlap the first: both together still tell all k values
+        out = _pair(out[: len(out) - more], out[more:])
+        have += more
     return out
 
 
-def spans(pre: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of values[start:stop], the same wherever it stands."""
-    return mix((pre[stop] - pre[start]) * powers(len(pre), "down")[start] + (stop - start).astype(np.uint64) * _ODD)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _M1 + b
+    h ^= h >> np.uint64(29)
+    h *= _M2
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def names(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each data[start:stop], eight bytes at a time; of over a thousand bytes XXH64."""
+    n = stop - start
+    h = mix(n.astype(np.uint64) * _ODD + _M1)
+    if not len(n):
+        return h
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live, at = np.flatnonzero(n <= 1024), 0
+    while len(live):
+        left = np.minimum(n[live] - at, 8)
+        word = eight[start[live] + at].view("<u8")[:, 0]
+        word = np.where(left < 8, word & ((np.uint64(1) << (8 * left).astype(np.uint64)) - np.uint64(1)), word)
+        h[live] = mix(_pair(h[live], word))
+        at += 8
+        live = live[n[live] > at]
+    for i in np.flatnonzero(n > 1024):
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes(), 42)
+    return h
+
+
+def word_grams(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) of the k-word shingles of each row; a row of fewer words has one, of no words none."""
+    count = np.diff(first)
+    size = np.where(count > 0, np.maximum(count - k + 1, 1), 0)
+    at, end = ranges(first[:-1], size), np.repeat(first[1:], size)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(k if len(at) else 0):
+        h = _pair(h, np.where(at + i < end, word[np.minimum(at + i, len(word) - 1)], np.uint64(0)))
+    return mix(h), np.r_[0, np.cumsum(size)]
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
