@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,59 +15,240 @@ from parley.llm.common import connected_components, cut
 
 #: Members of a bucket whose pairs are listed; larger buckets go through prefixes.
 FEW = 16
+#: Members of a part of a bucket: larger buckets are dealt out in parts, each with the bucket's first.
+PART = 4096
+#: Members that _solve() compares with all others of their part.
+PIVOTS = 16
 PAIRS = "a long, b long, ka binary, kb binary, ok boolean"
 TOKENS = "short long, key binary, token long, size long"
 
 
+def _order():
+    return F.xxhash64("bucket", "short")
+
+
 def _shared(batches):
-    """The rows (bucket, short) whose bucket the row before or behind has too, with the bucket's first short; rows come sorted.
+    """(bucket, part, short, first) of the rows (bucket, short) whose bucket the row before or behind has too; rows come sorted.
 
-    Only the last row and the first of its bucket are held, however long a bucket is.
+    first: the first short of the bucket, and of each of its parts. Only the last row is held, however long a bucket is.
     """
     held = None
+    out = lambda cols: pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["bucket", "part", "short", "first"])
     for batch in batches:
         bucket, short = (np.asarray(batch.column(i)) for i in (0, 1))
         if not len(bucket):
             continue
-        first, mark = short.copy(), np.zeros(len(bucket), bool)
+        first, place, mark = short.copy(), np.zeros(len(bucket), np.int64), np.zeros(len(bucket), bool)
         if held is not None:
-            bucket, short, first, mark = (np.r_[h, x] for h, x in zip(held, (bucket, short, first, mark), strict=True))
+            bucket, short, first, place, mark = (np.r_[h, x] for h, x in zip(held, (bucket, short, first, place, mark), strict=True))
         same = bucket[1:] == bucket[:-1]
         mark[1:] |= same
         mark[:-1] |= same
-        heads = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(bucket)), 0))
-        first = first[heads]
+        index = np.arange(len(bucket))
+        heads = np.maximum.accumulate(np.where(np.r_[True, ~same], index, 0))
+        first, place = first[heads], place[heads] + index - heads
+        held = bucket[-1], short[-1], first[-1], place[-1], mark[-1]
         keep = np.flatnonzero(mark[:-1])
-        held = bucket[-1], short[-1], first[-1], mark[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, short, first)], names=["bucket", "short", "first"])
-    if held is not None and held[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:3]], names=["bucket", "short", "first"])
+        more = keep[(place[keep] > 0) & (place[keep] % PART == 0)]
+        keep, short_ = np.r_[keep, more], np.r_[short[keep], first[more]]
+        yield out((bucket[keep], place[keep] // PART, short_, first[keep]))
+    if held is not None and held[4]:
+        b, s, f, p, _ = held
+        yield out(([b], [p // PART], [s], [f]))
+        if p and p % PART == 0:
+            yield out(([b], [p // PART], [f], [f]))
 
 
 def members(rows: DataFrame) -> DataFrame:
-    """(bucket, short, first) of buckets (short, buckets) that hold more than one short, written once; first: the smallest.
+    """(bucket, part, short, first) of buckets (short, buckets) that hold more than one short, written once.
+
+    One shuffle of numbers; a bucket streams through its task in an order of its own, and rows that are alone end there.
+    """
+    dealt = rows.select(F.explode("buckets").alias("bucket"), "short").repartition("bucket").sortWithinPartitions("bucket", _order())
+    return cut(dealt.mapInArrow(_shared, "bucket long, part long, short long, first long"))
+
+
+def _alike(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets words[begin[x]:begin[x + 1]] of rows a[i] and b[i] have that Jaccard similarity.
 
-    One shuffle of numbers; a bucket streams through its task in order, and rows that are alone end there.
+    words: 44 bits of each element, sorted within its row.
     """
-    dealt = rows.select(F.explode("buckets").alias("bucket"), "short").repartition("bucket").sortWithinPartitions("bucket", "short")
-    return cut(dealt.mapInArrow(_shared, "bucket long, short long, first long"))
+    size = np.diff(begin)
+    ok = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
+    todo = np.flatnonzero(ok)
+    ends = np.cumsum(size[a[todo]] + size[b[todo]])
+    at = 0
+    while at < len(todo):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+        part = todo[at:to]
+        number = np.arange(len(part), dtype=np.uint64) << np.uint64(44)
+        made = []
+        for side in (a[part], b[part]):
+            n = size[side]
+            stop = np.cumsum(n)
+            place = np.arange(stop[-1]) + np.repeat(begin[side] - (stop - n), n)
+            made.append(words[place] | np.repeat(number, n))
+        # two sorted runs, which a stable sort merges
+        merged = np.sort(np.concatenate(made), kind="stable")
+        both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> np.uint64(44)).astype(np.int64), minlength=len(part))
+        ok[part] = both >= least * (size[a[part]] + size[b[part]] - both)
+        at = to
+    return ok
 
 
-def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callable, least: float, rounds: int = 3) -> DataFrame:
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a[i] and b[i]; label[x] becomes the smallest row of x's group."""
+    while len(a):
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        if not open_.any():
+            return
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
+def _solve(sets: Callable, least: float, group: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, left): linked rows of each group, as a forest, and a row of each group that has uncompared pairs left.
+
+    All rows of a group are compared with its first, then rows that are not linked to it with all that are in another
+    component than they, up to PIVOTS of them.
+    """
+    hashes, row = sets(text)
+    words = np.sort(row.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    words = words[np.r_[True, words[1:] != words[:-1]][: len(words)]]
+    begin = np.searchsorted(words, np.arange(len(text) + 1, dtype=np.uint64) << np.uint64(44))
+    words &= np.uint64((1 << 44) - 1)
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(group)]))
+    index, used, found = np.arange(len(group)), np.zeros(len(group), bool), []
+    label, pivot = index.copy(), start
+    for _ in range(PIVOTS + 1):
+        used[pivot] = True
+        mate = np.full(len(start), -1)
+        mate[of[pivot]] = pivot
+        mine = mate[of]
+        i = np.flatnonzero((mine >= 0) & (label != label[mine]))
+        hit = _alike(words, begin, mine[i], i, least)
+        found.append((mine[i[hit]], i[hit]))
+        merge(label, *found[-1])
+        open_ = (label != label[start][of]) & ~used
+        pivot = np.minimum.reduceat(np.where(open_, index, len(group)), start)
+        pivot = pivot[pivot < len(group)]
+        if not len(pivot):
+            break
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), pivot
+
+
+def _meet(sets: Callable, least: float, limit: int = 1_000_000):
+    """MET: links (ka, kb) within the parts of buckets, and the buckets (left) that have uncompared pairs left.
+
+    Rows (bucket, part, key, text) come sorted by part, each part's first before the others. Parts are compared as many
+    at a time as have limit bytes of text; a part of over twice that goes in pieces, each with its first.
+    """
+    names = ["left", "ka", "kb"]
+
+    def told(held, torn):
+        key, text = (pa.concat_arrays([x.column(n) for x, _ in held]) for n in ("key", "text"))
+        bucket = np.concatenate([np.asarray(x.column("bucket")) for x, _ in held])
+        a, b, left = _solve(sets, least, np.concatenate([g for _, g in held]), text)
+        left = np.unique(np.r_[bucket[left], bucket[-1:]] if torn else bucket[left])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), key.take(pa.array(a)), key.take(pa.array(b))], names=names)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.nulls(len(left), pa.binary()), pa.nulls(len(left), pa.binary())], names=names)
+
+    def run(batches):
+        held, size, last, number, head = [], 0, None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bucket, part = np.asarray(batch.column("bucket")), np.asarray(batch.column("part"))
+            fresh = np.r_[(bucket[0], part[0]) != last, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]
+            last = bucket[-1], part[-1]
+            group = number + np.cumsum(fresh)
+            number = int(group[-1])
+            heads, ends = np.flatnonzero(fresh), np.cumsum(np.maximum(np.asarray(pc.binary_length(batch.column("text")), np.int64), 8))
+            at = 0
+            while at < n:
+                base = (ends[at - 1] if at else 0) - size
+                if fresh[at] and size > limit:
+                    yield from told(held, False)
+                    held, size = [], 0
+                    continue
+                over = np.searchsorted(heads, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
+                soft = int(heads[over]) if over < len(heads) else n
+                hard = max(int(np.searchsorted(ends, base + 2 * limit, "right")), at + (len(held) < 2))
+                to = min(soft, hard)
+                if to > at:
+                    held.append((batch.slice(at, to - at), group[at:to]))
+                    size += int(ends[to - 1] - (ends[at - 1] if at else 0))
+                    own = heads[(heads >= at) & (heads < to)]
+                    head = (batch.slice(own[-1], 1), group[own[-1] : own[-1] + 1]) if len(own) else head
+                if to < n and to < soft and not fresh[to]:
+                    yield from told(held, True)
+                    held, size = [head], int(pc.binary_length(head[0].column("text"))[0].as_py())
+                at = to
+        if held:
+            yield from told(held, False)
+
+    return run
+
+
+MET = "left long, ka binary, kb binary"
+
+
+def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callable, least: float, rounds: int = 3, sets: Callable | None = None) -> DataFrame:
     """(a, b): keys whose links make the components of all pairs that share a bucket and have the similarity.
 
     member: as members() gives it. text: (short, key, text). similar and tokens are for mapInArrow: the one tells
     ok for (a, b, ka, kb, ta, tb), the other lists (TOKENS) the distinct shingles of (short, key, text).
 
-    Each member is compared with its bucket's first, and those that are unlike it among themselves, for so many
-    rounds: that joins large groups of copies by few pairs a member, as their buckets mostly have the same first. Then
+    With sets, which gives (hash, row) of the shingles of an array of texts, the texts go to the parts of their buckets and
+    are compared there (_solve), and buckets of one part that have no pair left are done. Without, each
+    member is compared with its bucket's first, and those that are unlike it among themselves, for so many
+    rounds: that joins large groups of copies by few pairs a member and moves a text fewer times. Then
     whatever two members of a bucket are still in different components are compared too: by all their pairs if
     the bucket has FEW members or fewer, else by rest_pairs(), which loses none.
     """
-    done = None
-    pairs = member.where("short <> first").select("bucket", F.col("first").alias("a"), F.col("short").alias("b"))
     side = lambda x: text.select(F.col("short").alias(x), F.col("key").alias(f"k{x}"), F.col("text").alias(f"t{x}"))
     told = lambda p: p.join(side("a"), "a").join(side("b"), "b").mapInArrow(similar, PAIRS)
+    keys = lambda d: d.where("ok").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    if sets:
+        dealt = member.join(text, "short").repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("short") != F.col("first"), "short")
+        met = cut(dealt.select("bucket", "part", "key", "text").mapInArrow(_meet(sets, least), MET))
+        sure = met.where("left is null").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        left = cut(met.where("left is not null").select(F.col("left").alias("bucket")).union(member.where("part > 0").select("bucket")).distinct())
+        if left.isEmpty():
+            return sure
+        member, done = member.join(left, "bucket", "left_semi"), None
+    else:
+        done = _rounds(member, told, rounds)
+        sure = keys(done)
+    groups = connected_components(sure).withColumnRenamed("node", "key")
+    named = cut(text.select("short", "key").distinct().join(groups, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    own = member.select("bucket", "short").distinct().join(named.select("short", "component"), "short")
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("n")).where("_a <> _b and n > 2")
+    own = cut(own.join(mixed.select("bucket", "n"), "bucket"))
+    small = own.where(F.col("n") <= FEW)
+    x, y = (small.select("bucket", F.col("short").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    listed = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b")
+    large = named.join(own.where(F.col("n") > FEW).select("short").distinct(), "short", "left_semi")
+    rest = listed.unionByName(rest_pairs(large, text, tokens, least)).distinct()
+    if done is not None:
+        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = rest.join(known, ["a", "b"], "left_anti")
+    return sure.unionByName(keys(told(rest)))
+
+
+def _rounds(member: DataFrame, told: Callable, rounds: int) -> DataFrame:
+    """PAIRS of members and their bucket's first, then of those that are unlike it and the first of them, and so on."""
+    done = None
+    pairs = member.where("short <> first").select("bucket", F.col("first").alias("a"), F.col("short").alias("b"))
     for turn in range(rounds):
         now = pairs.select("a", "b").distinct()
         if done is not None:
@@ -76,23 +258,11 @@ def links(member: DataFrame, text: DataFrame, similar: Callable, tokens: Callabl
         if turn == rounds - 1:
             break
         left = pairs.join(done.where("not ok").select("a", "b").distinct(), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("short"))
-        again = left.groupBy("bucket").agg(F.min("short").alias("a"))
-        pairs = cut(left.join(again, "bucket").where("short <> a").select("bucket", "a", F.col("short").alias("b")))
+        again = left.groupBy("bucket").agg(F.min(F.struct(_order().alias("h"), F.col("short"))).alias("f"))
+        pairs = cut(left.join(again.select("bucket", F.col("f.short").alias("a")), "bucket").where("short <> a").select("bucket", "a", F.col("short").alias("b")))
         if pairs.isEmpty():
             break
-    keys = lambda d: d.where("ok").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    groups = connected_components(keys(done)).withColumnRenamed("node", "key")
-    named = cut(text.select("short", "key").distinct().join(groups, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    own = member.select("bucket", "short").join(named.select("short", "component"), "short")
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("n")).where("_a <> _b and n > 2")
-    own = cut(own.join(mixed.select("bucket", "n"), "bucket"))
-    small = own.where(F.col("n") <= FEW)
-    x, y = (small.select("bucket", F.col("short").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    listed = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b")
-    large = named.join(own.where(F.col("n") > FEW).select("short").distinct(), "short", "left_semi")
-    rest = listed.unionByName(rest_pairs(large, text, tokens, least)).distinct()
-    known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return keys(done).unionByName(keys(told(rest.join(known, ["a", "b"], "left_anti"))))
+    return done
 
 
 def rest_pairs(named: DataFrame, text: DataFrame, tokens: Callable, least: float) -> DataFrame:

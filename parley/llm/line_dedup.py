@@ -43,17 +43,25 @@ def _characters(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[
     return mix(code + np.uint64(1)), number[start], number[stop]
 
 
+def _inside(start: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Marks start[i] + 0 .. count[i] - 1, of stretches that do not meet, among n places."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[start] = 1
+    edge[start + count] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def _shingles(data: np.ndarray, start: np.ndarray, stop: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line) of all shingles of k characters of lines; a shorter line is one shingle."""
     codes, start, stop = _characters(data, start, stop)
     whole, short = np.flatnonzero(stop - start >= k), np.flatnonzero(stop - start < k)
     count = stop[whole] - start[whole] - k + 1
-    hashes = joined(codes, k)[ranges(start[whole], count)] if len(whole) else np.zeros(0, np.uint64)
+    hashes = joined(codes, k)[_inside(start[whole], count, len(codes) - k + 1)] if len(whole) else np.zeros(0, np.uint64)
     few = np.zeros(len(short), np.uint64)
     for i in range(k - 1 if len(short) else 0):
         inside = start[short] + i < stop[short]
         few = np.where(inside, mix(few * np.uint64(3) + codes[np.where(inside, start[short] + i, 0)]), few)
-    return mix(np.concatenate([hashes, few])), np.concatenate([np.repeat(whole, count), short])
+    return np.concatenate([hashes, few]), np.concatenate([np.repeat(whole, count), short])
 
 
 def signatures(hashes: np.ndarray, line: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -153,14 +161,21 @@ def _cut_out(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ranges(start, size)]))])
 
 
-def _similar(shingle: int, least: float):
-    """Keeps the pairs (a, b) of lines whose sets of shingles have that Jaccard similarity."""
+def _sets(shingle: int):
+    """(hash, row) of the shingles of an array of texts."""
 
-    def sets(col):
+    def told(col: pa.Array):
         data, offsets = np.frombuffer(col.buffers()[2] or b"", np.uint8), np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         return _shingles(data, offsets[:-1], offsets[1:], shingle)
 
+    return told
+
+
+def _similar(shingle: int, least: float):
+    """Keeps the pairs (a, b) of lines whose sets of shingles have that Jaccard similarity."""
+    sets = _sets(shingle)
+
     def run(batches):
         with np.errstate(over="ignore"):
             for whole in batches:
@@ -209,7 +224,7 @@ def _tokens(shingle: int):
     return run
 
 
-def line_links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, rounds: int = 1) -> DataFrame:
+def line_links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): keys of distinct lines; they make the components of all lines that share a band and whose shingle
     sets have the Jaccard similarity or more.
 
@@ -225,7 +240,7 @@ def line_links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, sim
     text = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "asked").mapInArrow(_texts, "key binary, text binary")
     # a doc_id with several texts may bring a line twice, or another one
     text = text.withColumn("short", F.xxhash64("key")).dropDuplicates(["key"]).select("short", "key", "text")
-    return bucket_links.links(member, cut(text), _similar(shingle, similarity), _tokens(shingle), similarity, rounds)
+    return bucket_links.links(member, cut(text), _similar(shingle, similarity), _tokens(shingle), similarity, sets=_sets(shingle))
 
 
 def repeated_lines(docs: DataFrame, **options) -> DataFrame:
@@ -239,7 +254,7 @@ def repeated_lines(docs: DataFrame, **options) -> DataFrame:
     place = F.struct("doc_id", "line")
     lines = read_lines(docs, **{k: v for k, v in options.items() if k in ("shingle", "bands", "rows")})
     distinct = cut(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("buckets").alias("buckets")))
-    groups = connected_components(line_links(docs, distinct, **{k: v for k, v in options.items() if k in ("shingle", "similarity", "rounds")}))
+    groups = connected_components(line_links(docs, distinct, **{k: v for k, v in options.items() if k in ("shingle", "similarity")}))
     first = distinct.select("key", "first", "n").join(groups.withColumnRenamed("node", "key"), "key", "left")
     first = cut(first.where("n > 1 or component is not null").select("key", F.coalesce("component", "key").alias("component"), "first"))
     kept = first.groupBy("component").agg(F.min("first").alias("kept"))

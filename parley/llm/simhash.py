@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import bucket_links
+from parley.llm.bucket_links import merge as _merge
 from parley.llm.common import connected_components, cut, table
 from parley.llm.line_dedup import binary, bucket_hashes, signatures
 from parley.llm.textblocks import LOWER, SPACE, chunks, mix, names, word_grams, words
@@ -116,22 +117,6 @@ def route(tree: dict | None, values: np.ndarray, radius: int) -> list[tuple[int,
     return out
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the groups of a[i] and b[i]; label[x] becomes the smallest row of x's group."""
-    while len(a):
-        la, lb = label[a], label[b]
-        open_ = la != lb
-        if not open_.any():
-            return
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label[:] = up
-
-
 def _shard_links(lanes: np.ndarray, home: np.ndarray, block: tuple, block_radius: int, radius: int) -> np.ndarray:
     """Group of each row among those that links join: the tree goes on inside the shard, and leaves are compared whole."""
     values, label = _block(lanes, block), np.arange(len(lanes))
