@@ -16,9 +16,9 @@ from parley.llm.common import connected_components, cut
 #: Members of a bucket whose pairs are listed; larger buckets go through prefixes.
 FEW = 16
 #: Members of a part of a bucket: larger buckets are dealt out in parts, each with the bucket's first.
-PART = 4096
-#: Members that _solve() compares with all others of their part.
-PIVOTS = 16
+PART = 2048
+#: Bins of the counts that bound an overlap from above.
+BINS = 256
 PAIRS = "a long, b long, ka binary, kb binary, ok boolean"
 TOKENS = "short long, key binary, token long, size long"
 
@@ -68,14 +68,20 @@ def members(rows: DataFrame) -> DataFrame:
     return cut(dealt.mapInArrow(_shared, "bucket long, part long, short long, first long"))
 
 
-def _alike(words: np.ndarray, begin: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def _alike(words: np.ndarray, begin: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Whether the sets words[begin[x]:begin[x + 1]] of rows a[i] and b[i] have that Jaccard similarity.
 
-    words: 44 bits of each element, sorted within its row.
+    words: 44 bits of each element, sorted within its row; counts: elements of each row by bin, which bound the overlap from
+    above, so that most pairs that are unlike need no more.
     """
     size = np.diff(begin)
     ok = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b])
     todo = np.flatnonzero(ok)
+    for at in range(0, len(todo), 2048):
+        part = todo[at : at + 2048]
+        most = np.minimum(counts[a[part]], counts[b[part]]).sum(axis=1, dtype=np.int64)
+        ok[part] = most >= least * (size[a[part]] + size[b[part]] - most)
+    todo = np.flatnonzero(ok)
     ends = np.cumsum(size[a[todo]] + size[b[todo]])
     at = 0
     while at < len(todo):
@@ -112,54 +118,56 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _solve(sets: Callable, least: float, group: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, left): linked rows of each group, as a forest, and a row of each group that has uncompared pairs left.
+def _solve(sets: Callable, least: float, group: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): linked rows of each group; they make the components of all its links.
 
-    All rows of a group are compared with its first, then rows that are not linked to it with all that are in another
-    component than they, up to PIVOTS of them.
+    All rows of a group are compared with its first, then each row that is not linked to it with all that are in another
+    component than it, until no such row is left.
     """
     hashes, row = sets(text)
     words = np.sort(row.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
     words = words[np.r_[True, words[1:] != words[:-1]][: len(words)]]
     begin = np.searchsorted(words, np.arange(len(text) + 1, dtype=np.uint64) << np.uint64(44))
     words &= np.uint64((1 << 44) - 1)
+    counts = np.bincount(np.repeat(np.arange(len(text)), np.diff(begin)) * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=len(text) * BINS).reshape(-1, BINS)
+    counts = counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(group)]))
     index, used, found = np.arange(len(group)), np.zeros(len(group), bool), []
     label, pivot = index.copy(), start
-    for _ in range(PIVOTS + 1):
+    while len(pivot):
         used[pivot] = True
         mate = np.full(len(start), -1)
         mate[of[pivot]] = pivot
         mine = mate[of]
         i = np.flatnonzero((mine >= 0) & (label != label[mine]))
-        hit = _alike(words, begin, mine[i], i, least)
-        found.append((mine[i[hit]], i[hit]))
+        hit = _alike(words, begin, counts, mine[i], i, least)
+        # one link to each component is enough
+        i = i[hit]
+        i = i[np.unique(label[i], return_index=True)[1]]
+        found.append((mine[i], i))
         merge(label, *found[-1])
         open_ = (label != label[start][of]) & ~used
         pivot = np.minimum.reduceat(np.where(open_, index, len(group)), start)
         pivot = pivot[pivot < len(group)]
-        if not len(pivot):
-            break
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), pivot
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _meet(sets: Callable, least: float, limit: int = 1_000_000):
-    """MET: links (ka, kb) within the parts of buckets, and the buckets (left) that have uncompared pairs left.
+    """MET: links (ka, kb) of all pairs within the parts of buckets, and the buckets (left) of parts that were torn.
 
     Rows (bucket, part, key, text) come sorted by part, each part's first before the others. Parts are compared as many
-    at a time as have limit bytes of text; a part of over twice that goes in pieces, each with its first.
+    at a time as have limit bytes of text (a row counts as 64 at least); a part of over twice that is torn into pieces,
+    each with the part's first.
     """
     names = ["left", "ka", "kb"]
 
     def told(held, torn):
         key, text = (pa.concat_arrays([x.column(n) for x, _ in held]) for n in ("key", "text"))
-        bucket = np.concatenate([np.asarray(x.column("bucket")) for x, _ in held])
-        a, b, left = _solve(sets, least, np.concatenate([g for _, g in held]), text)
-        left = np.unique(np.r_[bucket[left], bucket[-1:]] if torn else bucket[left])
+        a, b = _solve(sets, least, np.concatenate([g for _, g in held]), text)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), key.take(pa.array(a)), key.take(pa.array(b))], names=names)
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.nulls(len(left), pa.binary()), pa.nulls(len(left), pa.binary())], names=names)
+        if torn:
+            yield pa.RecordBatch.from_arrays([held[-1][0].column("bucket")[-1:], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=names)
 
     def run(batches):
         held, size, last, number, head = [], 0, None, 0, None
@@ -172,7 +180,7 @@ def _meet(sets: Callable, least: float, limit: int = 1_000_000):
             last = bucket[-1], part[-1]
             group = number + np.cumsum(fresh)
             number = int(group[-1])
-            heads, ends = np.flatnonzero(fresh), np.cumsum(np.maximum(np.asarray(pc.binary_length(batch.column("text")), np.int64), 8))
+            heads, ends = np.flatnonzero(fresh), np.cumsum(np.maximum(np.asarray(pc.binary_length(batch.column("text")), np.int64), 64))
             at = 0
             while at < n:
                 base = (ends[at - 1] if at else 0) - size
