@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from parley.config import DEFAULTS
 
-# Labels of a public sound-event ontology.
-SPEECH = ["Speech", "Male speech, man speaking", "Female speech, woman speaking", "Child speech, kid speaking", "Conversation", "Narration, monologue", "Speech synthesizer", "Shout", "Whispering"]
-NOISE = ["Typing", "Computer keyboard", "Mouse", "Click", "Cough", "Throat clearing", "Sneeze", "Sniff", "Breathing", "Door", "Knock", "Tap", "Slam", "Squeak", "Rustle", "Crumpling, crinkling", "Tearing", "Mechanical fan", "Air conditioning", "Hum", "Static", "White noise", "Telephone bell ringing", "Ringtone", "Alarm", "Chink, clink", "Scratch", "Silence"]
-
 
 def best_label(scores: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
     """(keys, score, label): the highest score of any window among the labels, ties to the first label of the list;

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.functions.text import BLANKS, MARKS
 from parley.operators import drift as dr
 from parley.operators import quality as ql
 from parley.plans import stream_queries as sq
@@ -129,9 +130,11 @@ def lost_turns(spark, d):
 
 
 def near_blocks(spark, d):
+    """Lines of all documents against those of toxic ones of low quality; other characters than ASCII count as one, as SQL counts bytes."""
     docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
-    lines = docs.where("doc_id % 17 = 0").select(F.left("text", F.lit(60)).alias("line"))
-    finals = docs.select("doc_id", F.concat(F.left("text", F.lit(55)), F.lit("odd"), F.expr("substring(text, 56, 5)")).alias("transcript"))
+    toxic = docs.join(table(spark, d, "labels").where("toxic = 1 and quality = 0").select("doc_id"), "doc_id", "left_semi")
+    lines = toxic.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    finals = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("transcript"))
     return dr.near_block_list(finals, lines, ["doc_id"]).select("doc_id", F.md5("line").alias("line_md5"), "distance")
 
 
@@ -261,12 +264,12 @@ SELECT doc_id, regexp_matches(text, '(?:^|\\s)(?:\\p{L}\\s+){3,}\\p{L}(?:\\s|$)'
 SELECT session_id, sentence_id, run, label FROM l WHERE l = label AND p = run - 1""",
     "hop_windows": f"WITH {FRAMES} SELECT session_id, w AS window_idx, count(*) AS n, avg(power) AS level FROM (SELECT *, unnest(range(greatest(CAST(floor((frame_idx - 10) / 4.0) AS BIGINT) + 1, 0), frame_idx // 4 + 1)) AS w FROM frames) GROUP BY 1, 2",
 }
-_EXACT = "lower(regexp_replace({0}, '[\\s.,!?;:…。、！？「」『』（）()\"''“”‘’\\-–—·・~〜]', '', 'g'))"
-SQL["near_block_list"] = f"""WITH plain AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents), l AS (SELECT DISTINCT left(text, 60) AS line FROM plain WHERE doc_id % 17 = 0), b AS (SELECT line, {_EXACT.format('line')} AS l FROM l),
-f AS (SELECT doc_id, {_EXACT.format("left(text, 55) || 'odd' || substr(text, 56, 5)")} AS t FROM plain),
-p AS (SELECT doc_id, line, t, l FROM f JOIN b ON (left(t, 3) = left(l, 3) OR right(t, 3) = right(l, 3)) AND abs(length(t) - length(l)) <= 0.25 * greatest(length(t), length(l)) WHERE t <> '' AND l <> ''),
-m AS (SELECT DISTINCT doc_id, line, levenshtein(t, l) / greatest(length(t), length(l), 1) AS distance FROM p)
-SELECT doc_id, md5(line) AS line_md5, distance FROM m WHERE distance > 0 AND distance <= 0.25"""
+_EXACT = "lower(regexp_replace({0}, '[" + (BLANKS + MARKS).replace("'", "''").replace("{", "{{").replace("}", "}}") + "]', '', 'g'))"
+SQL["near_block_list"] = f"""WITH plain AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), chr(10))) AS line FROM documents),
+b AS (SELECT DISTINCT line, {_EXACT.format('line')} AS l FROM plain JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0), f AS (SELECT doc_id, {_EXACT.format('line')} AS t FROM plain),
+p AS (SELECT DISTINCT t, l FROM (SELECT DISTINCT t FROM f WHERE t <> '') JOIN (SELECT DISTINCT l FROM b WHERE l <> '') ON length(l) BETWEEN 0.75 * length(t) AND length(t) / 0.75),
+m AS (SELECT t, l, levenshtein(t, l) / greatest(length(t), length(l), 1) AS distance FROM p)
+SELECT DISTINCT doc_id, md5(line) AS line_md5, distance FROM m JOIN f USING (t) JOIN b USING (l) WHERE distance > 0 AND distance <= 0.25"""
 SQL["agreed_prefix"] = f"""WITH {TEXTS}, w AS (SELECT session_id, seq, string_split(trim(regexp_replace(transcript, '\\s+', ' ', 'g')), ' ') AS w FROM tx), b AS (SELECT *, lag(w) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM w),
 n AS (SELECT session_id, seq, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, greatest(len(w), len(b)) + 1), lambda i: coalesce(w[i] = b[i], false)), false) - 1, len(w)) END AS n FROM b)
 SELECT session_id, seq, CAST(max(n) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS agreed FROM n"""

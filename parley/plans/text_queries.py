@@ -20,24 +20,32 @@ LANG = {"user": "xx", "assistant": "yy"}
 
 
 def pieces(spark, d):
-    """Documents as decoded pieces of a session per source; their figures come from the text itself."""
+    """The lines of documents as decoded pieces of an utterance each; their figures come from the text itself."""
+    own = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     n = F.length("text")
-    return table(spark, d, "documents").select(
-        F.col("source").alias("session_id"), F.floor(F.col("doc_id") / 50).cast("long").alias("utt_id"), F.col("doc_id").alias("piece_idx"), F.left("text", F.lit(200)).alias("text"),
+    return own.select(
+        F.col("source").alias("session_id"), F.col("doc_id").alias("utt_id"), (F.shiftleft("doc_id", 32) + F.col("i")).alias("piece_idx"), "text",
         (n % 2000).cast("double").alias("duration_ms"), (-(n % 130) / 100).alias("avg_logprob"), ((n % 97) / 97).alias("no_speech_prob"), ((n % 61) / 25).alias("ratio"),
     )
 
 
-PIECES = """pieces AS (SELECT source AS session_id, doc_id // 50 AS utt_id, doc_id AS piece_idx, left(text, 200) AS text, CAST(length(text) % 2000 AS DOUBLE) AS duration_ms,
-  -(length(text) % 130) / 100 AS avg_logprob, (length(text) % 97) / 97 AS no_speech_prob, (length(text) % 61) / 25 AS ratio FROM documents)"""
+PIECES = """lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+pieces AS (SELECT source AS session_id, doc_id AS utt_id, doc_id * 4294967296 + i AS piece_idx, text, CAST(length(text) % 2000 AS DOUBLE) AS duration_ms,
+  -(length(text) % 130) / 100 AS avg_logprob, (length(text) % 97) / 97 AS no_speech_prob, (length(text) % 61) / 25 AS ratio FROM lines)"""
+
+
+def lines_of(spark, d, judged):
+    """The lines of the documents with that label."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").where(judged).select("doc_id"), "doc_id", "left_semi")
+    return docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
 
 
 def block_list(spark, d):
-    return table(spark, d, "documents").where("doc_id % 37 = 0").select(F.concat(F.left("text", F.lit(200)), F.lit(" !")).alias("line"))
+    return lines_of(spark, d, "toxic = 1").select(F.concat("line", F.lit(" !")).alias("line"))
 
 
 def keep_list(spark, d):
-    return table(spark, d, "documents").where("doc_id % 74 = 0").select(F.left("text", F.lit(200)).alias("line"))
+    return lines_of(spark, d, "quality = 0")
 
 
 def judged_pieces(spark, d):
@@ -45,9 +53,11 @@ def judged_pieces(spark, d):
     return own.withColumn("reason", gd.refuse_reason(*(F.col(c) for c in ("text", "no_speech_prob", "avg_logprob", "ratio", "duration_ms", "invented"))))
 
 
-_EX = "lower(regexp_replace({0}, '[\\s.,!?;:…。、！？「」『』（）()\"''“”‘’\\-–—·・~〜]', '', 'g'))"
-_SP = "trim(regexp_replace(lower(regexp_replace({0}, '[\\s.,!?;:…。、！？「」『』（）()\"''“”‘’\\-–—·・~〜]', ' ', 'g')), ' +', ' ', 'g'))"
-JUDGED = f"""{PIECES}, bl AS (SELECT DISTINCT {_EX.format("left(text, 200) || ' !'")} AS n FROM documents WHERE doc_id % 37 = 0), kl AS (SELECT DISTINCT {_EX.format("left(text, 200)")} AS n FROM documents WHERE doc_id % 74 = 0),
+_CLASS = (tx.BLANKS + tx.MARKS).replace("'", "''").replace("{", "{{").replace("}", "}}")
+_EX = "lower(regexp_replace({0}, '[" + _CLASS + "]', '', 'g'))"
+_SP = "trim(lower(regexp_replace({0}, '[" + _CLASS + "]+', ' ', 'g')), ' ')"
+JUDGED = f"""{PIECES}, lab AS (SELECT text, toxic, quality FROM lines JOIN labels USING (doc_id)),
+bl AS (SELECT DISTINCT {_EX.format("text || ' !'")} AS n FROM lab WHERE toxic = 1), kl AS (SELECT DISTINCT {_EX.format("text")} AS n FROM lab WHERE quality = 0),
 ls AS (SELECT *, ({_EX.format('text')} IN (SELECT n FROM bl WHERE n <> '') OR regexp_full_match({_SP.format('text')}, 'the .* of')) AND {_EX.format('text')} NOT IN (SELECT n FROM kl) AS invented FROM pieces),
 judged AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN no_speech_prob > 0.6 AND (duration_ms < 600 OR avg_logprob <= -1) THEN 'no speech' WHEN avg_logprob < -1 THEN 'low confidence'
   WHEN ratio > 2.4 THEN 'repetition' WHEN invented THEN 'known hallucination' ELSE '' END AS reason FROM ls)"""

@@ -166,7 +166,7 @@ def test_guard_table(spark):
 
 
 def test_answers(spark):
-    raw = {"Sure! Here is the translation: X": "X", "Translation: X": "X", "翻訳：X": "X", '"X"': "X", "「X」": "X", "Certainly: 「X」": "X", "Xin chào: hôm nay": "Xin chào: hôm nay", '"': '"', "<think>a</think>X": "X", "<think>a": ""}
+    raw = {"Sure! Here is the translation: X": "X", "Translation: X": "X", "翻訳：X": "X", '"X"': "X", "「X」": "X", "Certainly: 「X」": "X", "Xin chào: hôm nay": "Xin chào: hôm nay", '"': '"', "<think>a</think>X": "X", "<think>a": "", "<THINK>a</THINK>X": "X", " <Think>a": "", "a <think> b": "a <think> b", "「“X”」": "X", "Sure X": "X", "got it, X": "X", "Here is what you asked: X": "X", "Here's the\nX": "Here's the\nX", "Sure! Okay. Dịch: 'X'": "X", "Surely X": "Surely X", "\u3000X\u3000": "X", "": "", None: ""}
     df = spark.createDataFrame([(k,) for k in raw], "a string")
     assert {r.a: r.c for r in df.select("a", tx.clean_answer(C("a")).alias("c")).collect()} == raw
     ratios = {"15": None, "Task đó": 0.0, "プレー": 1.0, "コーヒー": 1.0, "人々": 0.5, "ｶﾅ": 0.0}
