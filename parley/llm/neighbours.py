@@ -12,14 +12,14 @@ from parley.llm.common import cut, table
 
 #: Pivots are drawn from at most this many rows.
 PIVOT_SAMPLE = 2048
-PIVOTS = 64
-#: Places of a vector's permutation that are posted.
+PIVOTS = 512
+#: Places of a vector's permutation that are posted: it stands in the inverted files of so many pivots.
 PREFIX = 32
 #: Rows of a block of the index, and of queries, that one task holds at a time.
 BLOCK = 8192
 QUERY_BLOCK = 1024
 #: Share of a block that is ranked best by footrule distance and then reranked.
-RERANK = 0.3
+RERANK = 0.2
 
 
 def usable(embedding: Column) -> Column:
@@ -42,14 +42,20 @@ def _ranks(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.minimum(ranks, prefix)
 
 
-def _shared(rq: np.ndarray, rx: np.ndarray, prefix: int) -> np.ndarray:
-    """Footrule nearness from the posting lists of the block: 2 * this = a constant - the distance."""
-    near = np.zeros((len(rq), len(rx)), dtype=np.int16)
-    for p in range(rx.shape[1]):
-        posted = np.flatnonzero(rx[:, p] < prefix)
-        asked = np.flatnonzero(rq[:, p] < prefix)
-        if len(posted) and len(asked):
-            near[np.ix_(asked, posted)] += prefix - np.maximum.outer(rq[asked, p], rx[posted, p])
+def _files(ranks: np.ndarray, prefix: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The inverted file of each pivot: the rows that have it among their prefix nearest, and its places there."""
+    row, pivot = np.nonzero(ranks < prefix)
+    order = np.argsort(pivot, kind="stable")
+    ends = np.cumsum(np.bincount(pivot, minlength=ranks.shape[1]))[:-1]
+    return list(zip(np.split(row[order], ends), np.split(ranks[row, pivot][order], ends), strict=True))
+
+
+def _nearness(asked: list, posted: list, n_asked: int, n_posted: int, prefix: int) -> np.ndarray:
+    """Footrule nearness of asked and posted rows from their inverted files: 2 * this = a constant - the distance."""
+    near = np.zeros((n_asked, n_posted), dtype=np.int16)
+    for (a, ra), (x, rx) in zip(asked, posted, strict=True):
+        if len(a) and len(x):
+            near[np.ix_(a, x)] += prefix - np.maximum.outer(ra, rx)
     return near
 
 
@@ -64,8 +70,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = R
 
     vectors, queries: vec_id, embedding of the same length; other columns are ignored. Every vector is
     indexed: its pivots in order of nearness (prefix of them) are posted in the inverted files of
-    its block. A query meets every block; a block's rows are ranked by footrule distance of the
-    permutations, and the best share rerank of them by exact cosine. Pivots are a seeded sample of at most
+    its block. A query meets every block, the stated queries against all rows; the files of its own pivots give the footrule
+    distance of its permutation to a block's rows, and only the best share rerank of them is compared as vectors, by
+    exact cosine. Pivots are a seeded sample of at most
     PIVOT_SAMPLE rows. Nearest first, ties to the smaller vec_id; a row of the query's own
     vec_id is no candidate, repeated rows count once. Null ids, and vectors null, empty, zero or
     not finite, take no part; vectors of another length than most of the sample neither.
@@ -100,20 +107,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = R
                 q_raw, x_raw = qr.as_py(), xr.as_py()
                 q, x = np.frombuffer(q_raw, "<f8").reshape(-1, dim), np.frombuffer(x_raw, "<f8").reshape(-1, dim)
                 uq, ux = _unit(q_raw, dim), _unit(x_raw, dim)
-                rx, keep = _ranks(ux, points, prefix), max(2 * k + 1, int(np.ceil(rerank * len(x))))
+                posted, keep = _files(_ranks(ux, points, prefix), prefix), min(len(x), max(2 * k + 1, int(np.ceil(rerank * len(x)))))
                 for at in range(0, len(q), 256):
-                    near = _shared(_ranks(uq[at : at + 256], points, prefix), rx, prefix)
+                    part = uq[at : at + 256]
+                    near = _nearness(_files(_ranks(part, points, prefix), prefix), posted, len(part), len(x), prefix)
                     out_q, out_x = [], []
-                    dots = uq[at : at + 256] @ ux.T
-                    if keep < len(x):
-                        edge = np.partition(near, len(x) - keep, axis=1)[:, len(x) - keep, None]
-                        dots[near < edge] = -9
-                    dots[q_ids[at : at + 256, None] == x_ids[None]] = -9
-                    for i in range(len(dots)):
+                    for i, own in enumerate(near):
+                        # the rows that share the nearest pivots: these alone are compared as vectors
+                        few = np.argpartition(own, len(x) - keep)[len(x) - keep :]
+                        few = few[x_ids[few] != q_ids[at + i]]
+                        dots = ux[few] @ part[i]
                         # all that may be among the k best, rounding and ties included
-                        few = min(k, len(x))
-                        least = np.partition(dots[i], len(x) - few)[len(x) - few] - 1e-9
-                        hit = np.flatnonzero((dots[i] >= max(least, -2)))
+                        best = min(k, len(few))
+                        hit = few[dots >= np.partition(dots, len(few) - best)[len(few) - best] - 1e-9] if best else few
                         out_q.append(np.full(len(hit), at + i))
                         out_x.append(hit)
                     i, j = np.concatenate(out_q), np.concatenate(out_x)
