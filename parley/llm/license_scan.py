@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm.common import table
+from parley.llm.common import cut, table
 
 # Phrases that count exactly (base), with their labels.
 PHRASES = [
@@ -47,10 +47,10 @@ def grams(ws: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, exact, length, gram, at): the K-grams of the texts above, a few hundred rows."""
+    """(template, label, exact, length, w, gram, at): the words and K-grams of the texts above, a few hundred rows."""
     rows = [(i, label, exact, t) for i, (label, exact, t) in enumerate([(a, True, b) for a, b in PHRASES] + [(a, False, b) for a, b in NOTICES])]
     t = spark.createDataFrame(rows, "template int, label string, exact boolean, text string").withColumn("w", words(F.col("text")))
-    return t.select("template", "label", "exact", F.size("w").alias("length"), F.posexplode(grams(F.col("w"))).alias("at", "gram"))
+    return t.select("template", "label", "exact", F.size("w").alias("length"), "w", F.posexplode(grams(F.col("w"))).alias("at", "gram"))
 
 
 def scan(docs: DataFrame, drift: int = 2, min_share: float = 0.6) -> DataFrame:
@@ -60,16 +60,19 @@ def scan(docs: DataFrame, drift: int = 2, min_share: float = 0.6) -> DataFrame:
     places that have it; the offset between both is its diagonal. Votes are counted by diagonal, and
     neighbouring diagonals (an inserted or lost word or two) are merged. An exact template needs every
     K-gram on one diagonal, each place of its own; another template needs min_share
-    of its K-grams. text_id tells texts under one doc_id apart; repeated rows count once.
+    of its K-grams. The words of each such span are then compared: those of an exact template are its own, and share
+    is the part of another template's K-grams, as words, that the span has. text_id tells texts under one doc_id apart; repeated rows count once.
     Null and empty texts have no spans. Rows of null doc_id are kept apart by text alone.
     """
     text_id = F.xxhash64(F.coalesce("text", F.lit("")))
     found = docs.select("doc_id", text_id.alias("text_id"), F.posexplode(grams(words(F.col("text")))).alias("place", "gram"))
     # the templates are the constants of this module, whatever the data
-    found = found.join(F.broadcast(templates(docs.sparkSession)), "gram").distinct()
+    known = templates(docs.sparkSession)
+    found = found.join(F.broadcast(known.drop("w")), "gram").distinct()
     found = found.withColumn("diagonal", F.col("place") - F.col("at"))
     key = ["doc_id", "text_id", "template", "label", "exact", "length"]
-    votes = found.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("start"), F.max("place").alias("last"))
+    # a few rows, written once: both branches below read them, and the texts are scanned once
+    votes = cut(found.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("start"), F.max("place").alias("last")))
     whole = votes.where(F.col("exact") & (F.col("votes") == F.col("length") - (K - 1)))
     near = votes.where(~F.col("exact"))
     order = W.partitionBy("doc_id", "text_id", "template").orderBy("diagonal")
@@ -79,8 +82,16 @@ def scan(docs: DataFrame, drift: int = 2, min_share: float = 0.6) -> DataFrame:
     # a span as long as the template, give or take the drift of its diagonals
     near = near.where((F.col("votes") >= min_share * (F.col("length") - (K - 1))) & (F.col("last") - F.col("start") + K <= 2 * F.col("length")))
     spans = whole.drop("diagonal").unionByName(near.drop("run"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("length") - (K - 1)))
-    return spans.select("doc_id", "text_id", "template", "label", "exact", F.col("start").cast("long").alias("start"), (F.col("last") + K).cast("long").alias("stop"), "votes", share.alias("share"))
+    spans = spans.select("doc_id", "text_id", "template", "label", "exact", "length", F.col("start").cast("long").alias("start"), (F.col("last") + K).cast("long").alias("stop"), "votes")
+    # hashes only propose: the words of each span are compared with those of its template
+    texts = docs.select(F.col("doc_id").alias("_d"), text_id.alias("_t"), "text").join(spans.select("doc_id", "text_id").distinct(), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("text_id")), "left_semi")
+    texts = texts.distinct().withColumn("_w", words(F.col("text"))).select("_d", "_t", "_w")
+    span = F.slice("_w", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    three = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - (K - 1)), lambda i: F.array_join(F.slice(a, i, K), " "))
+    same = spans.join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_id") == F.col("_t"))).join(F.broadcast(known.select("template", "w").distinct()), "template")
+    alike = F.size(F.array_intersect(three(F.col("w")), three(span))) / F.size(F.array_distinct(three(F.col("w"))))
+    same = same.withColumn("share", F.when(F.col("exact"), (span == F.col("w")).cast("double")).otherwise(alike)).where(F.col("share") >= F.when(F.col("exact"), 1.0).otherwise(min_share))
+    return same.select("doc_id", "text_id", "template", "label", "exact", "start", "stop", "votes", "share")
 
 
 def label_documents(docs: DataFrame) -> DataFrame:
