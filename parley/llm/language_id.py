@@ -14,8 +14,9 @@ from parley.llm.common import table
 
 #: Bytes of learned text per language: the bound of the sample that is fitted.
 DICTIONARY_BYTES = 65_536
-#: Bytes of one document that may enter a dictionary, so that it draws on many documents.
-PIECE_BYTES = 1_024
+#: Characters of one document that may enter a dictionary, so that it draws on many documents: a stretch of the text
+#: whose place is drawn by a hash of it.
+PIECE = 1_024
 #: Bytes of a text's letters that are compressed at a time, each with the dictionary: what that saves is bounded, so
 #: a margin over one code of a long text would fall with its length.
 CODE_BYTES = 16_384
@@ -36,14 +37,15 @@ def learn(labelled: DataFrame, size: int = DICTIONARY_BYTES) -> list[tuple[str,
     """A raw-content dictionary per language, from a bounded sample of labelled rows.
 
     labelled: text, lang; rows where either is null or empty are skipped, a text is learned once however
-    often it is repeated. Of each language the first text of each bin of a hash comes in, until size bytes are
+    often it is repeated. Of each language a stretch of the first text of each bin of a hash comes in, until size bytes are
     full. The languages are told in order of their learned rows, the commonest first.
     """
-    rows = labelled.select("lang", F.substring("text", 1, PIECE_BYTES).alias("piece")).where("lang is not null and length(piece) > 0")
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1
+    rows = labelled.select("lang", F.substr("text", at, F.lit(PIECE)).alias("piece")).where("lang is not null and length(piece) > 0")
     rows = rows.withColumn("h", F.xxhash64("piece", "lang"))
-    bins = F.pmod("h", F.lit(4 * size // PIECE_BYTES))
+    bins = F.pmod("h", F.lit(4 * size // PIECE))
     few = rows.groupBy("lang", bins.alias("bin")).agg(F.min(F.struct("h", "piece")).alias("least"), F.count("*").alias("n"))
-    got = few.limit(MAX_LANGUAGES * (4 * size // PIECE_BYTES) + 1).collect()
+    got = few.limit(MAX_LANGUAGES * (4 * size // PIECE) + 1).collect()
     texts: dict[str, list] = {}
     counts: dict[str, int] = {}
     for r in sorted(got, key=lambda r: r.least):
