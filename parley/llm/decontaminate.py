@@ -6,10 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import table, union_all
+from parley.llm.common import cut, table, union_all
 from parley.llm.textblocks import ALNUM, LOWER, chunks, names, ranges, word_grams, words
 
 SHINGLE = 5
@@ -18,8 +19,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 #: Blocks of 8 bits; within 20 bits, some block differs in 20 // 8 = 2 at most.
 BLOCKS = 8
-#: Benchmark items that one pass over the documents holds in each task.
-ITEMS = 20_000
+#: Benchmark items, and bytes of their texts, that one pass over the documents holds on the driver and in each task.
+ITEMS, ITEM_BYTES = 4_000, 4_000_000
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -71,8 +72,21 @@ def _weighted(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both)
 
 
-def _find(items: Items, k: int, similarity: float, radius: int):
+#: The items of the pass that a Python worker is at, made once a worker.
+_HELD: dict = {}
+
+
+def _held(group: list[tuple[int, bytes]], k: int, radius: int) -> Items:
+    name = xxhash.xxh3_128_digest(repr((group, k, radius)))
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Items(group, k, radius)
+    return _HELD[name]
+
+
+def _find(group: list[tuple[int, bytes]], k: int, similarity: float, radius: int):
     def run(batches):
+        items = _held(group, k, radius)
         with np.errstate(over="ignore"):
             for rows, data, offsets in chunks(batches, limit=1_000_000):
                 start, stop, first = words(data, offsets, ALNUM)
@@ -143,20 +157,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     all of it) get the SimHash of their word shingles; multi-index blocks find every item within radius
     bits, and the similarity of both multisets of shingles (sum of minima over sum of maxima) decides. Of windows
     that overlap and match the same item, the nearest one is told. Items pass through the documents in groups of
-    ITEMS, so that no task holds more. Null and empty texts, items without words and null ids match nothing.
+    ITEMS and ITEM_BYTES at most, so that neither driver nor task holds more; a group's matches are written before the next. Null and empty texts, items without words and null ids match nothing.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null")
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-    passes, group = [], []
+    search = lambda group: own.mapInArrow(_find(group, shingle, similarity, radius), schema)
+    passes, group, size = [], [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        group.append((r.item_id, r.text.encode()))
-        if len(group) == ITEMS:
-            passes.append(own.mapInArrow(_find(Items(group, shingle, radius), shingle, similarity, radius), schema))
-            group = []
-    if group or not passes:
-        passes.append(own.mapInArrow(_find(Items(group, shingle, radius), shingle, similarity, radius), schema))
-    return union_all(passes)
+        text = r.text.encode()
+        if group and (len(group) == ITEMS or size + len(text) > ITEM_BYTES):
+            # written at once, so that the driver holds one group at a time
+            passes.append(cut(search(group)))
+            group, size = [], 0
+        group.append((r.item_id, text))
+        size += len(text)
+    return union_all([*passes, search(group)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
