@@ -14,21 +14,24 @@ from parley.config import DEFAULTS
 def reframe(chunks: DataFrame, frame_bytes: int = 1024, key: str = "session_id", order: str = "seq", pcm: str = "pcm", pad_tail: bool = False) -> DataFrame:
     """(key, frame_idx, pcm): the bytes of a session in frames of a fixed size, whatever the sizes of the chunks.
 
-    A chunk is cut at frame bounds by its running offset, and the pieces of a frame are put together; no task holds
-    a session. The incomplete last frame is withheld, or filled with zero bytes.
+    A chunk is cut at frame bounds by its running offset, and the pieces of a frame are put together. The running sum
+    reads sizes alone; no task holds the bytes of a session. order is unique within a session. The incomplete
+    last frame is withheld, or filled with zero bytes.
     """
     size = F.octet_length(pcm)
-    by = W.partitionBy(key).orderBy(order)
-    own = chunks.select(key, F.col(order).alias("_o"), F.col(pcm).alias("_b"), (F.sum(size).over(by) - size).alias("_at"), size.alias("_n")).where("_n > 0")
+    places = chunks.select(key, F.col(order).alias("_o"), size.alias("_n")).withColumn("_at", F.sum("_n").over(W.partitionBy(key).orderBy("_o")) - F.col("_n")).where("_n > 0")
+    own = chunks.select(key, F.col(order).alias("_o"), F.col(pcm).alias("_b")).join(places, [key, "_o"])
     frames = F.sequence(F.floor(F.col("_at") / frame_bytes), F.floor((F.col("_at") + F.col("_n") - 1) / frame_bytes))
-    piece = own.select("*", F.explode(frames).alias("frame_idx"))
-    start = F.greatest(F.lit(0), F.col("frame_idx") * frame_bytes - F.col("_at"))
-    stop = F.least("_n", (F.col("frame_idx") + 1) * frame_bytes - F.col("_at"))
-    cut = F.substr(F.hex("_b"), (2 * start + 1).cast("int"), (2 * (stop - start)).cast("int"))
-    whole = piece.groupBy(key, "frame_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", cut.alias("h")))), lambda x: x.h), "").alias("h"))
+    start = lambda i: F.greatest(F.lit(0), i * frame_bytes - F.col("_at"))
+    stop = lambda i: F.least("_n", (i + 1) * frame_bytes - F.col("_at"))
+    # the chunk is cut before its pieces become rows, so that a row carries its own piece only
+    cut = lambda i: F.struct(i.alias("frame_idx"), F.substr(F.col("_b"), (start(i) + 1).cast("int"), (stop(i) - start(i)).cast("int")).alias("b"))
+    piece = own.select(key, "_at", F.explode(F.transform(frames, cut)).alias("p")).select(key, "_at", "p.*")
+    sorted_ = F.array_sort(F.collect_list(F.struct("_at", "b")))
+    whole = piece.groupBy(key, "frame_idx").agg(F.aggregate(sorted_, F.lit(b""), lambda acc, x: F.concat(acc, x.b)).alias("pcm"))
     if pad_tail:
-        whole = whole.withColumn("h", F.rpad("h", 2 * frame_bytes, "0"))
-    return whole.where(F.length("h") == 2 * frame_bytes).select(key, "frame_idx", F.unhex("h").alias("pcm"))
+        whole = whole.withColumn("pcm", F.expr(f"rpad(pcm, {int(frame_bytes)}, X'00')"))
+    return whole.where(F.octet_length("pcm") == frame_bytes).select(key, "frame_idx", "pcm")
 
 
 def decode_pcm(df: DataFrame, fmt: str = "s16", channels: int = 1, scale: float = 32768.0, pcm: str = "pcm") -> DataFrame:

@@ -37,19 +37,21 @@ def build_utterances(segments: DataFrame, frames: DataFrame, key: str = "session
 
     A segment of limit frames or more is split at quiet frames (max_duration; what follows continues it); its rest ends
     by pause, or end_of_stream where the segment was open. Only segments that need a split read
-    their frames, each in a group of its own, bounded by the segment; cuts fall on frames. idx counts from 0 in the session.
+    their frames, as one array each, bounded by the segment; cuts fall on frames. idx counts from 0 in the session.
     """
     size = F.col("end_frame") - F.col("start_frame")
     long = segments.where(size >= limit)
-    met = frames.select(key, "frame_idx", "power").join(long.select(key, "segment_idx", "start_frame", "end_frame"), key).where("frame_idx >= start_frame and frame_idx < end_frame")
+    # both sides know stretches of limit frames, so that the join is an equality and reads a session once
+    stretch = lambda at: F.floor(at / limit)
+    spread = long.select(key, "segment_idx", "start_frame", "end_frame", F.explode(F.sequence(stretch(F.col("start_frame")), stretch(F.col("end_frame") - 1))).alias("_s"))
+    met = frames.select(key, "frame_idx", "power", stretch(F.col("frame_idx")).alias("_s")).join(spread, [key, "_s"]).where("frame_idx >= start_frame and frame_idx < end_frame")
 
-    def cuts(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_idx")
-        first = int(rows["start_frame"].iloc[0])
-        return pd.DataFrame({key: rows[key].iloc[:1], "segment_idx": rows["segment_idx"].iloc[:1], "cuts": [[first + c for c in split_points(rows["power"].to_numpy(), limit, search)]]})
+    @F.pandas_udf("array<long>")
+    def cuts(power: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([[int(a) + c for c in split_points(np.asarray(p, np.float64), limit, search)] for p, a in zip(power, first, strict=True)])
 
-    kind = dict(segments.dtypes)[key]
-    made = met.groupBy(key, "segment_idx").applyInPandas(cuts, f"{key} {kind}, segment_idx long, cuts array<long>")
+    made = met.groupBy(key, "segment_idx").agg(F.first("start_frame").alias("_a"), F.array_sort(F.collect_list(F.struct("frame_idx", "power"))).alias("_f"))
+    made = made.select(key, "segment_idx", cuts(F.col("_f.power"), F.col("_a")).alias("cuts"))
     whole = segments.join(made, [key, "segment_idx"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>")))
     parts = F.arrays_zip(F.concat(F.array("start_frame"), F.col("cuts")).alias("a"), F.concat(F.col("cuts"), F.array("end_frame")).alias("b"))
     each = whole.select(key, "segment_idx", "open_at_end", F.size("cuts").alias("n"), F.posexplode(parts).alias("part", "p")).where("p.b > p.a")
