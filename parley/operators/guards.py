@@ -50,21 +50,29 @@ def vocabulary_prompt(words: DataFrame, order: str = "pos", word: str = "word",
     return own.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda x: x[word]), ", ").alias("prompt"))
 
 
-def assemble(pieces: DataFrame, keys: list[str], order: str = "piece_idx", text: str = "text", reason: str = "reason") -> DataFrame:
-    """(keys, transcript, kept, dropped, dropped_reasons): the trimmed kept pieces by order, joined by a space."""
+def assemble(pieces: DataFrame, keys: list[str], order: str = "piece_idx", text: str = "text", reason: str = "reason", detected: str | None = None, forced: str = "") -> DataFrame:
+    """(keys, transcript, kept, dropped, dropped_reasons, lang_code): the trimmed kept pieces by order, joined by a space.
+
+    The language is the forced one, else what the column detected says of the first piece that names one, else ''.
+    """
+    told = F.when(F.length(detected) > 0, F.col(detected)) if detected else F.lit(None).cast("string")
+    lang = F.lit(forced) if forced else F.coalesce(F.min_by(told, F.when(told.isNotNull(), F.col(order))), F.lit(""))
     kept = F.col(reason) == ""
     gather = lambda c, what: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct(F.col(order).alias("o"), what.alias("x"))))), lambda x: x.x)
     return pieces.groupBy(*keys).agg(
         F.array_join(gather(kept, F.trim(text)), " ").alias("transcript"), F.count(F.when(kept, 1)).alias("kept"),
-        F.count(F.when(~kept, 1)).alias("dropped"), F.array_join(gather(~kept, F.col(reason)), "; ").alias("dropped_reasons"),
+        F.count(F.when(~kept, 1)).alias("dropped"), F.array_join(gather(~kept, F.col(reason)), "; ").alias("dropped_reasons"), lang.alias("lang_code"),
     )
 
 
-def transcript_stats(pieces: DataFrame, keys: list[str], reason: str = "reason") -> DataFrame:
-    """(keys, pieces, kept, one count per reason, repetition): how a session's pieces fared."""
+def transcript_stats(pieces: DataFrame, keys: list[str], reason: str = "reason", decode_ms: str = "decode_ms", audio_ms: str = "duration_ms") -> DataFrame:
+    """(keys, pieces, kept, one count per reason, decode_s, audio_s, realtime_factor): how a session's pieces fared, and the
+    seconds of decoding a second of audio took (0 without audio)."""
     count = lambda r: F.count(F.when(F.col(reason) == r, 1))
     names = [("kept", ""), ("empty", "empty"), ("no_speech_n", "no speech"), ("low_confidence", "low confidence"), ("repetition", "repetition"), ("hallucination", "known hallucination")]
-    return pieces.groupBy(*keys).agg(F.count("*").alias("pieces"), *(count(r).alias(n) for n, r in names))
+    seconds = lambda c: F.coalesce(F.sum(c), F.lit(0.0)) / 1000
+    out = pieces.groupBy(*keys).agg(F.count("*").alias("pieces"), *(count(r).alias(n) for n, r in names), seconds(decode_ms).alias("decode_s"), seconds(audio_ms).alias("audio_s"))
+    return out.withColumn("realtime_factor", F.when(F.col("audio_s") > 0, F.col("decode_s") / F.col("audio_s")).otherwise(0.0))
 
 
 def kept_despite_silence(pieces: DataFrame, no_speech: str = "no_speech_prob", reason: str = "reason") -> DataFrame:

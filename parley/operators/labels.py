@@ -34,11 +34,13 @@ def keep_verdict(best: DataFrame, speech: str = "speech_score", noise: str = "no
 
 
 def label_coverage(scores: DataFrame, speech: list[str], noise: list[str]) -> DataFrame:
-    """One row: known and missing labels of both lists; ok only where each has a known one."""
-    known = scores.select("label").distinct()
-    count = lambda ls: F.count(F.when(F.col("label").isin(ls), 1))
-    out = known.agg(count(speech).alias("speech_known"), count(noise).alias("noise_known"))
-    return out.select("speech_known", "noise_known", (len(speech) - F.col("speech_known")).alias("speech_missing"), (len(noise) - F.col("noise_known")).alias("noise_missing"), ((F.col("speech_known") > 0) & (F.col("noise_known") > 0)).alias("ok"))
+    """One row: how many labels of both lists are known, the names of the missing ones in the lists' order; ok only
+    where each list has a known one. Only labels of the lists are gathered."""
+    known = scores.where(F.col("label").isin([*speech, *noise])).select("label").distinct().agg(F.collect_list("label").alias("_k"))
+    missing = lambda ls: F.array_except(F.array(*(F.lit(x) for x in ls)), "_k")
+    out = known.select(missing(speech).alias("_s"), missing(noise).alias("_n"))
+    left = out.select((len(set(speech)) - F.size("_s")).cast("long").alias("speech_known"), (len(set(noise)) - F.size("_n")).cast("long").alias("noise_known"), F.array_join("_s", ",").alias("speech_missing"), F.array_join("_n", ",").alias("noise_missing"))
+    return left.withColumn("ok", (F.col("speech_known") > 0) & (F.col("noise_known") > 0))
 
 
 def verdict_stats(verdicts: DataFrame, label: str = "noise_label") -> DataFrame:

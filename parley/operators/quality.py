@@ -9,12 +9,32 @@ from pyspark.sql import functions as F
 from parley.config import DEFAULTS
 
 
-def session_summary(finals: DataFrame, answers: DataFrame, utterances: DataFrame, key: str = "session_id") -> DataFrame:
-    """One wide row per session from three aggregates, each made before the join."""
+def session_summary(finals: DataFrame, answers: DataFrame, utterances: DataFrame, key: str = "session_id", **more: DataFrame) -> DataFrame:
+    """One wide row per session from aggregates that are made before the join; what is not there counts as 0.
+
+    more, each optional: chunks (bytes), segments, partials, flips, corrections, splits (boundaries with outcome), runs
+    (rows of circuit_breaker: stage, failed, skipped, notice), timings (item_id, seconds) and lags (rows of answer_status: lag_s).
+    """
+    n = lambda c: F.count(F.when(c, 1))
+    text = F.length(F.trim(F.coalesce("translation", F.lit("")))) > 0
+    late = F.coalesce(F.col("reason").rlike("^(too late|evicted|the session ended)"), F.lit(False))
     f = finals.groupBy(key).agg(F.count("*").alias("sentences"), F.sum(F.length("transcript")).alias("chars"), F.count_distinct("speaker_id").alias("speakers"))
-    a = answers.groupBy(key).agg(F.count("*").alias("answers"), F.count(F.when(F.length("translation") > 0, 1)).alias("translated"), F.count(F.when(F.col("reason") != "", 1)).alias("refused"))
-    u = utterances.groupBy(key).agg(F.count("*").alias("utterances"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("audio_ms"))
-    out = f.join(a, key, "full").join(u, key, "full")
+    a = answers.groupBy(key).agg(F.count("*").alias("answers"), n(F.length("translation") > 0).alias("translated"), n(F.col("reason") != "").alias("refused"), n(~text & late).alias("dropped"), F.count_distinct(F.when(F.col("lang_code") != "", F.col("lang_code"))).alias("languages"), n(F.col("lang_code") != "").alias("with_language"))
+    u = utterances.groupBy(key).agg(F.count("*").alias("utterances"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("audio_ms"), F.max(F.col("end_ms") - F.col("start_ms")).alias("longest_ms"))
+    makers = {
+        "chunks": lambda t: t.groupBy(key).agg(F.count("*").alias("chunks"), F.sum("bytes").cast("long").alias("bytes")),
+        "segments": lambda t: t.groupBy(key).agg(F.count("*").alias("segments")),
+        "partials": lambda t: t.groupBy(key).agg(F.count("*").alias("partials")),
+        "flips": lambda t: t.groupBy(key).agg(F.count("*").alias("language_flips")),
+        "corrections": lambda t: t.groupBy(key).agg(F.count("*").alias("speaker_corrections")),
+        "splits": lambda t: t.groupBy(key).agg(n(F.col("outcome") == "split").alias("language_splits")),
+        "runs": lambda t: t.groupBy(key).agg(n(F.col("failed") & ~F.col("skipped")).alias("stage_failures"), n(F.col("notice")).alias("stages_disabled")),
+        "timings": lambda t: t.groupBy(key, "item_id").agg(F.sum("seconds").alias("s")).groupBy(key).agg(F.sum("s").alias("stage_seconds"), F.max("s").alias("slowest_item_s")),
+        "lags": lambda t: t.groupBy(key).agg(F.max("lag_s").alias("worst_lag_s")),
+    }
+    out = f
+    for part in (a, u, *(makers[name](t) for name, t in more.items())):
+        out = out.join(part, key, "full")
     return out.fillna(0, [c for c in out.columns if c != key])
 
 
@@ -70,7 +90,11 @@ def judgeable(wall_s: Column, audio_s: Column, gaps_s: Column, limit_s: float =
 
 
 def check_session(utterances: DataFrame, finals: DataFrame, answers: DataFrame, key: str = "session_id", longest_ms: float = DEFAULTS.max_utterance_ms + 40) -> DataFrame:
-    """(session, name, passed, failures): the invariants of a session, one row each."""
+    """(session, name, passed, failures): the invariants of a session, one row each.
+
+    What is dropped has a label where the utterances tell kept and label; a refused answer shows its raw text where the
+    answers tell raw and the model did answer.
+    """
     by = W.partitionBy(key).orderBy("idx")
     if "continues_previous" not in utterances.columns:
         utterances = utterances.withColumn("continues_previous", F.lit(False))
@@ -80,13 +104,18 @@ def check_session(utterances: DataFrame, finals: DataFrame, answers: DataFrame,
         bad(F.col("idx") != F.col("_i")).alias("indexes are consecutive"), bad(F.col("end_ms") - F.col("start_ms") > longest_ms).alias("no utterance is too long"),
         bad(F.col("start_ms") < F.col("_e")).alias("utterances do not overlap"), bad(F.col("end_ms") <= F.col("start_ms")).alias("utterances have length"),
         bad(F.col("continues_previous") & (F.abs(F.col("start_ms") - F.col("_e")) >= 1)).alias("a continuation has no gap"),
+        *([bad(~F.col("kept") & (F.coalesce("label", F.lit("")) == "")).alias("what is dropped has a label")] if {"kept", "label"} <= set(utterances.columns) else []),
     )
-    said = finals.join(answers.select(key, "sentence_id", "translation", "reason"), [key, "sentence_id"], "left")
+    raw = ["raw"] if "raw" in answers.columns else []
+    judged = F.coalesce(F.col("reason").startswith("the answer"), F.lit(False))
+    said = finals.join(answers.select(key, "sentence_id", "translation", "reason", *raw), [key, "sentence_id"], "left")
     text = F.coalesce(F.trim("translation"), F.lit("")) != ""
     second = said.groupBy(key).agg(
         bad(F.coalesce(F.trim("transcript"), F.lit("")) == "").alias("finals have text"), bad(F.col("speaker_id").isNull()).alias("finals have a speaker"),
         bad(F.col("translation").isNull() & F.col("reason").isNull()).alias("finals are answered"), bad(~text & (F.coalesce("reason", F.lit("")) == "")).alias("no silent refusal"),
         bad(text & (F.col("translation") == F.col("transcript"))).alias("no answer is its source"),
+        *([bad(F.coalesce("lang_code", F.lit("")) == "").alias("finals have a language")] if "lang_code" in finals.columns else []),
+        *([bad(judged & (F.coalesce("raw", F.lit("")) == "")).alias("a refused answer shows its text")] if raw else []),
     )
     tall = lambda df: df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("failures")) for c in df.columns if c != key))).alias("c"))
     return tall(first).unionByName(tall(second)).select(key, "c.name", (F.col("c.failures") == 0).alias("passed"), "c.failures")
@@ -108,10 +137,13 @@ def check_events(events: DataFrame, utterances: DataFrame, partials: DataFrame,
 
 
 def check_partition(utterances: DataFrame, segments: DataFrame, frame_ms: float, key: str = "session_id") -> DataFrame:
-    """(session, audio_ms, forwarded_ms, covered): utterances hold exactly the forwarded audio."""
-    u = utterances.groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("audio_ms"))
+    """(session, audio_ms, forwarded_ms, twice, covered): utterances hold exactly the forwarded audio, and nothing twice
+    (twice: utterances that begin before an earlier one ends)."""
+    before = F.max("end_ms").over(W.partitionBy(key).orderBy("start_ms", "end_ms").rowsBetween(W.unboundedPreceding, -1))
+    own = utterances.withColumn("_b", before)
+    u = own.groupBy(key).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("audio_ms"), F.count(F.when(F.col("start_ms") < F.col("_b"), 1)).alias("twice"))
     s = segments.groupBy(key).agg(F.sum((F.col("end_frame") - F.col("start_frame")) * F.lit(float(frame_ms))).alias("forwarded_ms"))
-    return u.join(s, key, "full").withColumn("covered", F.coalesce(F.col("audio_ms") == F.col("forwarded_ms"), F.lit(False)))
+    return u.join(s, key, "full").withColumn("covered", F.coalesce((F.col("audio_ms") == F.col("forwarded_ms")) & (F.col("twice") == 0), F.lit(False)))
 
 
 def latency_report(df: DataFrame, keys: list[str], value: str = "seconds", shares: tuple = (0.5, 0.9, 0.99)) -> DataFrame:

@@ -14,12 +14,12 @@ def fold_messages(messages: DataFrame, key: str = "session_id", seq: str = "seq"
 
     messages: key, seq, kind, sentence_id, speaker_id, lang_code, transcript, translation, reason, raw, labels
     (map of sentence id as text to speaker). A final inserts (the last of one id wins), a translation fills, speakers relabel
-    what is known by then; other kinds and unknown ids are ignored. One pass: the kinds are folded
+    what is known by then; other kinds, unknown ids and labels of ids that are no numbers are ignored. One pass: the kinds are folded
     as aggregates of one grouping by sentence.
     """
     own = messages.where("kind in ('final', 'translation')").select(key, seq, "kind", "sentence_id", "speaker_id", "lang_code", "transcript", "translation", "reason", "raw")
     moved = messages.where("kind = 'speakers'").select(key, seq, F.explode("labels").alias("_s", "speaker_id"))
-    moved = moved.select(key, seq, F.lit("speakers").alias("kind"), F.col("_s").cast("long").alias("sentence_id"), "speaker_id")
+    moved = moved.select(key, seq, F.lit("speakers").alias("kind"), F.expr("try_cast(_s as long)").alias("sentence_id"), "speaker_id").where("sentence_id is not null")
     rows = own.unionByName(moved, allowMissingColumns=True)
     pick = lambda kind, cols: F.max(F.when(F.col("kind") == kind, F.struct(F.col(seq).alias("_q"), *cols)))
     folded = rows.groupBy(key, "sentence_id").agg(
@@ -48,10 +48,17 @@ def current_partial(messages: DataFrame, key: str = "session_id", seq: str = "se
     return last.select(key, F.when(F.col("m.kind") == "partial", F.coalesce("m.transcript", F.lit(""))).otherwise("").alias("running"))
 
 
-def transcript_counts(rows: DataFrame, key: str = "session_id") -> DataFrame:
+def transcript_counts(rows: DataFrame, messages: DataFrame | None = None, key: str = "session_id") -> DataFrame:
+    """(session, sentences, translated, waiting, refused, dropped, relabelled_n, partials): dropped ones are the refused ones that
+    nobody judged (too late or evicted); partials, from messages, are 0 without them. Sessions without a sentence have no row."""
     text = F.coalesce(F.trim("translation"), F.lit("")) != ""
     n = lambda c: F.count(F.when(c, 1))
-    return rows.groupBy(key).agg(F.count("*").alias("sentences"), n(text).alias("translated"), n(~F.col("answered")).alias("waiting"), n(F.col("answered") & ~text).alias("refused"), n(F.col("relabelled")).alias("relabelled_n"))
+    late = F.coalesce(F.col("reason").rlike("^(too late|evicted|the session ended)"), F.lit(False))
+    out = rows.groupBy(key).agg(F.count("*").alias("sentences"), n(text).alias("translated"), n(~F.col("answered")).alias("waiting"), n(F.col("answered") & ~text).alias("refused"), n(F.col("answered") & ~text & late).alias("dropped"), n(F.col("relabelled")).alias("relabelled_n"))
+    if messages is None:
+        return out.withColumn("partials", F.lit(0).cast("long"))
+    shown = messages.where("kind = 'partial'").groupBy(key).agg(F.count("*").alias("partials"))
+    return out.join(shown, key, "left").fillna(0, ["partials"])
 
 
 def speakers_in_order(rows: DataFrame, key: str = "session_id", seq: str = "seq") -> DataFrame:

@@ -37,8 +37,8 @@ def session_levels(spark, d):
 
 
 def level_policy(spark, d):
-    s = samples(spark, d).groupBy("session_id", F.floor(F.col("pos") / 4).alias("utt")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("r"), F.max(F.abs("value")).alias("p"))
-    return lv.level_policy(s.select("session_id", "utt", (lv.dbfs(F.col("r")) - 25).alias("level_db"), lv.dbfs(F.col("p")).alias("peak_db")))
+    s = samples(spark, d).groupBy("session_id", F.floor(F.col("pos") / 4).alias("utt")).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("r"), F.max(F.abs("value")).alias("p"), F.count("*").alias("n"))
+    return lv.level_policy(s.select("session_id", "utt", F.when(F.col("n") == 4, lv.dbfs(F.col("r")) - 25).alias("level_db"), lv.dbfs(F.col("p")).alias("peak_db")))
 
 
 def level_stats(spark, d):
@@ -242,9 +242,9 @@ QUERIES = {
 
 _ENV = f"{SAMPLES}, e AS (SELECT session_id, pos // 8 AS window_idx, count(*) AS n, sqrt(avg(value * value)) AS level, max(abs(value)) AS peak FROM samples GROUP BY 1, 2), env AS (SELECT * FROM e WHERE n = 8 OR window_idx = 0)"
 _DB = "CASE WHEN {0} > 0 THEN greatest(-120.0, 20 * log10({0})) ELSE -120.0 END"
-_POL = f"""{SAMPLES}, u AS (SELECT session_id, pos // 4 AS utt, sqrt(avg(value * value)) AS r, max(abs(value)) AS p FROM samples GROUP BY 1, 2),
-l AS (SELECT session_id, utt, {_DB.format('r')} - 25 AS level_db, {_DB.format('p')} AS peak_db FROM u),
-pol AS (SELECT *, level_db > -55 AS shaped, CASE WHEN level_db <= -55 THEN format('too quiet ({{:.1f}} dBFS)', level_db) ELSE '' END AS reason,
+_POL = f"""{SAMPLES}, u AS (SELECT session_id, pos // 4 AS utt, sqrt(avg(value * value)) AS r, max(abs(value)) AS p, count(*) AS n FROM samples GROUP BY 1, 2),
+l AS (SELECT session_id, utt, CASE WHEN n = 4 THEN {_DB.format('r')} - 25 END AS level_db, {_DB.format('p')} AS peak_db FROM u),
+pol AS (SELECT *, coalesce(level_db > -55, false) AS shaped, CASE WHEN level_db IS NULL THEN 'empty audio' WHEN level_db <= -55 THEN format('too quiet ({{:.1f}} dBFS)', level_db) ELSE '' END AS reason,
 CASE WHEN level_db > -55 THEN peak_db - 12 END AS gate_db, CASE WHEN level_db > -55 THEN peak_db + 3 END AS compressor_db FROM l)"""
 _SC = f"{FRAMES}, sc AS (SELECT session_id, CAST(ts AS DATE) AS day, label, prob AS score FROM frames)"
 _IN = lambda ls: ", ".join(f"'{x}'" for x in ls)
@@ -260,7 +260,7 @@ SQL = {
     "speaking_level": f"WITH {_ENV} SELECT session_id, quantile_cont(level, 0.9) AS speaking_level FROM env GROUP BY 1",
     "session_levels": f"WITH {SAMPLES}, s AS (SELECT session_id, sqrt(avg(value * value)) AS r, max(abs(value)) AS p FROM samples GROUP BY 1) SELECT session_id, round({_DB.format('r')}, 9) AS level_db, {_DB.format('p')} AS peak_db FROM s",
     "level_policy": f"WITH {_POL} SELECT * FROM pol",
-    "level_stats": f"WITH {_POL} SELECT session_id, count(*) AS seen, count(*) FILTER (shaped) AS shaped_n, count(*) FILTER (starts_with(reason, 'too quiet')) AS too_quiet, 0::BIGINT AS empty FROM pol GROUP BY 1",
+    "level_stats": f"WITH {_POL} SELECT session_id, count(*) AS seen, count(*) FILTER (shaped) AS shaped_n, count(*) FILTER (starts_with(reason, 'too quiet')) AS too_quiet, count(*) FILTER (level_db IS NULL) AS empty FROM pol GROUP BY 1",
     "signal_health": f"""WITH {SAMPLES}, w AS (SELECT session_id, pos // 8 AS k, count(*) AS n, count(*) FILTER (abs(value) >= 0.999) AS c, max(abs(value)) AS p, sum(value * value) AS q FROM samples GROUP BY 1, 2)
 SELECT session_id, CAST(sum(n) AS BIGINT) AS samples, CAST(sum(c) AS BIGINT) AS clipped, avg(CASE WHEN p < 1e-4 THEN 1 ELSE 0 END) AS silent_share, max(p) AS peak, sqrt(sum(q) / sum(n)) AS level FROM w GROUP BY 1""",
     "compare_levels": f"""WITH {SAMPLES}, s AS (SELECT session_id, max(abs(value)) AS p, avg(abs(value)) AS b FROM samples GROUP BY 1), l AS (SELECT session_id, {_DB.format('p')} AS dd, {_DB.format('b')} AS bd FROM s)
@@ -270,8 +270,10 @@ SELECT session_id, (dd - 1) - dd AS kept_db, bd - (bd - session_id % 9) AS remov
 SELECT session_id, label, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, label) AS r FROM p) WHERE r <= 3""",
     "keep_verdict": f"WITH {_VER} SELECT * FROM ver",
     "verdict_stats": f"WITH {_VER} SELECT noise_label AS label, count(*) FILTER (NOT keep) AS dropped, count(*) FILTER (keep) AS kept FROM ver GROUP BY 1",
-    "label_coverage": f"""WITH {_SC}, k AS (SELECT DISTINCT label FROM sc), c AS (SELECT count(*) FILTER (label IN ({_IN(LABELS)})) AS s, count(*) FILTER (label IN ({_IN(QUIET)})) AS n FROM k)
-SELECT s AS speech_known, n AS noise_known, {len(LABELS)} - s AS speech_missing, {len(QUIET)} - n AS noise_missing, s > 0 AND n > 0 AS ok FROM c""",
+    "label_coverage": f"""WITH {_SC}, k AS (SELECT DISTINCT label FROM sc), a AS (SELECT 's' AS kind, unnest([{_IN(LABELS)}]) AS x, generate_subscripts([{_IN(LABELS)}], 1) AS i UNION ALL SELECT 'n', unnest([{_IN(QUIET)}]), generate_subscripts([{_IN(QUIET)}], 1)),
+m AS (SELECT a.*, k.label IS NOT NULL AS known FROM a LEFT JOIN k ON k.label = a.x), c AS (SELECT count(*) FILTER (kind = 's' AND known) AS s, count(*) FILTER (kind = 'n' AND known) AS n,
+coalesce(string_agg(x, ',' ORDER BY i) FILTER (kind = 's' AND NOT known), '') AS sm, coalesce(string_agg(x, ',' ORDER BY i) FILTER (kind = 'n' AND NOT known), '') AS nm FROM m)
+SELECT s AS speech_known, n AS noise_known, sm AS speech_missing, nm AS noise_missing, s > 0 AND n > 0 AS ok FROM c""",
     "language_codes": "SELECT doc_id, lower(lang) AS code FROM documents",
     "decide_language": f"WITH {LANG_SCORES} SELECT session_id, seq, lang_code, round(confidence, 6) AS confidence, round(margin, 6) AS margin, reason FROM decided",
     "fill_language": f"""WITH {LANG_SCORES} SELECT session_id, seq, lang_code, CASE WHEN lang_code <> '' THEN lang_code ELSE

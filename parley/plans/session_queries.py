@@ -14,7 +14,9 @@ from parley.operators import quality as ql
 from parley.plans import stream_queries as sq
 from parley.plans import text_queries as tq
 from parley.plans.bind import FRAMES, TURNS, frames, table, turns
+from parley.sources import sinks
 from parley.streaming import sessions as ss
+from parley.streaming import transcripts as st
 
 
 def timings(spark, d):
@@ -82,9 +84,10 @@ def sentence_gaps(spark, d):
 
 
 def check_session(spark, d):
-    u = sq.plain_utterances(spark, d)
+    short = F.col("end_ms") - F.col("start_ms") <= 100
+    u = sq.plain_utterances(spark, d).withColumns({"continues_previous": F.col("reason") == "pause", "kept": ~short, "label": F.when(F.col("idx") % 2 == 0, F.col("reason")).otherwise("")})
     t = tq.judged(spark, d)
-    return ql.check_session(u, turns(spark, d), t.where("sentence_id % 4 <> 2"), longest_ms=400.0)
+    return ql.check_session(u, t.select("session_id", "sentence_id", "speaker_id", "transcript", "lang_code"), t.where("sentence_id % 4 <> 2"), longest_ms=400.0)
 
 
 def check_events(spark, d):
@@ -93,12 +96,15 @@ def check_events(spark, d):
 
 
 def check_partition(spark, d):
-    return ql.check_partition(sq.utterances(spark, d), sq.segments(spark, d), 32.0)
+    return ql.check_partition(sq.plain_utterances(spark, d), sq.segments(spark, d), 32.0)
 
 
 def session_summary(spark, d):
-    t = tq.judged(spark, d)
-    return ql.session_summary(turns(spark, d), t, sq.plain_utterances(spark, d))
+    t = tq.judged(spark, d).where("sentence_id % 4 <> 2")
+    return ql.session_summary(
+        turns(spark, d), t, sq.plain_utterances(spark, d), chunks=frames(spark, d).withColumn("bytes", F.lit(1024)), segments=sq.segments(spark, d), partials=sq.ticks(spark, d),
+        flips=dr.language_flips(texts(spark, d)), runs=circuit_breaker(spark, d), timings=timings(spark, d),
+    )
 
 
 def texts(spark, d):
@@ -147,9 +153,24 @@ def artifacts(spark, d):
     return dr.text_artifacts(table(spark, d, "documents").withColumn("transcript", F.col("text")), ["doc_id"])
 
 
+def refused_translations(spark, d):
+    return dr.refused_translations(tq.judged(spark, d))
+
+
+def language_disagrees(spark, d):
+    return dr.language_disagrees(texts(spark, d))
+
+
 def compare_runs(spark, d):
-    m = frames(spark, d).select(F.col("label").alias("metric"), F.concat(F.lit("r"), F.col("session_id") % 3).alias("run"), F.lit(1).alias("value"))
-    return dr.compare_runs(m, ["r0", "r1", "r2"])
+    """The drift metrics of all sessions, in three runs of sessions."""
+    parts = {"far_from_partial": far_from_partial, "lost_turns": lost_turns, "refused_translations": refused_translations, "language_disagrees": language_disagrees}
+    own = None
+    for name, query in parts.items():
+        rows = query(spark, d)
+        value = next((F.col(c) for c in ("refused", "disagrees") if c in rows.columns), F.lit(1))
+        m = rows.select(F.lit(name).alias("metric"), F.concat(F.lit("r"), F.col("session_id") % 3).alias("run"), value.cast("long").alias("value"))
+        own = m if own is None else own.unionByName(m)
+    return dr.compare_runs(own, ["r0", "r1", "r2"])
 
 
 def agreed(spark, d):
@@ -192,7 +213,7 @@ def segment_stream(spark, d):
     """The events table read as a stream of files."""
     ss.use_rocksdb(spark)
     e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    rows = e.select(F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"), F.lit(False).alias("ended"))
+    rows = e.select(F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("event_id").alias("tie"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"), F.lit(False).alias("ended"))
     return ss.drain(ss.segment_stream(rows, n_open=2, n_close=3, pad=2), _folder(spark))
 
 
@@ -202,7 +223,44 @@ def voice_stream(spark, d):
     return ss.drain(ss.assign_voice_stream(e.select(F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("sentence_id"), "embedding")), _folder(spark))
 
 
+def _messages(spark, d, folder):
+    """The message log as a stream of files."""
+    log = tq.message_log(spark, d)
+    log.write.parquet(f"{folder}/log")
+    return spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+
+
+def fold_stream(spark, d):
+    """The log folded by keyed state into the replay-safe transcript table."""
+    ss.use_rocksdb(spark)
+    folder = _folder(spark)
+    write = sinks.upsert_transcript(spark, f"{folder}/transcript", order="version", buckets=8)
+    run = st.fold_stream(_messages(spark, d, folder)).writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sinks.read_transcript(spark, f"{folder}/transcript").select("session_id", "sentence_id", "speaker_id", "relabelled", "answered", "reason", F.md5("translation").alias("translation_md5"))
+
+
+def corrections_stream(spark, d):
+    """The sentences whose speaker was put right, as a stream of the folded log gives them."""
+    ss.use_rocksdb(spark)
+    folder = _folder(spark)
+    return ss.drain(st.fold_stream(_messages(spark, d, folder)).where("relabelled").select("session_id", "sentence_id", "speaker_id"), folder)
+
+
+def backlog_stream(spark, d):
+    """Jobs of all sessions that nobody answers, until each session's end."""
+    ss.use_rocksdb(spark)
+    folder = _folder(spark)
+    f = frames(spark, d)
+    jobs = f.select("session_id", F.col("frame_idx").alias("seq"), F.when(F.col("frame_idx") % 3 != 0, "job").otherwise("partial").alias("kind"), F.col("frame_idx").alias("sentence_id"))
+    ends = f.groupBy("session_id").agg(F.count("*").alias("seq")).select("session_id", "seq", F.lit("bye").alias("kind"), F.lit(None).cast("long").alias("sentence_id"))
+    own = jobs.unionByName(ends)
+    own.write.parquet(f"{folder}/log")
+    return ss.drain(st.backlog_stream(spark.readStream.schema(own.schema).parquet(f"{folder}/log")), folder)
+
+
 QUERIES = {
+    "fold_stream": fold_stream, "corrections_stream": corrections_stream, "backlog_stream": backlog_stream, "refused_translations": refused_translations, "language_disagrees": language_disagrees,
     "segment_stream": segment_stream, "voice_stream": voice_stream,
     "stage_cost": stage_cost, "slow_items": slow_items, "circuit_breaker": circuit_breaker, "event_lag": event_lag, "corrected_lag": corrected_lag, "judgeable": judgeable,
     "latency_report": latency, "partial_cadence": cadence, "sentence_gaps": sentence_gaps, "check_session": check_session, "check_events": check_events, "check_partition": check_partition, "session_summary": session_summary,
@@ -232,11 +290,13 @@ g AS (SELECT session_id, at_ms - lag(at_ms) OVER (PARTITION BY session_id ORDER
     "sentence_gaps": f"""WITH {FRAMES}, g AS (SELECT session_id, epoch_us(ts) / 1000000.0::DOUBLE - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) / 1000000.0::DOUBLE AS g FROM frames)
 SELECT session_id, count(g) AS n, quantile_cont(g, 0.5) AS median_gap_s, min(g) AS shortest_gap_s, CASE WHEN min(g) > 0 THEN 1 / min(g) END AS busiest_per_s FROM g GROUP BY 1""",
     "check_session": f"""WITH {sq._UTT}, {tq.ASKED}, u AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS i, lag(end_ms) OVER (PARTITION BY session_id ORDER BY idx) AS e FROM utt),
-a AS (SELECT session_id, count(*) FILTER (idx <> i) AS c1, count(*) FILTER (end_ms - start_ms > 400) AS c2, count(*) FILTER (start_ms < e) AS c3, count(*) FILTER (end_ms <= start_ms) AS c4 FROM u GROUP BY 1),
+a AS (SELECT session_id, count(*) FILTER (idx <> i) AS c1, count(*) FILTER (end_ms - start_ms > 400) AS c2, count(*) FILTER (start_ms < e) AS c3, count(*) FILTER (end_ms <= start_ms) AS c4,
+  count(*) FILTER (reason = 'pause' AND abs(start_ms - e) >= 1) AS c5, count(*) FILTER (end_ms - start_ms <= 100 AND idx % 2 = 1) AS c6 FROM u GROUP BY 1),
 b AS (SELECT session_id, count(*) FILTER (trim(transcript) = '') AS c1, count(*) FILTER (speaker_id IS NULL) AS c2, count(*) FILTER (sentence_id % 4 = 2) AS c3, count(*) FILTER (sentence_id % 4 = 2) AS c4,
-  count(*) FILTER (sentence_id % 4 <> 2 AND reason = '' AND t = transcript) AS c5 FROM ans GROUP BY 1),
-x AS (SELECT session_id, unnest(['indexes are consecutive', 'no utterance is too long', 'utterances do not overlap', 'utterances have length', 'a continuation has no gap']) AS name, unnest([c1, c2, c3, c4, 0]) AS failures FROM a
-UNION ALL SELECT session_id, unnest(['finals have text', 'finals have a speaker', 'finals are answered', 'no silent refusal', 'no answer is its source']), unnest([c1, c2, c3, c4, c5]) FROM b)
+  count(*) FILTER (sentence_id % 4 <> 2 AND reason = '' AND t = transcript) AS c5,
+  count(*) FILTER (lang_code = '') AS c6, count(*) FILTER (sentence_id % 4 <> 2 AND starts_with(reason, 'the answer') AND coalesce(cleaned, '') = '') AS c7 FROM ans GROUP BY 1),
+x AS (SELECT session_id, unnest(['indexes are consecutive', 'no utterance is too long', 'utterances do not overlap', 'utterances have length', 'a continuation has no gap', 'what is dropped has a label']) AS name, unnest([c1, c2, c3, c4, c5, c6]) AS failures FROM a
+UNION ALL SELECT session_id, unnest(['finals have text', 'finals have a speaker', 'finals are answered', 'no silent refusal', 'no answer is its source', 'finals have a language', 'a refused answer shows its text']), unnest([c1, c2, c3, c4, c5, c6, c7]) FROM b)
 SELECT session_id, name, failures = 0 AS passed, failures FROM x""",
     "check_events": f"""WITH {sq._UTT}, e AS (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY at_ms, kind) AS b FROM seg_events),
 t AS (SELECT session_id, count(*) FILTER (b = kind) AS c1, abs(count(*) FILTER (kind = 'speech_start') - count(*) FILTER (kind = 'speech_end')) AS c2, count(*) FILTER (kind = 'speech_end') AS ends FROM e GROUP BY 1),
@@ -244,11 +304,21 @@ n AS (SELECT session_id, count(*) AS n FROM utt GROUP BY 1), f AS (SELECT sessio
 x AS (SELECT session_id, unnest(['starts and ends alternate', 'as many starts as ends', 'no end without an utterance', 'running text comes first']) AS name,
   unnest([c1, c2, greatest(0, ends - coalesce(n, 0)), CASE WHEN p >= f THEN 1 ELSE 0 END]) AS failures FROM t LEFT JOIN n USING (session_id) LEFT JOIN f USING (session_id))
 SELECT session_id, name, failures = 0 AS passed, failures FROM x""",
-    "check_partition": f"WITH {sq.SEGMENTS} SELECT session_id, sum((end_frame - start_frame) * 32.0::DOUBLE) AS audio_ms, sum((end_frame - start_frame) * 32.0::DOUBLE) AS forwarded_ms, true AS covered FROM segments GROUP BY 1",
+    "check_partition": f"""WITH {sq._UTT}, s AS (SELECT session_id, sum((end_frame - start_frame) * 32.0::DOUBLE) AS forwarded_ms FROM segments GROUP BY 1),
+b AS (SELECT *, max(end_ms) OVER (PARTITION BY session_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM utt),
+u AS (SELECT session_id, sum(end_ms - start_ms) AS audio_ms, count(*) FILTER (start_ms < b) AS twice FROM b GROUP BY 1)
+SELECT session_id, audio_ms, twice, forwarded_ms, coalesce(audio_ms = forwarded_ms AND twice = 0, false) AS covered FROM u FULL JOIN s USING (session_id)""",
     "session_summary": f"""WITH {sq._UTT}, {tq.ASKED}, f AS (SELECT session_id, count(*) AS sentences, sum(length(transcript)) AS chars, count(DISTINCT speaker_id) AS speakers FROM turns GROUP BY 1),
-a AS (SELECT session_id, count(*) AS answers, count(*) FILTER (reason = '' AND length(t) > 0) AS translated, count(*) FILTER (reason <> '') AS refused FROM ans GROUP BY 1), u AS (SELECT session_id, count(*) AS utterances, sum(end_ms - start_ms) AS audio_ms FROM utt GROUP BY 1)
-SELECT session_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("sentences", "chars", "speakers", "answers", "translated", "refused", "utterances"))}, coalesce(audio_ms, 0) AS audio_ms
-FROM f FULL JOIN a USING (session_id) FULL JOIN u USING (session_id)""",
+a AS (SELECT session_id, count(*) AS answers, count(*) FILTER (reason = '' AND length(t) > 0) AS translated, count(*) FILTER (reason <> '') AS refused, count(*) FILTER (reason <> '' AND starts_with(reason, 'too late')) AS dropped,
+  count(DISTINCT lang_code) FILTER (lang_code <> '') AS languages, count(*) FILTER (lang_code <> '') AS with_language FROM ans WHERE sentence_id % 4 <> 2 GROUP BY 1),
+u AS (SELECT session_id, count(*) AS utterances, sum(end_ms - start_ms) AS audio_ms, max(end_ms - start_ms) AS longest_ms, sum(greatest(0, floor((end_ms - start_ms) / 64))) AS partials FROM utt GROUP BY 1),
+ch AS (SELECT session_id, count(*) AS chunks, count(*) * 1024 AS bytes FROM frames GROUP BY 1), sg AS (SELECT session_id, count(*) AS segments FROM segments GROUP BY 1),
+it AS (SELECT session_id, frame_idx // 4 AS item_id, sum(power / 100) AS s FROM frames GROUP BY 1, 2), ti AS (SELECT session_id, sum(s) AS stage_seconds, max(s) AS slowest_item_s FROM it GROUP BY 1)
+SELECT session_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("sentences", "chars", "speakers", "answers", "translated", "refused", "dropped", "languages", "with_language", "utterances", "chunks", "bytes", "segments", "partials", "language_flips", "stage_failures", "stages_disabled"))},
+{", ".join(f"coalesce({c}, 0) AS {c}" for c in ("audio_ms", "longest_ms", "stage_seconds", "slowest_item_s"))}
+FROM f FULL JOIN a USING (session_id) FULL JOIN u USING (session_id) FULL JOIN ch USING (session_id) FULL JOIN sg USING (session_id) FULL JOIN ti USING (session_id)
+FULL JOIN (SELECT session_id, count(*) AS language_flips FROM (@flips) GROUP BY 1) fp USING (session_id)
+FULL JOIN (SELECT session_id, count(*) FILTER (failed AND NOT skipped) AS stage_failures, count(*) FILTER (notice) AS stages_disabled FROM (@runs) GROUP BY 1) rn USING (session_id)""",
     "far_from_partial": f"WITH {TEXTS}, r AS (SELECT session_id, seq, levenshtein(regexp_replace(partial, '[^\x00-\x7F]', '?', 'g'), regexp_replace(transcript, '[^\x00-\x7F]', '?', 'g')) / greatest(length(partial), length(transcript), 1) AS rewritten FROM lp WHERE partial IS NOT NULL) SELECT * FROM r WHERE rewritten > 0.6",
     "update_survival": f"""WITH {TEXTS}, b AS (SELECT *, lag(transcript) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM tx),
 n AS (SELECT session_id, length(b) AS l, coalesce(list_position(list_transform(range(1, least(length(b), length(transcript)) + 1), lambda i: b[i] = transcript[i]), false) - 1, least(length(b), length(transcript))) AS k FROM b WHERE length(b) > 0)
@@ -259,7 +329,6 @@ SELECT session_id, CAST(run AS BIGINT) AS run, any_value(lang_code) AS lang, cou
 r AS (SELECT session_id, sentence_id, CASE WHEN sentence_id % 3 = 0 THEN 6 / length(regexp_replace(s, '\\P{{L}}', '', 'g')) ELSE 0 END AS ratio FROM j) SELECT * FROM r WHERE ratio > 0.1 AND ratio < 0.9""",
     "text_artifacts": """WITH w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> ''] AS w FROM documents)
 SELECT doc_id, regexp_matches(text, '(?:^|\\s)(?:\\p{L}\\s+){3,}\\p{L}(?:\\s|$)') AS letters_apart, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS INTEGER) AS repeats FROM w""",
-    "compare_runs": f"""WITH {FRAMES}, c AS (SELECT label AS metric, count(*) FILTER (session_id % 3 = 0) AS r0, count(*) FILTER (session_id % 3 = 1) AS r1, count(*) FILTER (session_id % 3 = 2) AS r2 FROM frames GROUP BY 1) SELECT *, r1 - r0 AS r1_change, r2 - r0 AS r2_change FROM c""",
     "confirmed_corrections": f"""WITH {FRAMES}, r AS (SELECT session_id, frame_idx % 7 AS sentence_id, frame_idx // 7 AS run, label FROM frames), l AS (SELECT *, lag(label) OVER w AS l, lag(run) OVER w AS p FROM r WINDOW w AS (PARTITION BY session_id, sentence_id ORDER BY run))
 SELECT session_id, sentence_id, run, label FROM l WHERE l = label AND p = run - 1""",
     "hop_windows": f"WITH {FRAMES} SELECT session_id, w AS window_idx, count(*) AS n, avg(power) AS level FROM (SELECT *, unnest(range(greatest(CAST(floor((frame_idx - 10) / 4.0) AS BIGINT) + 1, 0), frame_idx // 4 + 1)) AS w FROM frames) GROUP BY 1, 2",
@@ -284,3 +353,16 @@ SQL["join_without_repeats"] = f"""WITH {TURNS}, p AS (SELECT session_id, sentenc
 w AS (SELECT session_id, sentence_id, regexp_split_to_array(trim(a), '\\s+') AS x, regexp_split_to_array(trim(b), '\\s+') AS y FROM p),
 n AS (SELECT *, coalesce(list_max([k FOR k IN range(1, 6) IF len(x) >= k AND len(y) >= k AND x[len(x) - k + 1:] = y[:k]]), 0) AS n FROM w)
 SELECT session_id, sentence_id, md5(array_to_string(list_concat(x, y[n + 1:]), ' ')) AS joined_md5 FROM n"""
+
+_FLIPS = f"""WITH {TEXTS}, p AS (SELECT *, last_value(CASE WHEN NOT is_final THEN lang_code END IGNORE NULLS) OVER (PARTITION BY session_id, g ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS predicted FROM gx)
+SELECT session_id, seq FROM p WHERE is_final AND lang_code <> '' AND predicted <> '' AND predicted <> lang_code"""
+SQL["session_summary"] = SQL["session_summary"].replace("@flips", _FLIPS).replace("@runs", SQL["circuit_breaker"])
+SQL["language_disagrees"] = f"SELECT session_id, count(*) AS disagrees FROM ({_FLIPS}) GROUP BY 1"
+SQL["refused_translations"] = f"WITH {tq.ASKED} SELECT session_id, count(*) AS refused FROM ans WHERE reason <> '' GROUP BY 1"
+SQL["fold_stream"] = tq.SQL["fold_messages"]
+SQL["corrections_stream"] = f"WITH {tq.FOLDED} SELECT session_id, sentence_id, speaker_id FROM fl WHERE relabelled"
+SQL["backlog_stream"] = f"""WITH {FRAMES}, n AS (SELECT session_id, frame_idx AS sentence_id, row_number() OVER (PARTITION BY session_id ORDER BY frame_idx DESC) AS n FROM frames WHERE frame_idx % 3 <> 0)
+SELECT session_id, sentence_id, CASE WHEN n > 16 THEN 'evicted: too many waiting' ELSE 'the session ended first' END AS reason FROM n"""
+_DRIFT = {"far_from_partial": "1", "lost_turns": "1", "refused_translations": "refused", "language_disagrees": "disagrees"}
+SQL["compare_runs"] = f"""WITH m AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric, session_id % 3 AS run, {v} AS value FROM ({SQL[k]})" for k, v in _DRIFT.items())}),
+c AS (SELECT metric, {", ".join(f"CAST(sum(value) FILTER (run = {i}) AS BIGINT) AS r{i}" for i in range(3))} FROM m GROUP BY 1) SELECT *, r1 - r0 AS r1_change, r2 - r0 AS r2_change FROM c"""

@@ -21,17 +21,19 @@ LANG = {"user": "xx", "assistant": "yy"}
 
 def pieces(spark, d):
     """The lines of documents as decoded pieces of an utterance each; their figures come from the text itself."""
-    own = table(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    own = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     n = F.length("text")
     return own.select(
         F.col("source").alias("session_id"), F.col("doc_id").alias("utt_id"), (F.shiftleft("doc_id", 32) + F.col("i")).alias("piece_idx"), "text",
         (n % 2000).cast("double").alias("duration_ms"), (-(n % 130) / 100).alias("avg_logprob"), ((n % 97) / 97).alias("no_speech_prob"), ((n % 61) / 25).alias("ratio"),
+        (n % 83).cast("double").alias("decode_ms"), F.when(n % 5 == 0, "").otherwise(F.col("lang")).alias("detected"),
     )
 
 
-PIECES = """lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+PIECES = """lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 pieces AS (SELECT source AS session_id, doc_id AS utt_id, doc_id * 4294967296 + i AS piece_idx, text, CAST(length(text) % 2000 AS DOUBLE) AS duration_ms,
-  -(length(text) % 130) / 100 AS avg_logprob, (length(text) % 97) / 97 AS no_speech_prob, (length(text) % 61) / 25 AS ratio FROM lines)"""
+  -(length(text) % 130) / 100 AS avg_logprob, (length(text) % 97) / 97 AS no_speech_prob, (length(text) % 61) / 25 AS ratio,
+  CAST(length(text) % 83 AS DOUBLE) AS decode_ms, CASE WHEN length(text) % 5 = 0 THEN '' ELSE lang END AS detected FROM lines)"""
 
 
 def lines_of(spark, d, judged):
@@ -72,8 +74,8 @@ def norm_forms(spark, d):
 
 
 def assembled(spark, d):
-    out = gd.assemble(judged_pieces(spark, d), ["session_id", "utt_id"])
-    return out.select("session_id", "utt_id", F.md5("transcript").alias("transcript_md5"), "kept", "dropped", "dropped_reasons")
+    out = gd.assemble(judged_pieces(spark, d), ["session_id", "utt_id"], detected="detected")
+    return out.select("session_id", "utt_id", F.md5("transcript").alias("transcript_md5"), "kept", "dropped", "dropped_reasons", "lang_code")
 
 
 def transcript_stats(spark, d):
@@ -136,8 +138,9 @@ def expansion_stats(spark, d):
 
 
 def history(spark, d):
-    own = an.turn_history(turns(spark, d), ["speaker_id", "transcript"])
-    return own.select("session_id", "sentence_id", F.md5(an.render_history(F.col("history"))).alias("history_md5"), F.size("history").alias("n"))
+    own = an.turn_history(judged(spark, d), ["speaker_id", "transcript", "translation"])
+    styles = [F.md5(an.render_history(F.col("history"), style)).alias(f"{style}_md5") for style in ("plain", "labelled", "sources")]
+    return own.select("session_id", "sentence_id", *styles, F.size("history").alias("n"))
 
 
 def prompts(spark, d):
@@ -195,7 +198,7 @@ def message_log(spark, d):
     none = {"labels": F.lit(None).cast("map<string,string>")}
     f = t.select("session_id", (F.col("sentence_id") * 10).alias("seq"), F.lit("final").alias("kind"), "sentence_id", "speaker_id", "lang_code", "transcript").withColumns(none)
     p = t.select("session_id", (F.col("sentence_id") * 10 - 3).alias("seq"), F.lit("partial").alias("kind"), F.left("transcript", F.lit(30)).alias("transcript"))
-    a = t.where("sentence_id % 6 <> 5").select("session_id", (F.col("sentence_id") * 10 + 14).alias("seq"), F.lit("translation").alias("kind"), (F.col("sentence_id") + F.when(F.col("sentence_id") == 4, 100).otherwise(0)).alias("sentence_id"), "translation", "reason", "raw")
+    a = t.where("sentence_id % 6 <> 5").select("session_id", (F.col("sentence_id") * 10 + 14).alias("seq"), F.lit("translation").alias("kind"), (F.col("sentence_id") + F.when(F.col("sentence_id") == 4, 100).otherwise(0)).alias("sentence_id"), F.when(F.col("sentence_id") % 7 == 3, "").otherwise(F.col("translation")).alias("translation"), F.when(F.col("sentence_id") % 7 == 3, "too late (9 s)").otherwise(F.col("reason")).alias("reason"), "raw")
     s = t.where("sentence_id % 3 = 2").select("session_id", (F.col("sentence_id") * 10 + 5).alias("seq"), F.lit("speakers").alias("kind"), F.create_map((F.col("sentence_id") - 1).cast("string"), F.lit("Speaker_09"), F.lit("999"), F.lit("Speaker_10")).alias("labels"))
     return f.unionByName(p, True).unionByName(a, True).unionByName(s, True)
 
@@ -209,7 +212,7 @@ def fold_messages(spark, d):
 
 
 FOLDED = f"""{ASKED}, fl AS (SELECT session_id, sentence_id, sentence_id * 10 AS seq, CASE WHEN relabelled THEN 'Speaker_09' ELSE speaker_id END AS speaker_id, relabelled, answered, transcript, lang_code,
-  CASE WHEN answered THEN reason END AS reason, CASE WHEN answered THEN CASE WHEN reason = '' THEN t ELSE '' END END AS translation
+  CASE WHEN answered THEN CASE WHEN sentence_id % 7 = 3 THEN 'too late (9 s)' ELSE reason END END AS reason, CASE WHEN answered THEN CASE WHEN reason = '' AND sentence_id % 7 <> 3 THEN t ELSE '' END END AS translation
   FROM (SELECT a.*, a.sentence_id % 6 <> 5 AND a.sentence_id <> 4 AS answered, n.sentence_id IS NOT NULL AND a.speaker_id <> 'Speaker_09' AS relabelled
     FROM ans a LEFT JOIN ans n ON n.session_id = a.session_id AND n.sentence_id = a.sentence_id + 1 AND n.sentence_id % 3 = 2))"""
 
@@ -224,7 +227,7 @@ def running_text(spark, d):
 
 
 def transcript_counts(spark, d):
-    return tr.transcript_counts(folded(spark, d))
+    return tr.transcript_counts(folded(spark, d), message_log(spark, d))
 
 
 def speakers_in_order(spark, d):
@@ -297,9 +300,11 @@ SQL = {
     "refuse_reason": f"WITH {JUDGED} SELECT session_id, piece_idx, invented, reason FROM judged",
     "norm_forms": f"WITH {PIECES} SELECT piece_idx, md5({_EX.format('text')}) AS exact_md5, md5({_SP.format('text')}) AS spaced_md5 FROM pieces",
     "assemble": f"""WITH {JUDGED} SELECT session_id, utt_id, md5(coalesce(string_agg(trim(text, ' '), ' ' ORDER BY piece_idx) FILTER (reason = ''), '')) AS transcript_md5, count(*) FILTER (reason = '') AS kept,
-count(*) FILTER (reason <> '') AS dropped, coalesce(string_agg(reason, '; ' ORDER BY piece_idx) FILTER (reason <> ''), '') AS dropped_reasons FROM judged GROUP BY 1, 2""",
+count(*) FILTER (reason <> '') AS dropped, coalesce(string_agg(reason, '; ' ORDER BY piece_idx) FILTER (reason <> ''), '') AS dropped_reasons,
+coalesce(arg_min(detected, piece_idx) FILTER (detected <> ''), '') AS lang_code FROM judged GROUP BY 1, 2""",
     "transcript_stats": f"""WITH {JUDGED} SELECT session_id, count(*) AS pieces, count(*) FILTER (reason = '') AS kept, count(*) FILTER (reason = 'empty') AS empty, count(*) FILTER (reason = 'no speech') AS no_speech_n,
-count(*) FILTER (reason = 'low confidence') AS low_confidence, count(*) FILTER (reason = 'repetition') AS repetition, count(*) FILTER (reason = 'known hallucination') AS hallucination FROM judged GROUP BY 1""",
+count(*) FILTER (reason = 'low confidence') AS low_confidence, count(*) FILTER (reason = 'repetition') AS repetition, count(*) FILTER (reason = 'known hallucination') AS hallucination,
+sum(decode_ms) / 1000 AS decode_s, sum(duration_ms) / 1000 AS audio_s, CASE WHEN sum(duration_ms) > 0 THEN (sum(decode_ms) / 1000) / (sum(duration_ms) / 1000) ELSE 0 END AS realtime_factor FROM judged GROUP BY 1""",
     "kept_despite_silence": f"WITH {JUDGED} SELECT session_id, piece_idx, no_speech_prob FROM judged WHERE reason = '' AND no_speech_prob > 0.6",
     "refusal_report": f"""WITH {JUDGED}, r AS (SELECT session_id, count(*) AS judged, count(*) FILTER (reason <> '') AS refused FROM judged WHERE duration_ms <= 1900 GROUP BY 1) SELECT *, refused / judged AS share, refused / judged <= 0.35 AS within FROM r""",
     "vocabulary_prompt": "WITH w AS (SELECT p_partkey, p_name, sum(length(p_name) + 2) OVER (ORDER BY p_partkey) - 2 AS e FROM part WHERE length(p_name) > 0) SELECT string_agg(p_name, ', ' ORDER BY p_partkey) AS prompt FROM w WHERE e <= 400",
@@ -308,7 +313,9 @@ count(*) FILTER (reason = 'low confidence') AS low_confidence, count(*) FILTER (
     "translation_stats": f"""WITH {ASKED} SELECT session_id, count(*) AS seen, count(*) FILTER (reason = '') AS translated, count(*) FILTER (reason <> '') AS refused, count(*) FILTER (reason = 'the answer repeats the source') AS echoes,
 count(*) FILTER (reason = 'the answer is too long') AS too_long, count(*) FILTER (starts_with(reason, 'the answer is not')) AS wrong_script FROM ans GROUP BY 1""",
     "expansion_stats": f"WITH {ASKED}, x AS (SELECT target, length(t) / length(transcript) AS x FROM ans WHERE reason = '' AND length(transcript) > 0) SELECT target, count(*) AS n, min(x) AS least, quantile_cont(x, 0.5) AS median, max(x) AS most FROM x GROUP BY 1",
-    "turn_history": f"WITH {TURNS}, h AS (SELECT session_id, sentence_id, list(transcript) OVER (PARTITION BY session_id ORDER BY sentence_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h FROM turns) SELECT session_id, sentence_id, md5(coalesce(array_to_string(h, chr(10)), '')) AS history_md5, CAST(coalesce(len(h), 0) AS INTEGER) AS n FROM h",
+    "turn_history": f"""WITH {ASKED}, a AS (SELECT *, transcript || ' => ' || CASE WHEN reason = '' THEN t ELSE '' END AS pair FROM ans),
+h AS (SELECT session_id, sentence_id, list(pair) OVER w AS p, list(speaker_id || ': ' || pair) OVER w AS l, list(transcript) OVER w AS s FROM a WINDOW w AS (PARTITION BY session_id ORDER BY sentence_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT session_id, sentence_id, md5(coalesce(array_to_string(p, chr(10)), '')) AS plain_md5, md5(coalesce(array_to_string(l, chr(10)), '')) AS labelled_md5, md5(coalesce(array_to_string(s, chr(10)), '')) AS sources_md5, CAST(coalesce(len(s), 0) AS INTEGER) AS n FROM h""",
     "build_prompts": f"""WITH {ASKED}, h AS (SELECT *, coalesce(array_to_string(list(transcript) OVER (PARTITION BY session_id ORDER BY sentence_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '') AS h FROM tg)
 SELECT session_id, sentence_id, CASE WHEN target = '' OR trim(transcript) = '' THEN '' ELSE 'Translate ' || CASE lang_code WHEN 'ja' THEN 'Japanese into Vietnamese' ELSE 'Vietnamese into Japanese' END || '. Answer with the translation only.' || CASE WHEN length(trim(transcript)) < 12 THEN ' The line is short; translate it as it stands.' ELSE '' END END AS system_prompt,
 md5(CASE WHEN target = '' OR trim(transcript) = '' THEN '' ELSE CASE WHEN h <> '' THEN 'Earlier lines:' || chr(10) || h || chr(10) || chr(10) ELSE '' END || 'Line:' || chr(10) || trim(transcript) END) AS user_md5 FROM h""",
@@ -322,7 +329,7 @@ SELECT session_id, sentence_id, waiting, CASE WHEN waiting AND n > 16 THEN 'evic
     "keep_latest": f"WITH {TURNS} SELECT session_id, sentence_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id DESC) AS n FROM turns) WHERE n <= 3",
     "current_partial": f"""WITH {TURNS}, m AS (SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, transcript FROM turns WHERE NOT (session_id % 2 = 0 AND sentence_id > 2) UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', left(transcript, 30) FROM turns)
 SELECT session_id, CASE WHEN arg_max(kind, seq) = 'partial' THEN arg_max(transcript, seq) ELSE '' END AS running FROM m GROUP BY 1""",
-    "transcript_counts": f"""WITH {FOLDED} SELECT session_id, count(*) AS sentences, count(*) FILTER (translation <> '') AS translated, count(*) FILTER (NOT answered) AS waiting, count(*) FILTER (answered AND translation = '') AS refused, count(*) FILTER (relabelled) AS relabelled_n FROM fl GROUP BY 1""",
+    "transcript_counts": f"""WITH {FOLDED} SELECT session_id, count(*) AS sentences, count(*) FILTER (translation <> '') AS translated, count(*) FILTER (NOT answered) AS waiting, count(*) FILTER (answered AND translation = '') AS refused, count(*) FILTER (answered AND translation = '' AND starts_with(reason, 'too late')) AS dropped, count(transcript) AS partials, count(*) FILTER (relabelled) AS relabelled_n FROM fl GROUP BY 1""",
     "speakers_in_order": f"WITH {FOLDED}, s AS (SELECT session_id, speaker_id, min(seq) AS q FROM fl GROUP BY 1, 2) SELECT session_id, string_agg(speaker_id, ',' ORDER BY q) AS speakers FROM s GROUP BY 1",
     "minutes": f"""WITH {FOLDED} SELECT session_id, md5(string_agg(speaker_id || ': ' || transcript || chr(10) || '    ' || CASE WHEN NOT answered THEN '(still waiting)' WHEN translation = '' THEN '(not translated: ' || reason || ')' ELSE translation END, chr(10) || chr(10) ORDER BY sentence_id)) AS minutes_md5 FROM fl GROUP BY 1""",
     "event_log": f"WITH {FRAMES} SELECT session_id, frame_idx AS seq, strftime(ts, '%H:%M:%S') || ' +' || CAST((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY session_id)) // 1000000 AS VARCHAR) || ' ' || rpad(label, 12, ' ') || 'x' AS line FROM frames",

@@ -28,7 +28,7 @@ class Hysteresis(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         high, low, is_open, closed, nxt = self.state.get() if self.state.exists() else (0, 0, False, 0, 0)
         out = []
-        part = pd.concat(list(rows)).sort_values("seq")
+        part = pd.concat(list(rows)).sort_values(["seq", "tie"])
         ended = False
         for prob, end in zip(part["prob"], part["ended"], strict=True):
             if end:
@@ -58,12 +58,13 @@ class Hysteresis(StatefulProcessor):
 def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames) -> DataFrame:
     """Segment events of a stream of frames (session_id, seq, prob, ended), as segment_hysteresis gives them in batch.
 
-    Batches of a session arrive in order, and seq orders the rows of one; frames are counted from 0. A row with ended
-    closes what is open and forgets the session. Needs the RocksDB state store.
+    Batches of a session arrive in order; seq, then tie (if there is such a column), order the rows of one; frames are
+    counted from 0. A row with ended closes what is open and forgets the session. Needs the RocksDB state store.
     """
     if neg > threshold:
         raise ValueError("neg must not be above threshold")
-    return frames.groupBy("session_id").transformWithStateInPandas(Hysteresis(threshold, neg, n_open, n_close, pad), StructType.fromDDL(EVENTS), "Append", "None")
+    own = frames if "tie" in frames.columns else frames.withColumn("tie", F.lit(0))
+    return own.groupBy("session_id").transformWithStateInPandas(Hysteresis(threshold, neg, n_open, n_close, pad), StructType.fromDDL(EVENTS), "Append", "None")
 
 
 class VoiceMatcher(StatefulProcessor):
