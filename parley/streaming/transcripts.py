@@ -119,7 +119,7 @@ class Backlog(StatefulProcessor):
                 self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield from self._told(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = [(s, ENDED) for (s,) in self.waiting.get()] if self.waiting.exists() else []
         self.waiting.clear()
         yield from self._told(key, out)
