@@ -130,11 +130,14 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", weights:
             sizes[s] = sizes.get(s, 0) + words / len(p)
     wanted = targets(sizes, weights, most)
     flow = min_cost_flow({p: c for p, c in capacity.items() if p}, {s: round(t) for s, t in wanted.items()}, most)
+    given: dict = {}
+    for (p, _), words in flow.items():
+        given[p] = given.get(p, 0) + words
     rows = []
     for p, c in capacity.items():
-        got = sum(v for (q, _), v in flow.items() if q == p)
+        got = given.get(p, 0)
         base = min(most, got // c) if c else 0
-        rows.append(([(s,) for s in p], base, got - base * c, sum(sizes[s] for s in p), float(sum(wanted[s] for s in p))))
+        rows.append(([(s,) for s in p], base, got - base * c, float(sum(sizes[s] for s in p)), float(sum(wanted[s] for s in p))))
     spark = docs.sparkSession
     share = spark.createDataFrame(rows, "pattern array<struct<s:string>>, base long, rest long, source_size double, target double")
     # at most MAX_PATTERNS rows
