@@ -110,9 +110,10 @@ def split_by_language(utterances: DataFrame, boundaries: DataFrame, keys: list[s
     return own.select(*keys, F.explode(F.when(ok, two).otherwise(one)).alias("p")).select(*keys, "p.*")
 
 
-def split_stats(boundaries: DataFrame, key: str = "session_id") -> DataFrame:
+def split_stats(boundaries: DataFrame, key: str = "session_id", order: str = "utt") -> DataFrame:
+    """(session, checked, one count per outcome, probes, last_reason): last_reason is the outcome of the last utterance by order."""
     count = lambda o: F.count(F.when(F.col("outcome") == o, 1)).alias(o)
-    return boundaries.groupBy(key).agg(F.count("*").alias("checked"), count("split"), count("one_language"), count("undecided"), count("too_short"), F.sum("probes").alias("probes"))
+    return boundaries.groupBy(key).agg(F.count("*").alias("checked"), count("split"), count("one_language"), count("undecided"), count("too_short"), F.sum("probes").alias("probes"), F.max_by("outcome", order).alias("last_reason"))
 
 
 def language_stats(df: DataFrame, key: str = "session_id", lang: str = "lang_code") -> DataFrame:

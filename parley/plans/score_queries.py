@@ -313,7 +313,7 @@ o AS (SELECT *, len(l) AS n, l[1] AS b, l[len(l)] AS a, CASE WHEN len(l) < 2 THE
 s0 AS (SELECT *, 1 AS lo, n - 1 AS hi, CASE WHEN outcome = 'too_short' THEN 0 ELSE 2 END AS probes FROM o), {_search_step("s0", "s1")}, {_search_step("s1", "s2")}, {_search_step("s2", "s3")},
 bd AS (SELECT session_id, utt, CASE WHEN outcome = 'split' THEN hi END AS at_window, CASE WHEN outcome IN ('split', 'one_language') THEN b ELSE '' END AS before, CASE WHEN outcome IN ('split', 'one_language') THEN a ELSE '' END AS after, probes, outcome FROM s3)"""
 SQL["language_boundary"] = f"{_BOUNDS} SELECT * FROM bd"
-SQL["split_stats"] = f"""{_BOUNDS} SELECT session_id, count(*) AS checked, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("split", "one_language", "undecided", "too_short"))}, CAST(sum(probes) AS BIGINT) AS probes FROM bd GROUP BY 1"""
+SQL["split_stats"] = f"""{_BOUNDS} SELECT session_id, count(*) AS checked, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("split", "one_language", "undecided", "too_short"))}, CAST(sum(probes) AS BIGINT) AS probes, arg_max(outcome, utt) AS last_reason FROM bd GROUP BY 1"""
 SQL["split_by_language"] = f"""{_BOUNDS}, u AS (SELECT *, utt * 10000.0::DOUBLE AS st, utt * 10000.0::DOUBLE + 5000 AS en, coalesce(at_window * 1000 >= 600 AND 5000 - at_window * 1000 >= 600, false) AS ok FROM bd)
 SELECT session_id, utt, 0 AS part, st AS start_ms, CASE WHEN ok THEN st + at_window * 1000 ELSE en END AS end_ms, before AS lang_code, false AS continues_previous FROM u
 UNION ALL SELECT session_id, utt, 1, st + at_window * 1000, en, after, false FROM u WHERE ok"""

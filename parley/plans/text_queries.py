@@ -276,6 +276,17 @@ def serialised(spark, d):
     return v.select("session_id", "frame_idx", F.get_json_object(ct.to_messages(v, "vad"), "$.at_ms").cast("double").alias("at_ms"), F.get_json_object(ct.to_messages(v, "vad"), "$.type").alias("type"))
 
 
+def round_trip(spark, d):
+    """Finals, answers and running texts as messages, read back by their fields."""
+    log, out = message_log(spark, d).withColumn("speech_score", F.lit(0.25)), None
+    for kind, text in (("final", "transcript"), ("translation", "translation"), ("partial", "transcript")):
+        own = log.where(F.col("kind") == kind)
+        back = ct.typed(ct.parse_messages(own.select("session_id", "seq", ct.to_messages(own, kind).alias("raw"))), kind)
+        rows = back.select("session_id", "seq", F.lit(kind).alias("kind"), (F.col("sentence_id") if kind != "partial" else F.lit(None).cast("long")).alias("sentence_id"), F.md5(text).alias("text_md5"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def violations(spark, d):
     kind = F.when(F.col("label") == "click", "hello").when(F.col("label") == "purchase", "bye").when(F.col("label") == "view", "audio").otherwise("final")
     return ct.protocol_violations(frames(spark, d).select("session_id", F.col("frame_idx").alias("seq"), kind.alias("kind")))
@@ -293,7 +304,7 @@ QUERIES = {
     "infer": inferred, "retry_echoes": retried, "drop_stale": stale, "bounded_backlog": backlog, "answer_leftovers": leftovers, "answer_status": answer_status,
     "fold_messages": fold_messages, "keep_latest": newest_rows, "current_partial": running_text, "transcript_counts": transcript_counts, "speakers_in_order": speakers_in_order,
     "minutes": minutes, "event_log": event_log, "meeting_names": meeting_names, "parse_messages": parsed, "typed_messages": typed_partials, "parse_hello": hellos,
-    "to_messages": serialised, "protocol_violations": violations, "split_valid": checked_chunks,
+    "to_messages": serialised, "messages_round_trip": round_trip, "protocol_violations": violations, "split_valid": checked_chunks,
 }
 
 SQL = {
@@ -339,6 +350,9 @@ SELECT session_id, CASE WHEN arg_max(kind, seq) = 'partial' THEN arg_max(transcr
     "parse_hello": """SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 8000 ELSE 16000 END AS sample_rate, 1 AS channels, '' AS client, CASE WHEN event_id % 5 < 2 THEN 'session_id must be a text that is not empty' ELSE '' END AS problem,
 CASE WHEN event_id % 2 = 0 THEN 'sample_rate: 8000, expected 16000' ELSE '' END AS mismatch FROM events""",
     "to_messages": f"WITH {FRAMES} SELECT session_id, frame_idx, frame_idx * 32.0::DOUBLE + 0.5 AS at_ms, 'vad' AS type FROM frames",
+    "messages_round_trip": f"""WITH {ASKED} SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, sentence_id, md5(transcript) AS text_md5 FROM ans
+UNION ALL SELECT session_id, sentence_id * 10 + 14, 'translation', sentence_id + CASE sentence_id WHEN 4 THEN 100 ELSE 0 END, md5(CASE WHEN reason = '' AND sentence_id % 7 <> 3 THEN t ELSE '' END) FROM ans WHERE sentence_id % 6 <> 5
+UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', NULL, md5(left(transcript, 30)) FROM ans""",
     "protocol_violations": f"""WITH {FRAMES}, k AS (SELECT session_id, frame_idx AS seq, CASE label WHEN 'click' THEN 'hello' WHEN 'purchase' THEN 'bye' WHEN 'view' THEN 'audio' ELSE 'final' END AS kind FROM frames),
 b AS (SELECT *, coalesce(max(CASE WHEN kind = 'hello' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS h, coalesce(max(CASE WHEN kind = 'bye' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS c FROM k WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT session_id, seq, kind, CASE WHEN c THEN 'after close' WHEN kind = 'hello' AND h THEN 'second hello' WHEN kind = 'audio' AND NOT h THEN 'audio before hello' WHEN kind NOT IN ('audio', 'hello', 'bye') THEN 'not for a client to send' END AS violation FROM b) SELECT * FROM v WHERE violation IS NOT NULL""",

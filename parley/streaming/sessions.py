@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from parley.config import DEFAULTS
-from parley.operators.voices import Matcher
+from parley.operators.voices import Matcher, assignment_reason
 
 EVENTS = "session_id long, kind string, frame long"
 
@@ -91,7 +91,8 @@ class VoiceMatcher(StatefulProcessor):
 def assign_voice_stream(voices: DataFrame, **options) -> DataFrame:
     """assign_voices for a stream of (session_id, sentence_id, embedding)."""
     own = voices.select("session_id", "sentence_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return own.groupBy("session_id").transformWithStateInPandas(VoiceMatcher(options), StructType.fromDDL("session_id long, sentence_id long, label string, similarity double, is_new boolean"), "Append", "None")
+    out = own.groupBy("session_id").transformWithStateInPandas(VoiceMatcher(options), StructType.fromDDL("session_id long, sentence_id long, label string, similarity double, is_new boolean"), "Append", "None")
+    return out.withColumn("reason", assignment_reason(options.get("threshold", DEFAULTS.same_voice)))
 
 
 def quiet_sessions(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds", ts: str = "ts") -> DataFrame:
