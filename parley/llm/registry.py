@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parley.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, mixing, neighbours, recompression, simhash, suffix_dedup
+from parley.llm import centroids, chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, neighbours, recompression, simhash, suffix_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_decontaminate": decontaminate.query,
         "op9_chat_format": chat_format.query,
         "op10_nearest_neighbours": neighbours.query,
+        "op11_centroid_clustering": centroids.query,
+        "op12_vector_codes": vector_codes.query,
+        "op13_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_recompression_dedup": recompression.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op9_chat_format": chat_format.SQL}
+    return {
+        "op4_recompression_dedup": recompression.SQL,
+        "op6_suffix_dedup": suffix_dedup.SQL,
+        "op9_chat_format": chat_format.SQL,
+        "op11_centroid_clustering": centroids.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_exact_dedup": exact_dedup.SQL,
+    }
