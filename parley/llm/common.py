@@ -70,3 +70,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = after
     heads = edge.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def join_hot(df: DataFrame, facts: DataFrame, keys: list[str], n: str, share: int = 1000) -> DataFrame:
+    """df joined with facts, which has one row for each value of the keys in df, and in n how many rows of df have it.
+
+    Values with more than one row in share are at most share: those facts are broadcast. The rest is joined by
+    the keys, each of which has few rows then, so that no value needs a task of its own. Null keys are equal.
+    """
+    many = (facts.agg(F.sum(n)).first()[0] or 0) // share
+    facts = facts.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in facts.columns if c not in keys))
+    same = [df[k].eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    gone = [f"_key_{k}" for k in keys]
+    few = [c for c in facts.columns if c not in gone]
+    hot = facts.where(F.col(n) > many)
+    known = df.join(F.broadcast(hot), same).drop(*gone)
+    rest = df.join(F.broadcast(hot.select(*gone)), same, "left_anti")
+    return known.unionByName(rest.join(facts.where(F.col(n) <= many), same).drop(*gone).select(*df.columns, *few))

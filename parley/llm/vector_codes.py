@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import cut, table
+from parley.llm.common import cut, join_hot, table
 from parley.llm.vector_blocks import BLOCK, blocks, grouped_sums, means, squared, total, unpack, usable
 
 #: Balls of at most so many points are leaves.
@@ -263,19 +263,9 @@ def compress(vectors: DataFrame, carry: list[str], order: str = "vec_id", vector
 
 
 def with_totals(df: DataFrame, key: str, value: str, name: str, share: int = 1000) -> DataFrame:
-    """df with the sum of value over the rows that share key (nulls together), as a long.
-
-    Keys with more than one row in share are at most share: they are broadcast; the rest is joined by the key, whose rows are
-    then few. So a key with a third of all rows needs no task of its own.
-    """
-    sums = cut(df.groupBy(key).agg(F.sum(F.col(value).cast("decimal(38,0)")).alias("_sum"), F.count("*").alias("_n")))
-    many = (sums.agg(F.sum("_n")).first()[0] or 0) // share
-    sums = sums.select(F.col(key).alias("_key"), F.least(F.col("_sum"), F.lit(2**63 - 1)).cast("long").alias("_sum"), "_n")
-    hot = df.join(F.broadcast(sums.where(F.col("_n") > many).drop("_n")), df[key].eqNullSafe(F.col("_key")), "left")
-    known = hot.where("_sum is not null").drop("_key").withColumnRenamed("_sum", name)
-    rest = hot.where("_sum is null").drop("_sum", "_key")
-    rest = rest.join(sums.where(F.col("_n") <= many).drop("_n"), rest[key].eqNullSafe(F.col("_key"))).drop("_key").withColumnRenamed("_sum", name)
-    return known.unionByName(rest)
+    """df with the sum of value over the rows that share key (nulls together), as a long."""
+    sums = df.groupBy(key).agg(F.least(F.sum(F.col(value).cast("decimal(38,0)")), F.lit(2**63 - 1)).cast("long").alias(name), F.count("*").alias("_n"))
+    return join_hot(df, cut(sums), [key], "_n", share).drop("_n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
