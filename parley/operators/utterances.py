@@ -93,6 +93,16 @@ def partial_ticks(utterances: DataFrame, key: str = "session_id", every_ms: int
     return own.select(key, "idx", "tick", (F.col("start_ms") + F.col("tick") * F.lit(float(step))).alias("at_ms"))
 
 
+def running_text(utterances: DataFrame, key: str = "session_id", every_ms: int = DEFAULTS.partial_every_ms, chunk_ms: int = DEFAULTS.chunk_ms, frame_ms: float = DEFAULTS.frame_ms, limit_ms: float = DEFAULTS.max_utterance_ms) -> DataFrame:
+    """(key, idx, tick, at_ms, start_ms): partial_ticks as they were due while the utterances were open.
+
+    One that was cut for its length had grown to a frame below the limit before the cut, which lies before that, was known.
+    """
+    grown = F.when(F.col("reason") == "max_duration", F.col("start_ms") + (limit_ms - frame_ms)).otherwise(F.col("end_ms"))
+    ticks = partial_ticks(utterances.withColumn("end_ms", grown), key, every_ms, chunk_ms)
+    return ticks.join(utterances.select(key, "idx", "start_ms"), [key, "idx"])
+
+
 def tail_window(start_ms: Column, end_ms: Column, seconds: float = DEFAULTS.partial_window_ms / 1000) -> Column:
     """Start of the last seconds of an utterance."""
     return F.greatest(start_ms, end_ms - seconds * 1000)

@@ -162,10 +162,6 @@ def voices(spark, d):
     return e.select(F.col("label").alias("session_id"), F.col("vec_id").alias("sentence_id"), (F.col("vec_id") % 40 * 50.0).alias("duration_ms"), "embedding", F.concat(F.lit("Speaker_"), F.lpad((F.col("vec_id") % 3 + 1).cast("string"), 2, "0")).alias("label"))
 
 
-def few_voices(spark, d):
-    return voices(spark, d).where("sentence_id % 10 = 0 or duration_ms > 1500")
-
-
 VOICES = "v AS (SELECT label AS session_id, vec_id AS sentence_id, vec_id % 40 * 50.0::DOUBLE AS duration_ms, embedding, 'Speaker_' || lpad(CAST(vec_id % 3 + 1 AS VARCHAR), 2, '0') AS label FROM embeddings)"
 _COS = "coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0)"
 
@@ -175,22 +171,29 @@ def usable(spark, d):
 
 
 def pairs(spark, d):
-    return vc.pairwise(vc.usable_voice(voices(spark, d)).where("usable"))
+    """The newest 300 usable voices of each session."""
+    return vc.pairwise(vc.newest_voices(vc.usable_voice(voices(spark, d)).where("usable")))
 
 
 def pairwise(spark, d):
     return pairs(spark, d).select("session_id", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-PAIRS = f"{VOICES}, pairs AS (SELECT a.session_id, a.sentence_id AS a, b.sentence_id AS b, {_COS} AS similarity FROM v a JOIN v b ON a.session_id = b.session_id AND a.sentence_id < b.sentence_id WHERE a.duration_ms >= 600 AND b.duration_ms >= 600)"
+_LONG = "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id DESC) AS m FROM v WHERE duration_ms >= 600"
+PAIRS = f"{VOICES}, kept AS ({_LONG} QUALIFY m <= 300), pairs AS (SELECT a.session_id, a.sentence_id AS a, b.sentence_id AS b, {_COS} AS similarity FROM kept a JOIN kept b ON a.session_id = b.session_id AND a.sentence_id < b.sentence_id)"
 
 
 def assigned(spark, d):
     return vc.assign_voices(vc.usable_voice(voices(spark, d)).where("usable"))
 
 
+def assign_voices(spark, d):
+    return assigned(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
 def voice_stats(spark, d):
-    return vc.voice_stats(assigned(spark, d))
+    s = vc.voice_stats(assigned(spark, d))
+    return s.withColumn("speakers", F.array_join(F.transform(F.map_entries("speakers"), lambda e: F.concat(e.key, F.lit("="), e.value)), ","))
 
 
 def clustered(spark, d):
@@ -212,7 +215,11 @@ def voice_window(spark, d):
 
 
 def voice_changes(spark, d):
-    return vc.voice_changes(voices(spark, d), ["session_id"], "sentence_id")
+    return vc.voice_changes(voices(spark, d), ["session_id"], "sentence_id").withColumn("similarity", F.round("similarity", 6))
+
+
+def recluster_runs(spark, d):
+    return vc.recluster_runs(voices(spark, d))
 
 
 def deciles(spark, d):
@@ -235,8 +242,8 @@ QUERIES = {
     "language_codes": language_codes, "decide_language": decide_language, "fill_language": fill_language, "language_flips": language_flips,
     "language_stats": language_stats, "evaluate_language": evaluate_language, "language_boundary": boundaries,
     "split_by_language": split_utterances, "split_stats": split_stats,
-    "usable_voice": usable, "pairwise": pairwise, "assign_voices": assigned, "voice_stats": voice_stats, "cluster_voices": clustered,
-    "voice_corrections": corrections, "label_corrections": plain_corrections, "voice_window": voice_window, "voice_changes": voice_changes,
+    "usable_voice": usable, "pairwise": pairwise, "assign_voices": assign_voices, "voice_stats": voice_stats, "cluster_voices": clustered,
+    "voice_corrections": corrections, "label_corrections": plain_corrections, "voice_window": voice_window, "voice_changes": voice_changes, "recluster_runs": recluster_runs,
     "deciles": deciles, "separation": separation, "label_purity": label_purity,
 }
 
@@ -254,7 +261,27 @@ _VER = f"""{_SC}, one AS ({_BEST(LABELS[:1])}), two AS ({_BEST(LABELS[1:])}),
 ver AS (SELECT session_id, day, one.score AS speech_score, two.score AS noise_score, two.label AS noise_label, one.score >= 0.2 OR two.score < 0.3 AS keep,
 CASE WHEN one.score >= 0.2 THEN 'speech' WHEN two.score < 0.3 THEN 'nothing conclusive' ELSE format('noise: {{}} ({{:.2f}})', two.label, floor(two.score * 100) / 100) END AS reason FROM one JOIN two USING (session_id, day))"""
 
+#: Voices in order: the centroids of a session so far, as a list.
+_RUN = f"""WITH RECURSIVE {VOICES}, u AS (SELECT session_id, sentence_id, CAST(embedding AS DOUBLE[]) AS e, n FROM ({_LONG})),
+run AS (
+  SELECT session_id, n, sentence_id, [e] AS known, 1::BIGINT AS who, 0.0::DOUBLE AS similarity, true AS is_new FROM u WHERE n = 1
+  UNION ALL
+  SELECT session_id, n, sentence_id,
+    CASE WHEN fresh THEN list_append(known, e) ELSE [CASE WHEN i = best THEN [0.7::DOUBLE * known[i][j] + 0.3::DOUBLE * e[j] FOR j IN range(1, len(e) + 1)] ELSE known[i] END FOR i IN range(1, len(known) + 1)] END,
+    CASE WHEN fresh THEN len(known) + 1 ELSE best END, near, fresh
+  FROM (SELECT *, list_position(sims, list_max(sims)) AS best, list_max(sims) AS near, list_max(sims) < 0.3 AND len(known) < 12 AS fresh
+    FROM (SELECT u.*, known, [coalesce(list_cosine_similarity(c, u.e), 0) FOR c IN known] AS sims FROM run JOIN u ON u.session_id = run.session_id AND u.n = run.n + 1))),
+told AS (SELECT session_id, sentence_id, 'Speaker_' || lpad(CAST(who AS VARCHAR), 2, '0') AS label, similarity, is_new FROM run)"""
+
 SQL = {
+    "assign_voices": f"""{_RUN} SELECT session_id, sentence_id, label, round(similarity, 6) AS similarity, is_new,
+CASE WHEN is_new THEN 'no voice is near' WHEN similarity >= 0.3 THEN 'near a known voice' ELSE 'no room for another voice' END AS reason FROM told""",
+    "voice_stats": f"""{_RUN}, each AS (SELECT session_id, label, count(*) AS n, count(*) FILTER (is_new) AS w FROM told GROUP BY 1, 2)
+SELECT session_id, CAST(sum(n) AS BIGINT) AS seen, CAST(sum(n) AS BIGINT) AS identified, 0::BIGINT AS unknown, CAST(sum(w) AS BIGINT) AS new, string_agg(label || '=' || n, ',' ORDER BY label) AS speakers FROM each GROUP BY 1""",
+    "voice_changes": f"""WITH RECURSIVE {VOICES}, w AS (SELECT session_id, sentence_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id) AS n FROM v),
+nxt AS (SELECT a.session_id, a.n, min(b.n) AS m FROM w a JOIN w b ON a.session_id = b.session_id AND b.n > a.n WHERE list_cosine_similarity(a.e, b.e) < 0.25 GROUP BY 1, 2),
+hop AS (SELECT session_id, n, m FROM nxt WHERE n = 1 UNION ALL SELECT h.session_id, x.n, x.m FROM hop h JOIN nxt x ON x.session_id = h.session_id AND x.n = h.m)
+SELECT h.session_id, b.sentence_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM hop h JOIN w a ON a.session_id = h.session_id AND a.n = h.n JOIN w b ON b.session_id = h.session_id AND b.n = h.m""",
     "envelope": f"WITH {_ENV} SELECT session_id, window_idx, level FROM env",
     "peak_envelope": f"WITH {_ENV} SELECT session_id, window_idx, peak AS level FROM env",
     "speaking_level": f"WITH {_ENV} SELECT session_id, quantile_cont(level, 0.9) AS speaking_level FROM env GROUP BY 1",

@@ -209,14 +209,6 @@ def _folder(spark):
     return f"{at}/stream-{uuid.uuid4().hex}"
 
 
-def segment_stream(spark, d):
-    """The events table read as a stream of files."""
-    ss.use_rocksdb(spark)
-    e = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-    rows = e.select(F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.col("event_id").alias("tie"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"), F.lit(False).alias("ended"))
-    return ss.drain(ss.segment_stream(rows, n_open=2, n_close=3, pad=2), _folder(spark))
-
-
 def voice_stream(spark, d):
     ss.use_rocksdb(spark)
     e = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]")
@@ -261,7 +253,7 @@ def backlog_stream(spark, d):
 
 QUERIES = {
     "fold_stream": fold_stream, "corrections_stream": corrections_stream, "backlog_stream": backlog_stream, "refused_translations": refused_translations, "language_disagrees": language_disagrees,
-    "segment_stream": segment_stream, "voice_stream": voice_stream,
+    "voice_stream": voice_stream,
     "stage_cost": stage_cost, "slow_items": slow_items, "circuit_breaker": circuit_breaker, "event_lag": event_lag, "corrected_lag": corrected_lag, "judgeable": judgeable,
     "latency_report": latency, "partial_cadence": cadence, "sentence_gaps": sentence_gaps, "check_session": check_session, "check_events": check_events, "check_partition": check_partition, "session_summary": session_summary,
     "far_from_partial": far_from_partial, "update_survival": update_survival, "lost_turns": lost_turns, "near_block_list": near_blocks, "mixed_language": mixed_language,
@@ -271,7 +263,6 @@ QUERIES = {
 
 _CHECK = "SELECT session_id, unnest(['{0}']) AS name, unnest([{1}]) AS failures FROM {2}"
 SQL = {
-    "segment_stream": f"WITH {sq.SEGMENTS} SELECT session_id, 'speech_start' AS kind, start_frame AS frame FROM segments UNION ALL SELECT session_id, 'speech_end', end_frame FROM segments WHERE NOT open_at_end",
     "stage_cost": f"""WITH {TIMINGS}, e AS (SELECT session_id, stage, sum(seconds) AS seconds, sum(audio_seconds) AS a FROM tm GROUP BY 1, 2)
 SELECT session_id, stage, seconds, seconds / max(a) OVER (PARTITION BY session_id) AS share, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seconds DESC, stage) AS INTEGER) AS rank FROM e""",
     "slow_items": f"""WITH {TIMINGS}, e AS (SELECT session_id, item_id, stage, sum(seconds) AS s FROM tm GROUP BY 1, 2, 3)

@@ -12,27 +12,33 @@ from pyspark.sql.types import StructType
 
 from parley.config import DEFAULTS
 from parley.operators.voices import Matcher, assignment_reason
+from parley.streaming.ordering import InOrder, in_order
 
 EVENTS = "session_id long, kind string, frame long"
 
 
-class Hysteresis(StatefulProcessor):
+class Hysteresis(InOrder):
     """The state of one session: run lengths, whether a segment is open, the last closing frame, and the next frame."""
 
+    fields = "prob double, ended boolean"
+
     def __init__(self, threshold: float, neg: float, n_open: int, n_close: int, pad: int):
         self.threshold, self.neg, self.n_open, self.n_close, self.pad = threshold, neg, n_open, n_close, pad
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "high long, low long, open boolean, closed long, next long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def late(self, key, n: int) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"session_id": key[0], "kind": ["late"], "frame": [n]})
+
+    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         high, low, is_open, closed, nxt = self.state.get() if self.state.exists() else (0, 0, False, 0, 0)
         out = []
-        part = pd.concat(list(rows)).sort_values(["seq", "tie"])
-        ended = False
-        for prob, end in zip(part["prob"], part["ended"], strict=True):
-            if end:
-                ended = True
+        for prob, ended in rows:
+            if ended:
+                if is_open:
+                    out.append(("speech_end", nxt))
+                high, low, is_open, closed, nxt = 0, 0, False, 0, 0
                 continue
             high, low = (high + 1 if prob >= self.threshold else 0), (low + 1 if prob < self.neg else 0)
             if not is_open and high >= self.n_open:
@@ -42,29 +48,25 @@ class Hysteresis(StatefulProcessor):
                 is_open, closed = False, nxt
                 out.append(("speech_end", nxt))
             nxt += 1
-        if ended:
-            if is_open:
-                out.append(("speech_end", nxt))
+        if rows and rows[-1][1]:
             self.state.clear()
         else:
             self.state.update((high, low, is_open, closed, nxt))
         if out:
             yield pd.DataFrame({"session_id": key[0], "kind": [k for k, _ in out], "frame": [f for _, f in out]})
 
-    def close(self) -> None:
-        pass
-
 
-def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames) -> DataFrame:
-    """Segment events of a stream of frames (session_id, seq, prob, ended), as segment_hysteresis gives them in batch.
+def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames, ts: str | None = None, late: str | None = None) -> DataFrame:
+    """Segment events of a stream of frames (session_id, seq or ts, prob, ended), as segment_hysteresis gives them in batch.
 
-    Batches of a session arrive in order; seq, then tie (if there is such a column), order the rows of one; frames are
-    counted from 0. A row with ended closes what is open and forgets the session. Needs the RocksDB state store.
+    With ts and late, rows may arrive out of order by that much and are put in order by event time (in_order); without, batches of a
+    session arrive in order, and seq, then tie (if there is such a column), order the rows of one. Frames are
+    counted from 0. Rows that came too late are told as kind late, with their number as frame. A row with ended closes what is open and
+    forgets the session. Needs the RocksDB state store.
     """
     if neg > threshold:
         raise ValueError("neg must not be above threshold")
-    own = frames if "tie" in frames.columns else frames.withColumn("tie", F.lit(0))
-    return own.groupBy("session_id").transformWithStateInPandas(Hysteresis(threshold, neg, n_open, n_close, pad), StructType.fromDDL(EVENTS), "Append", "None")
+    return in_order(frames, Hysteresis(threshold, neg, n_open, n_close, pad), EVENTS, ts, late)
 
 
 class VoiceMatcher(StatefulProcessor):
