@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 from parley.config import DEFAULTS
 from parley.functions.text import norm_exact, norm_spaced
 
-#: Word lists are broadcast up to this many lines; beyond it the join is left to the optimizer.
-LIST_ROWS = 50_000
+#: Word lists are broadcast up to this many bytes of normal forms; beyond it the join is left to the optimizer.
+LIST_BYTES = 16 << 20
 
 
 def listed(df: DataFrame, exact: DataFrame, patterns: list[str], keep: DataFrame, text: str = "text") -> DataFrame:
     """Adds invented: the whole line is on the exact list or matches a pattern, and is not on the keep list.
 
-    exact, keep: line. Lines are compared without punctuation and case; patterns match the whole spaced form.
+    exact, keep: line. Lines are compared without punctuation and case; patterns match the whole spaced form. Both lists are one table of
+    normal forms, joined by hash and form; lines without a letter have a hash of their own each, as they are on no list.
     """
-    def marked(lines: DataFrame, name: str) -> DataFrame:
-        own = lines.select(norm_exact(F.col("line")).alias("_n")).where("_n <> ''").distinct().withColumn(name, F.lit(True))
-        return F.broadcast(own) if own.limit(LIST_ROWS + 1).count() <= LIST_ROWS else own
-
-    out = df.withColumn("_n", norm_exact(F.col(text))).join(marked(exact, "_x"), "_n", "left").join(marked(keep, "_k"), "_n", "left")
+    marked = lambda lines, mark: lines.select(norm_exact(F.col("line")).alias("_n"), F.lit(mark).alias("_m"))
+    both = marked(exact, False).unionByName(marked(keep, True)).where("_n <> ''").groupBy(F.xxhash64("_n").alias("_h"), "_n").agg(F.bool_or(~F.col("_m")).alias("_x"), F.bool_or("_m").alias("_k"))
+    size = both.agg(F.sum(F.octet_length("_n") + 16)).first()[0] or 0
+    own = df.withColumn("_n", norm_exact(F.col(text)))
+    own = own.withColumn("_h", F.when(F.col("_n") != "", F.xxhash64("_n")).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    out = own.join(F.broadcast(both) if size <= LIST_BYTES else both, ["_h", "_n"], "left")
     hit = F.coalesce("_x", F.lit(False))
     if patterns:
         hit = hit | F.coalesce(norm_spaced(F.col(text)).rlike("^(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\z"), F.lit(False))
-    return out.withColumn("invented", hit & ~F.coalesce("_k", F.lit(False))).drop("_n", "_x", "_k")
+    return out.withColumn("invented", hit & ~F.coalesce("_k", F.lit(False))).drop("_n", "_h", "_x", "_k")
 
 
 def refuse_reason(text: Column, no_speech: Column, logprob: Column, ratio: Column, duration_ms: Column, invented: Column) -> Column:

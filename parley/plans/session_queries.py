@@ -123,8 +123,7 @@ lp AS (SELECT * FROM (SELECT *, last_value(CASE WHEN NOT is_final THEN transcrip
 
 
 def far_from_partial(spark, d):
-    plain = texts(spark, d).withColumn("transcript", F.regexp_replace("transcript", r"[^\x00-\x7F]", "?"))
-    return dr.far_from_partial(plain).select("session_id", "seq", "rewritten")
+    return dr.far_from_partial(texts(spark, d)).select("session_id", "seq", "rewritten")
 
 
 def update_survival(spark, d):
@@ -136,8 +135,8 @@ def lost_turns(spark, d):
 
 
 def near_blocks(spark, d):
-    """Lines of all documents against those of toxic ones of low quality; other characters than ASCII count as one, as SQL counts bytes."""
-    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
+    """Lines of all documents against those of toxic ones of low quality."""
+    docs = table(spark, d, "documents")
     toxic = docs.join(table(spark, d, "labels").where("toxic = 1 and quality = 0").select("doc_id"), "doc_id", "left_semi")
     lines = toxic.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     finals = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("transcript"))
@@ -261,6 +260,9 @@ QUERIES = {
     "confirm_language": confirm_language, "hop_windows": hops,
 }
 
+#: SQL counts edits of bytes: every letter of the tables that is not ASCII gets a control character of its own, so that bytes are characters.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "translate({0}, '" + _LETTERS + "', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(_LETTERS)]) + ")"
 _CHECK = "SELECT session_id, unnest(['{0}']) AS name, unnest([{1}]) AS failures FROM {2}"
 SQL = {
     "stage_cost": f"""WITH {TIMINGS}, e AS (SELECT session_id, stage, sum(seconds) AS seconds, sum(audio_seconds) AS a FROM tm GROUP BY 1, 2)
@@ -310,7 +312,7 @@ SELECT session_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c i
 FROM f FULL JOIN a USING (session_id) FULL JOIN u USING (session_id) FULL JOIN ch USING (session_id) FULL JOIN sg USING (session_id) FULL JOIN ti USING (session_id)
 FULL JOIN (SELECT session_id, count(*) AS language_flips FROM (@flips) GROUP BY 1) fp USING (session_id)
 FULL JOIN (SELECT session_id, count(*) FILTER (failed AND NOT skipped) AS stage_failures, count(*) FILTER (notice) AS stages_disabled FROM (@runs) GROUP BY 1) rn USING (session_id)""",
-    "far_from_partial": f"WITH {TEXTS}, r AS (SELECT session_id, seq, levenshtein(regexp_replace(partial, '[^\x00-\x7F]', '?', 'g'), regexp_replace(transcript, '[^\x00-\x7F]', '?', 'g')) / greatest(length(partial), length(transcript), 1) AS rewritten FROM lp WHERE partial IS NOT NULL) SELECT * FROM r WHERE rewritten > 0.6",
+    "far_from_partial": f"WITH {TEXTS}, r AS (SELECT session_id, seq, levenshtein({_BYTES.format("partial")}, {_BYTES.format("transcript")}) / greatest(length(partial), length(transcript), 1) AS rewritten FROM lp WHERE partial IS NOT NULL) SELECT * FROM r WHERE rewritten > 0.6",
     "update_survival": f"""WITH {TEXTS}, b AS (SELECT *, lag(transcript) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM tx),
 n AS (SELECT session_id, length(b) AS l, coalesce(list_position(list_transform(range(1, least(length(b), length(transcript)) + 1), lambda i: b[i] = transcript[i]), false) - 1, least(length(b), length(transcript))) AS k FROM b WHERE length(b) > 0)
 SELECT session_id, count(*) AS updates, avg(k / l) AS survival FROM n GROUP BY 1""",
@@ -325,10 +327,10 @@ SELECT session_id, sentence_id, run, label FROM l WHERE l = label AND p = run -
     "hop_windows": f"WITH {FRAMES} SELECT session_id, w AS window_idx, count(*) AS n, avg(power) AS level FROM (SELECT *, unnest(range(greatest(CAST(floor((frame_idx - 10) / 4.0) AS BIGINT) + 1, 0), frame_idx // 4 + 1)) AS w FROM frames) GROUP BY 1, 2",
 }
 _EXACT = "lower(regexp_replace({0}, '[" + (BLANKS + MARKS).replace("'", "''").replace("{", "{{").replace("}", "}}") + "]', '', 'g'))"
-SQL["near_block_list"] = f"""WITH plain AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), chr(10))) AS line FROM documents),
+SQL["near_block_list"] = f"""WITH plain AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 b AS (SELECT DISTINCT line, {_EXACT.format('line')} AS l FROM plain JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 0), f AS (SELECT doc_id, {_EXACT.format('line')} AS t FROM plain),
 p AS (SELECT DISTINCT t, l FROM (SELECT DISTINCT t FROM f WHERE t <> '') JOIN (SELECT DISTINCT l FROM b WHERE l <> '') ON length(l) BETWEEN 0.75 * length(t) AND length(t) / 0.75),
-m AS (SELECT t, l, levenshtein(t, l) / greatest(length(t), length(l), 1) AS distance FROM p)
+m AS (SELECT t, l, levenshtein({_BYTES.format("t")}, {_BYTES.format("l")}) / greatest(length(t), length(l), 1) AS distance FROM p)
 SELECT DISTINCT doc_id, md5(line) AS line_md5, distance FROM m JOIN f USING (t) JOIN b USING (l) WHERE distance > 0 AND distance <= 0.25"""
 SQL["agreed_prefix"] = f"""WITH {TEXTS}, w AS (SELECT session_id, seq, string_split(trim(regexp_replace(transcript, '\\s+', ' ', 'g')), ' ') AS w FROM tx), b AS (SELECT *, lag(w) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM w),
 n AS (SELECT session_id, seq, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, greatest(len(w), len(b)) + 1), lambda i: coalesce(w[i] = b[i], false)), false) - 1, len(w)) END AS n FROM b)

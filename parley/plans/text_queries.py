@@ -12,7 +12,7 @@ from parley.operators import guards as gd
 from parley.operators import quality as ql
 from parley.operators import transcript as tr
 from parley.plans import stream_queries as sq
-from parley.plans.bind import FRAMES, TURNS, frames, table, turns
+from parley.plans.bind import FRAMES, TURNS, frames, spread, table, turns
 from parley.sources import contract as ct
 from parley.sources import lists, sinks
 
@@ -21,7 +21,7 @@ LANG = {"user": "xx", "assistant": "yy"}
 
 def pieces(spark, d):
     """The lines of documents as decoded pieces of an utterance each; their figures come from the text itself."""
-    own = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    own = spread(table(spark, d, "documents")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     n = F.length("text")
     return own.select(
         F.col("source").alias("session_id"), F.col("doc_id").alias("utt_id"), (F.shiftleft("doc_id", 32) + F.col("i")).alias("piece_idx"), "text",

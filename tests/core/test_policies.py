@@ -169,6 +169,11 @@ def test_answers(spark):
     raw = {"Sure! Here is the translation: X": "X", "Translation: X": "X", "翻訳：X": "X", '"X"': "X", "「X」": "X", "Certainly: 「X」": "X", "Xin chào: hôm nay": "Xin chào: hôm nay", '"': '"', "<think>a</think>X": "X", "<think>a": "", "<THINK>a</THINK>X": "X", " <Think>a": "", "a <think> b": "a <think> b", "「“X”」": "X", "Sure X": "X", "got it, X": "X", "Here is what you asked: X": "X", "Here's the\nX": "Here's the\nX", "Sure! Okay. Dịch: 'X'": "X", "Surely X": "Surely X", "\u3000X\u3000": "X", "": "", None: ""}
     df = spark.createDataFrame([(k,) for k in raw], "a string")
     assert {r.a: r.c for r in df.select("a", tx.clean_answer(C("a")).alias("c")).collect()} == raw
+    # an announcement may have 40 characters before its colon, beside the article
+    told = {f"Here is {'a' * n}: X": "X" if n <= 39 else f"Here is {'a' * n}: X" for n in (38, 39, 40, 43, 44)}
+    told |= {f"here's the {'b' * n}： X": "X" if n <= 39 else f"here's the {'b' * n}： X" for n in (39, 40, 43, 44)} | {"Here is\nit: X": "Here is\nit: X", "Here is it\n: X": "X"}
+    df2 = spark.createDataFrame([(k,) for k in told], "a string")
+    assert {r.a: r.c for r in df2.select("a", tx.clean_answer(C("a")).alias("c")).collect()} == told
     ratios = {"15": None, "Task đó": 0.0, "プレー": 1.0, "コーヒー": 1.0, "人々": 0.5, "ｶﾅ": 0.0}
     got = {r.a: r.c for r in spark.createDataFrame([(k,) for k in ratios], "a string").select("a", tx.japanese_ratio(C("a")).alias("c")).collect()}
     assert got == ratios
