@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer scan tasks than there are cores is dealt to all of them before work on each row; a larger one stays as it is."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table of fewer scan tasks than there are cores is dealt to all of them (by the keys) before work on each row; a larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def wordlist(spark, d):
 def asked(spark, d):
     """User turns as sentences, the next turn as their answer."""
     by = W.partitionBy("session_id").orderBy("sentence_id")
-    t = turns(spark, d).withColumns({"raw": F.lead("transcript").over(by), "nxt": F.lead("speaker_id").over(by), "seq": F.col("sentence_id")})
+    t = spread(turns(spark, d), "session_id").withColumns({"raw": F.lead("transcript").over(by), "nxt": F.lead("speaker_id").over(by), "seq": F.col("sentence_id")})
     own = t.withColumns({"lang_code": F.when(F.col("sentence_id") % 5 == 4, "").otherwise(F.when(F.col("speaker_id") == "user", "ja").otherwise("vi")), "raw": F.when(F.col("sentence_id") % 4 == 3, F.concat("transcript", F.lit("!"))).when(F.col("sentence_id") % 7 == 2, F.concat(F.lit("Sure! Translation: \""), F.coalesce("raw", F.lit("")), F.lit("\""))).otherwise(F.col("raw"))})
     return own.withColumn("target", an.target_language(F.col("lang_code")))
 
