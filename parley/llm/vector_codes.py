@@ -15,7 +15,7 @@ from parley.llm.common import cut, join_hot, table
 from parley.llm.vector_blocks import BLOCK, blocks, grouped_sums, means, squared, total, unpack, usable
 
 #: Balls of at most so many points are leaves.
-LEAF = 48
+LEAF = 256
 #: An entry is dropped from a ball's candidates only if it is farther by more than these shares of the squared distances
 #: and of the distance between entries, which are above all rounding.
 MARGIN, SHIFT = 1e-9, 1e-6
