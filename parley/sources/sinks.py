@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,38 +37,76 @@ def write_by_meeting(df: DataFrame, path: str, started: str) -> None:
 def upsert_transcript(spark: SparkSession, path: str, keys: tuple = ("session_id", "sentence_id"), order: str = "seq", buckets: int = 64):
     """A foreachBatch function that keeps the row of the largest order per key in a table of hash buckets.
 
-    Only buckets that a batch touches are written again, each as a new version in a folder of the batch; replaying
-    a batch writes the same folder again, so it is safe to repeat. read_transcript reads the newest versions.
+    A batch writes only the buckets that it touches, each whole, under data/batch=N/bucket=K, and then a manifest that says for every
+    bucket which batch holds it now. Manifests take turns in two places, so the one before is there until the new one is complete, and a
+    batch that is repeated finds what it found and writes the same again. A batch reads one manifest and the buckets it touches, and a reader
+    one version of each bucket, however many batches there have been; expire_versions removes the others.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         touched = [r.bucket for r in own.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        old = _versions(spark, path, batch_id)
+        held = _manifest(spark, path, batch_id)
+        old = _buckets(spark, path, {k: b for k, b in held.items() if k in touched})
         if old is not None:
-            own = own.unionByName(_newest(old.where(F.col("bucket").isin(touched))).select(own.columns), allowMissingColumns=True)
-        best = own.groupBy("bucket", *keys).agg(F.max_by(F.struct(*(c for c in own.columns if c not in (*keys, "bucket"))), order).alias("r"))
-        best.select("bucket", *keys, "r.*").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+            own = own.unionByName(old, allowMissingColumns=True)
+        if touched:
+            best = own.groupBy("bucket", *keys).agg(F.max_by(F.struct(*(c for c in own.columns if c not in (*keys, "bucket"))), order).alias("r"))
+            best.select("bucket", *keys, "r.*").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch_id}")
+        held |= dict.fromkeys(touched, batch_id)
+        # one row for each bucket
+        rows = [(batch_id, k, b) for k, b in held.items()] or [(batch_id, None, None)]
+        spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch_id % 2}")
 
     return write
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    try:
-        df = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-    return df if before is None else df.where(F.col("batch") < before)
+_MANIFEST = "written long, bucket int, batch long"
+
+
+def _manifests(spark: SparkSession, path: str) -> list:
+    found = []
+    for turn in (0, 1):
+        try:
+            found += spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/{turn}").collect()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return found
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Which batch holds each bucket, by the newest manifest (of an earlier batch than before)."""
+    found = [r for r in _manifests(spark, path) if before is None or r.written < before]
+    last = max((r.written for r in found), default=None)
+    return {r.bucket: r.batch for r in found if r.written == last and r.bucket is not None}
 
 
-def _newest(df: DataFrame) -> DataFrame:
-    last = df.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return df.join(last, ["bucket", "batch"], "left_semi")
+def _buckets(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame | None:
+    if not held:
+        return None
+    return spark.read.option("basePath", f"{path}/data").option("mergeSchema", "true").parquet(*(f"{path}/data/batch={b}/bucket={k}" for k, b in sorted(held.items()))).drop("batch")
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame | None:
-    df = _versions(spark, path)
-    return None if df is None else _newest(df).drop("bucket", "batch")
+    """The table as the newest manifest has it; None before the first row."""
+    df = _buckets(spark, path, _manifest(spark, path))
+    return None if df is None else df.drop("bucket")
+
+
+def expire_versions(spark: SparkSession, path: str) -> list[str]:
+    """Removes the versions of buckets that neither manifest names, and returns their paths. The last batch can still be repeated.
+
+    Run it between batches, when no reader of an older manifest is at work.
+    """
+    found = _manifests(spark, path)
+    named, last = {(r.batch, r.bucket) for r in found}, max((r.written for r in found), default=-1)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for batch in fs.listStatus(at) if fs.exists(at) else []:
+        number = int(batch.getPath().getName().split("=")[1])
+        for one in fs.listStatus(batch.getPath()) if number <= last else []:
+            name = one.getPath().getName()
+            if name.startswith("bucket=") and (number, int(name.split("=")[1])) not in named and fs.delete(one.getPath(), True):
+                gone.append(f"{path}/data/batch={number}/{name}")
+    return gone

@@ -22,21 +22,40 @@ def _text(x):
 
 
 class TranscriptFold(StatefulProcessor):
-    """The state of one session: a map of its sentences, read and written by the ones that a batch names."""
+    """The state of one session: a map of its newest sentences, read and written by the ones that a batch names, and their ids in order of
+    appearance."""
+
+    def __init__(self, keep: int, ttl_ms: int | None):
+        self.keep, self.ttl_ms = keep, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("sentences", "sentence_id long", _ROW)
+        self.known = handle.getMapState("sentences", "sentence_id long", _ROW, self.ttl_ms)
+        self.line = handle.getListState("line", "sentence_id long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        now, changed = {}, {}
+        # what the batch has read or changed; None stands for an id that is not known, or no more
+        now, changed, gone = {}, {}, set()
+        line, ended = [s for (s,) in self.line.get()] if self.line.exists() else [], False
+        before = list(line)
 
         def row(sid):
             if sid not in now:
-                now[sid] = list(self.known.getValue((sid,))) if self.known.containsKey((sid,)) else None
+                now[sid] = list(self.known.getValue((sid,))) if not ended and self.known.containsKey((sid,)) else None
             return now[sid]
 
+        def told(sid, version):
+            r = now[sid]
+            # as in the batch form: a relabelling from or to a null speaker is none
+            moved = r[2] is not None and r[3] is not None and r[2] != r[3]
+            return (key[0], sid, version, r[0], *r[3:], moved)
+
+        out = []
         for m in part.itertuples():
+            if m.kind == "bye":
+                out += [told(sid, version) for sid, version in changed.items()]
+                now, changed, gone, line, ended = {}, {}, set(), [], True
+                continue
             if m.kind == "speakers":
                 for sid, label in dict(m.labels or {}).items():
                     if sid.isascii() and sid.isdigit() and row(int(sid)) is not None:
@@ -50,18 +69,31 @@ class TranscriptFold(StatefulProcessor):
             if m.kind == "final":
                 rest = old[6:] if old else [None, None, None, False]
                 now[sid] = [m.seq, old[1] if old else m.seq, _text(m.speaker_id), _text(m.speaker_id), _text(m.lang_code), _text(m.transcript), *rest]
+                if old is None:
+                    line.append(sid)
             elif old is not None:
                 old[6:] = [_text(m.translation), _text(m.reason), _text(m.raw), True]
             else:
                 continue
             changed[sid] = m.seq
-        out = []
+            gone.discard(sid)
+            for old_id in line[: -self.keep]:
+                if old_id in changed:
+                    out.append(told(old_id, changed.pop(old_id)))
+                now[old_id] = None
+                gone.add(old_id)
+            line = line[-self.keep :]
+        if ended:
+            self.known.clear()
+            self.line.clear()
         for sid, version in changed.items():
-            r = now[sid]
-            self.known.updateValue((sid,), tuple(r))
-            # as in the batch form: a relabelling from or to a null speaker is none
-            moved = r[2] is not None and r[3] is not None and r[2] != r[3]
-            out.append((key[0], sid, version, r[0], *r[3:], moved))
+            self.known.updateValue((sid,), tuple(now[sid]))
+            out.append(told(sid, version))
+        for sid in gone if not ended else ():
+            if self.known.containsKey((sid,)):
+                self.known.removeKey((sid,))
+        if line and (ended or line != before):
+            self.line.put([(s,) for s in line])
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
@@ -69,16 +101,22 @@ class TranscriptFold(StatefulProcessor):
         pass
 
 
-def fold_stream(messages: DataFrame) -> DataFrame:
+def fold_stream(messages: DataFrame, keep: int = DEFAULTS.rows_kept, ttl_ms: int | None = None) -> DataFrame:
     """fold_messages for a stream of messages: every batch gives the new state of each sentence that it changed.
 
     version is the seq of the last message behind a row, so a sink that keeps the row of the largest version per
     (session_id, sentence_id), as sinks.upsert_transcript does, holds the transcript; rows with relabelled are the
     corrections of speakers. Batches of a session arrive in order, and seq orders the rows of one. Messages for
-    unknown sentences, of null ids and of other kinds change nothing. Needs the RocksDB state store.
+    unknown sentences, of null ids and of other kinds change nothing. The state of a session is bounded: the keep sentences that appeared last
+    are known, an older one is told a last time if the batch changed it, and what comes for it later is for an unknown one; so the newest keep
+    rows of the sink are those of the batch form. A bye ends the session and clears its state, and so does ttl_ms of processing time without
+    a change to a sentence, for that sentence (None: never). Needs the RocksDB state store.
     """
+    if keep < 1:
+        raise ValueError("keep must be 1 or more")
     own = messages.select("session_id", "seq", "kind", "sentence_id", "speaker_id", "lang_code", "transcript", "translation", "reason", "raw", "labels")
-    return own.groupBy("session_id").transformWithStateInPandas(TranscriptFold(), StructType.fromDDL(CHANGES), "Append", "None")
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return own.groupBy("session_id").transformWithStateInPandas(TranscriptFold(keep, ttl_ms), StructType.fromDDL(CHANGES), "Append", mode)
 
 
 class Backlog(StatefulProcessor):
