@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parley.plans import live_queries, score_queries, session_queries, stream_queries, text_queries
+from parley.plans import live_queries, model_queries, score_queries, session_queries, stream_queries, text_queries
 
-PARTS = [stream_queries, score_queries, text_queries, session_queries, live_queries]
+PARTS = [stream_queries, score_queries, text_queries, session_queries, live_queries, model_queries]
 
 
 def queries() -> dict:
