@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,52 +56,52 @@ def language_flips(df: DataFrame, key: str = "session_id", order: str = "seq", l
     return said.where(F.col(final) & (F.col(lang) != "") & (F.col("predicted") != "") & (F.col("predicted") != F.col(lang))).select(key, order, "predicted", lang)
 
 
-def _boundary(langs: list, probe: int, steps: int) -> tuple:
-    """(index, before, after, probes, outcome) of the windows of one utterance, one language each, '' undecided."""
-    n = len(langs)
-    if n < 2 * probe:
-        return None, "", "", 0, "too_short"
-    before, after = langs[0], langs[-1]
-    if not before or not after:
-        return None, "", "", 2, "undecided"
-    if before == after:
-        return None, before, after, 2, "one_language"
-    low, high, used = probe, n - probe, 2
-    for _ in range(steps):
-        if high - low <= 1:
-            break
-        mid, used = (low + high) // 2, used + 1
-        if langs[mid] == before:
-            low = mid
-        else:
-            high = mid
-    return high, before, after, used, "split"
-
-
 def language_boundary(windows: DataFrame, keys: list[str], order: str = "window_idx", lang: str = "lang", probe: int = 1, steps: int = DEFAULTS.probe_steps) -> DataFrame:
     """(keys, at_window, before, after, probes, outcome): where an utterance of two languages changes.
 
-    Both ends are probed; different sure languages start a binary search of so many steps. Utterances are
-    independent and short: each is one group.
+    Both ends are probed; different sure languages start a search of so many steps that halves the stretch where the change
+    lies, between a probe from the start and a probe from the end. An utterance is short: its languages are one array, '' undecided,
+    and the search an expression on it.
     """
-    kinds = dict(windows.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "at_window long, before string, after string, probes int, outcome string"])
+    told = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(lang, F.lit("")).alias("l")))), lambda x: x.l)
+    own = windows.groupBy(*keys).agg(told.alias("_w")).withColumns({"_n": F.size("_w"), "_a": F.col("_w")[0], "_b": F.element_at("_w", -1)})
+    outcome = F.when(F.col("_n") < 2 * probe, "too_short").when((F.col("_a") == "") | (F.col("_b") == ""), "undecided").when(F.col("_a") == F.col("_b"), "one_language").otherwise("split")
+    stretch = lambda a, b, asked: F.struct(a.alias("a"), b.alias("b"), asked.alias("asked"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s.a + s.b) / 2).cast("int")
+        same = F.get("_w", mid) == F.col("_a")
+        return F.when(s.b - s.a > 1, stretch(F.when(same, mid).otherwise(s.a), F.when(same, s.b).otherwise(mid), s.asked + 1)).otherwise(s)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), stretch(F.lit(probe), F.col("_n") - probe, F.lit(2)), halve)
+    own = own.withColumn("outcome", outcome).withColumn("_f", F.when(F.col("outcome") == "split", found))
+    # an utterance too short is not probed, and one without both languages names none
+    named = lambda c: F.when(F.col("outcome").isin("split", "one_language"), F.col(c)).otherwise("")
+    probes = F.when(F.col("outcome") == "too_short", 0).otherwise(F.coalesce("_f.asked", F.lit(2)))
+    return own.select(*keys, F.col("_f.b").cast("long").alias("at_window"), named("_a").alias("before"), named("_b").alias("after"), probes.alias("probes"), "outcome")
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        got = _boundary(rows[lang].fillna("").tolist(), probe, steps)
-        out = rows[keys].head(1).copy()
-        for name, value in zip(["at_window", "before", "after", "probes", "outcome"], got, strict=True):
-            out[name] = pd.array([value], dtype="Int64") if name == "at_window" else [value]
-        return out
 
-    return windows.select(*keys, order, lang).groupBy(*keys).applyInPandas(find, schema)
+def snap_to_quiet(boundaries: DataFrame, frames: DataFrame, keys: list[str], session: str = "session_id", frame_ms: float = DEFAULTS.frame_ms, search: int = 15) -> DataFrame:
+    """Adds cut_ms: where a cut at at_ms falls between words, after the quietest of the last search whole frames before it.
+
+    boundaries: keys, session, start_ms (of the utterance), at_ms; frames: session, frame_idx, power. Ties go to the earliest frame; frames
+    before the utterance do not count; without any frame cut_ms is at_ms. Each boundary lists its few frames, so the join is an equality.
+    """
+    last, first = F.floor(F.col("at_ms") / frame_ms), F.ceil(F.col("start_ms") / frame_ms)
+    low = F.greatest(last - search, first)
+    listed = boundaries.where(low < last).select(*dict.fromkeys([*keys, session]), F.explode(F.sequence(low, last - 1)).alias("frame_idx"))
+    met = listed.join(frames.select(session, "frame_idx", "power"), [session, "frame_idx"])
+    quiet = met.groupBy(*keys).agg(F.min(F.struct("power", "frame_idx")).alias("_q")).select(*keys, ((F.col("_q.frame_idx") + 1) * F.lit(float(frame_ms))).alias("_c"))
+    return boundaries.join(quiet, keys, "left").withColumn("cut_ms", F.coalesce("_c", "at_ms")).drop("_c")
 
 
 def split_by_language(utterances: DataFrame, boundaries: DataFrame, keys: list[str], window_ms: float, least_ms: float = DEFAULTS.probe_ms) -> DataFrame:
-    """One or two rows per utterance, of one index: cut at the boundary unless a part would be shorter than least_ms."""
-    own = utterances.join(boundaries.select(*keys, "at_window", "before", "after"), keys, "left")
-    at = F.col("start_ms") + F.col("at_window") * F.lit(float(window_ms))
+    """One or two rows per utterance, of one index: cut at the boundary unless a part would be shorter than least_ms.
+
+    The cut is at cut_ms, if the boundaries have been snapped to the quiet, else at the boundary's window.
+    """
+    own = utterances.join(boundaries.select(*keys, "before", "after", "cut_ms" if "cut_ms" in boundaries.columns else "at_window"), keys, "left")
+    at = F.col("cut_ms") if "cut_ms" in own.columns else F.col("start_ms") + F.col("at_window") * F.lit(float(window_ms))
     ok = F.coalesce((at - F.col("start_ms") >= least_ms) & (F.col("end_ms") - at >= least_ms), F.lit(False))
     part = lambda n, a, b, lang, cont: F.struct(F.lit(n).alias("part"), a.alias("start_ms"), b.alias("end_ms"), lang.alias("lang_code"), cont.alias("continues_previous"))
     two = F.array(part(0, F.col("start_ms"), at, F.col("before"), F.col("continues_previous")), part(1, at, F.col("end_ms"), F.col("after"), F.lit(False)))

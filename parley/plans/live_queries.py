@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.operators import language as lg
 from parley.operators import utterances as ut
 from parley.plans import score_queries as sc
 from parley.plans import stream_queries as sq
@@ -99,7 +100,22 @@ def recluster_stream(spark, d):
     return ss.drain(live_voices.recluster_stream(stream), folder)
 
 
-QUERIES = {"recluster_stream": recluster_stream, "utterance_stream": utterance_stream, "running_text_stream": running_text_stream, "running_text": running_text, "frame_stream": frame_stream, "segment_stream": segment_stream}
+def snap_to_quiet(spark, d):
+    """The middles of all utterances as cuts between two languages, snapped back to the quiet."""
+    u = sq.plain_utterances(spark, d).select("session_id", "idx", "start_ms", ((F.col("start_ms") + F.col("end_ms")) / 2).alias("at_ms"))
+    return lg.snap_to_quiet(u, frames(spark, d), ["session_id", "idx"], search=3)
+
+
+def quiet_sessions(spark, d):
+    """Stretches of events of a user without a pause of a day, from the feed."""
+    folder = _folder(spark)
+    stream, late = feed(spark, _event_rows(spark, d), folder)
+    rows = stream.where(~F.col("ended") | F.col("session_id").isNull())
+    out = ss.drain(ss.quiet_sessions(rows, "86400 seconds", late), folder)
+    return out.where("session_id is not null").select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+QUERIES = {"snap_to_quiet": snap_to_quiet, "quiet_sessions": quiet_sessions, "recluster_stream": recluster_stream, "utterance_stream": utterance_stream, "running_text_stream": running_text_stream, "running_text": running_text, "frame_stream": frame_stream, "segment_stream": segment_stream}
 
 #: Utterances with the length limit: where a stretch that begins at a frame is cut, then from cut to cut.
 SPLIT = f"""WITH RECURSIVE {SEGMENTS},
@@ -115,6 +131,12 @@ _RUNNING = f"""{SPLIT} SELECT session_id, idx, CAST(tick AS INTEGER) AS tick, st
 FROM (SELECT *, unnest(range(1, CAST(floor(CASE WHEN reason = 'max_duration' THEN 7 * 32.0 ELSE end_ms - start_ms END / 64) AS BIGINT) + 1)) AS tick FROM split)"""
 
 SQL = {
+    "snap_to_quiet": f"""WITH {sq._UTT}, c AS (SELECT session_id, idx, start_ms, (start_ms + end_ms) / 2 AS at_ms FROM utt),
+q AS (SELECT c.session_id, idx, arg_min(frame_idx, (power, frame_idx)) + 1 AS f FROM c JOIN frames f ON f.session_id = c.session_id AND frame_idx >= greatest(floor(at_ms / 32) - 3, ceil(start_ms / 32)) AND frame_idx < floor(at_ms / 32) GROUP BY 1, 2)
+SELECT session_id, idx, start_ms, at_ms, coalesce(f * 32.0::DOUBLE, at_ms) AS cut_ms FROM c LEFT JOIN q USING (session_id, idx)""",
+    "quiet_sessions": """WITH e AS (SELECT user_id AS session_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 86400000000, true) AS fresh FROM events),
+g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY session_id ORDER BY t) AS g FROM e)
+SELECT session_id, min(t) AS start_us, max(t) + 86400000000 AS end_us, count(*) AS n FROM g GROUP BY session_id, g""",
     "utterances_split": f"{SPLIT} SELECT * FROM split",
     "utterance_stream": f"{SPLIT} SELECT * FROM split",
     "running_text": _RUNNING,

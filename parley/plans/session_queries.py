@@ -144,7 +144,7 @@ def near_blocks(spark, d):
 
 
 def mixed_language(spark, d):
-    jp = F.when(F.col("sentence_id") % 3 == 0, F.concat(F.lit("プレーする人"), F.left("transcript", F.lit(9)))).otherwise(F.col("transcript"))
+    jp = F.when(F.col("sentence_id") % 3 == 0, F.concat(F.expr("repeat('プ', cast(length(transcript) div 4 as int))"), F.col("transcript"))).otherwise(F.col("transcript"))
     return dr.mixed_language(turns(spark, d).withColumn("transcript", jp)).select("session_id", "sentence_id", "ratio")
 
 
@@ -178,7 +178,9 @@ def agreed(spark, d):
 
 def joined(spark, d):
     t = turns(spark, d)
-    a, b = F.expr("left(transcript, 40)"), F.expr("substring(transcript, 1 + length(substring_index(left(transcript, 40), ' ', 3)))")
+    # the next piece begins with the last three words of this one
+    words = F.split(F.trim("transcript"), r"\s+")
+    a, b = F.col("transcript"), F.concat_ws(" ", F.slice(words, -F.least(F.size(words), F.lit(3)), 3), F.lit("and"), F.col("transcript"))
     return t.select("session_id", "sentence_id", F.md5(dr.join_without_repeats(a, b)).alias("joined_md5"))
 
 
@@ -318,8 +320,8 @@ n AS (SELECT session_id, length(b) AS l, coalesce(list_position(list_transform(r
 SELECT session_id, count(*) AS updates, avg(k / l) AS survival FROM n GROUP BY 1""",
     "lost_turns": f"""WITH {TEXTS}, p AS (SELECT *, lag(lang_code) OVER (PARTITION BY session_id ORDER BY seq) AS p FROM tx), r AS (SELECT *, sum(CASE WHEN p = lang_code THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY seq) AS run FROM p)
 SELECT session_id, CAST(run AS BIGINT) AS run, any_value(lang_code) AS lang, count(*) FILTER (NOT is_final) AS partials FROM r GROUP BY 1, 2 HAVING count(*) FILTER (is_final) = 0 AND count(*) FILTER (NOT is_final) > 0 AND run > 1""",
-    "mixed_language": f"""WITH {TURNS}, j AS (SELECT session_id, sentence_id, CASE WHEN sentence_id % 3 = 0 THEN 'プレーする人' || left(transcript, 9) ELSE transcript END AS s FROM turns),
-r AS (SELECT session_id, sentence_id, CASE WHEN sentence_id % 3 = 0 THEN 6 / length(regexp_replace(s, '\\P{{L}}', '', 'g')) ELSE 0 END AS ratio FROM j) SELECT * FROM r WHERE ratio > 0.1 AND ratio < 0.9""",
+    "mixed_language": f"""WITH {TURNS}, j AS (SELECT session_id, sentence_id, CASE WHEN sentence_id % 3 = 0 THEN length(transcript) // 4 ELSE 0 END AS k, length(regexp_replace(transcript, '\\P{{L}}', '', 'g')) AS n FROM turns),
+r AS (SELECT session_id, sentence_id, CASE WHEN k + n > 0 THEN k / (k + n) END AS ratio FROM j) SELECT * FROM r WHERE ratio > 0.1 AND ratio < 0.9""",
     "text_artifacts": """WITH w AS (SELECT doc_id, text, [x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> ''] AS w FROM documents)
 SELECT doc_id, regexp_matches(text, '(?:^|\\s)(?:\\p{L}\\s+){3,}\\p{L}(?:\\s|$)') AS letters_apart, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS INTEGER) AS repeats FROM w""",
     "confirmed_corrections": f"""WITH {FRAMES}, r AS (SELECT session_id, frame_idx % 7 AS sentence_id, frame_idx // 7 AS run, label FROM frames), l AS (SELECT *, lag(label) OVER w AS l, lag(run) OVER w AS p FROM r WINDOW w AS (PARTITION BY session_id, sentence_id ORDER BY run))
@@ -341,7 +343,7 @@ SQL["confirm_language"] = f"""WITH {LANG_SCORES}, l AS (SELECT session_id, seq,
 t AS (SELECT *, CASE WHEN l = lag(l) OVER (PARTITION BY session_id ORDER BY seq) THEN l END AS t FROM l)
 SELECT session_id, seq, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), '') AS confirmed FROM t"""
 
-_PARTS = "left(transcript, 40) AS a, substr(transcript, 1 + length(array_to_string(string_split(left(transcript, 40), ' ')[1:3], ' '))) AS b"
+_PARTS = "transcript AS a, array_to_string(regexp_split_to_array(trim(transcript), '\\s+')[-3:], ' ') || ' and ' || transcript AS b"
 SQL["join_without_repeats"] = f"""WITH {TURNS}, p AS (SELECT session_id, sentence_id, {_PARTS} FROM turns),
 w AS (SELECT session_id, sentence_id, regexp_split_to_array(trim(a), '\\s+') AS x, regexp_split_to_array(trim(b), '\\s+') AS y FROM p),
 n AS (SELECT *, coalesce(list_max([k FOR k IN range(1, 6) IF len(x) >= k AND len(y) >= k AND x[len(x) - k + 1:] = y[:k]]), 0) AS n FROM w)

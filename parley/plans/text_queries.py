@@ -197,7 +197,7 @@ def message_log(spark, d):
     t = judged(spark, d).select("session_id", "sentence_id", "speaker_id", "lang_code", "transcript", "translation", "reason", "raw")
     none = {"labels": F.lit(None).cast("map<string,string>")}
     f = t.select("session_id", (F.col("sentence_id") * 10).alias("seq"), F.lit("final").alias("kind"), "sentence_id", "speaker_id", "lang_code", "transcript").withColumns(none)
-    p = t.select("session_id", (F.col("sentence_id") * 10 - 3).alias("seq"), F.lit("partial").alias("kind"), F.left("transcript", F.lit(30)).alias("transcript"))
+    p = t.select("session_id", (F.col("sentence_id") * 10 - 3).alias("seq"), F.lit("partial").alias("kind"), "transcript")
     a = t.where("sentence_id % 6 <> 5").select("session_id", (F.col("sentence_id") * 10 + 14).alias("seq"), F.lit("translation").alias("kind"), (F.col("sentence_id") + F.when(F.col("sentence_id") == 4, 100).otherwise(0)).alias("sentence_id"), F.when(F.col("sentence_id") % 7 == 3, "").otherwise(F.col("translation")).alias("translation"), F.when(F.col("sentence_id") % 7 == 3, "too late (9 s)").otherwise(F.col("reason")).alias("reason"), "raw")
     s = t.where("sentence_id % 3 = 2").select("session_id", (F.col("sentence_id") * 10 + 5).alias("seq"), F.lit("speakers").alias("kind"), F.create_map((F.col("sentence_id") - 1).cast("string"), F.lit("Speaker_09"), F.lit("999"), F.lit("Speaker_10")).alias("labels"))
     return f.unionByName(p, True).unionByName(a, True).unionByName(s, True)
@@ -338,7 +338,7 @@ SELECT session_id, sentence_id, waiting, CASE WHEN waiting AND n > 16 THEN 'evic
     "answer_status": f"WITH {ASKED} SELECT session_id, sentence_id, CASE WHEN sentence_id % 3 = 1 THEN 'never answered' WHEN reason = '' THEN 'translated' ELSE 'refused' END AS status, CASE WHEN sentence_id % 3 <> 1 THEN 3.0::DOUBLE END AS lag_s FROM ans",
     "fold_messages": f"WITH {FOLDED} SELECT session_id, sentence_id, speaker_id, relabelled, answered, reason, md5(translation) AS translation_md5 FROM fl",
     "keep_latest": f"WITH {TURNS} SELECT session_id, sentence_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id DESC) AS n FROM turns) WHERE n <= 3",
-    "current_partial": f"""WITH {TURNS}, m AS (SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, transcript FROM turns WHERE NOT (session_id % 2 = 0 AND sentence_id > 2) UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', left(transcript, 30) FROM turns)
+    "current_partial": f"""WITH {TURNS}, m AS (SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, transcript FROM turns WHERE NOT (session_id % 2 = 0 AND sentence_id > 2) UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', transcript FROM turns)
 SELECT session_id, CASE WHEN arg_max(kind, seq) = 'partial' THEN arg_max(transcript, seq) ELSE '' END AS running FROM m GROUP BY 1""",
     "transcript_counts": f"""WITH {FOLDED} SELECT session_id, count(*) AS sentences, count(*) FILTER (translation <> '') AS translated, count(*) FILTER (NOT answered) AS waiting, count(*) FILTER (answered AND translation = '') AS refused, count(*) FILTER (answered AND translation = '' AND starts_with(reason, 'too late')) AS dropped, count(transcript) AS partials, count(*) FILTER (relabelled) AS relabelled_n FROM fl GROUP BY 1""",
     "speakers_in_order": f"WITH {FOLDED}, s AS (SELECT session_id, speaker_id, min(seq) AS q FROM fl GROUP BY 1, 2) SELECT session_id, string_agg(speaker_id, ',' ORDER BY q) AS speakers FROM s GROUP BY 1",
@@ -352,7 +352,7 @@ CASE WHEN event_id % 2 = 0 THEN 'sample_rate: 8000, expected 16000' ELSE '' END
     "to_messages": f"WITH {FRAMES} SELECT session_id, frame_idx, frame_idx * 32.0::DOUBLE + 0.5 AS at_ms, 'vad' AS type FROM frames",
     "messages_round_trip": f"""WITH {ASKED} SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, sentence_id, md5(transcript) AS text_md5 FROM ans
 UNION ALL SELECT session_id, sentence_id * 10 + 14, 'translation', sentence_id + CASE sentence_id WHEN 4 THEN 100 ELSE 0 END, md5(CASE WHEN reason = '' AND sentence_id % 7 <> 3 THEN t ELSE '' END) FROM ans WHERE sentence_id % 6 <> 5
-UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', NULL, md5(left(transcript, 30)) FROM ans""",
+UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', NULL, md5(transcript) FROM ans""",
     "protocol_violations": f"""WITH {FRAMES}, k AS (SELECT session_id, frame_idx AS seq, CASE label WHEN 'click' THEN 'hello' WHEN 'purchase' THEN 'bye' WHEN 'view' THEN 'audio' ELSE 'final' END AS kind FROM frames),
 b AS (SELECT *, coalesce(max(CASE WHEN kind = 'hello' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS h, coalesce(max(CASE WHEN kind = 'bye' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS c FROM k WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT session_id, seq, kind, CASE WHEN c THEN 'after close' WHEN kind = 'hello' AND h THEN 'second hello' WHEN kind = 'audio' AND NOT h THEN 'audio before hello' WHEN kind NOT IN ('audio', 'hello', 'bye') THEN 'not for a client to send' END AS violation FROM b) SELECT * FROM v WHERE violation IS NOT NULL""",

@@ -115,8 +115,27 @@ def test_language_cases(spark):
     assert [r.c for r in labels.collect()] == ["vi", "vi", "ja"]
     fills = spark.createDataFrame([(1, i, x, True) for i, x in enumerate(["", "vi", "", "ja", "", ""])], "session_id long, seq long, lang_code string, is_final boolean")
     assert [r.filled for r in lg.fill_language(fills).orderBy("seq").collect()] == ["", "vi", "vi", "ja", "ja", "ja"]
-    assert lg._boundary(["vi"] * 4 + ["ja"] * 4, 1, 3)[:3] == (4, "vi", "ja")
-    assert [lg._boundary(x, 1, 3)[4] for x in (["vi"] * 4, ["vi"], ["vi", "ja", ""], ["vi", "ja"])] == ["one_language", "too_short", "undecided", "split"]
+    told = [["vi"] * 4 + ["ja"] * 4, ["vi"] * 4, ["vi"], ["vi", "ja", None], ["vi", "ja"], ["vi"] * 30 + ["ja"] * 2, ["vi"] + ["ja"] * 30]
+    rows = [(u, i, x) for u, langs in enumerate(told) for i, x in enumerate(langs)]
+    found = lg.language_boundary(spark.createDataFrame(rows, "utt int, window_idx int, lang string").repartition(4), ["utt"])
+    assert [tuple(r)[1:] for r in found.orderBy("utt").collect()] == [
+        (4, "vi", "ja", 5, "split"), (None, "vi", "vi", 2, "one_language"), (None, "", "", 0, "too_short"), (None, "", "", 2, "undecided"), (1, "vi", "ja", 2, "split"),
+        (31, "vi", "ja", 5, "split"), (4, "vi", "ja", 5, "split"),
+    ]
+
+
+def test_language_cut_snaps_back_to_the_quiet(spark):
+    power = [5, 5, 1, 5, 2, 5, 2, 5, 5, 0, 5, 5]
+    frames = spark.createDataFrame([(1, i, float(p)) for i, p in enumerate(power)], "session_id int, frame_idx long, power double")
+    rows = [(0, 1, 0.0, 256.0), (1, 1, 96.0, 250.0), (2, 1, 0.0, 20.0), (3, 2, 0.0, 256.0), (4, 1, 0.0, 330.0)]
+    b = spark.createDataFrame(rows, "utt int, session_id int, start_ms double, at_ms double")
+    got = {r.utt: r.cut_ms for r in lg.snap_to_quiet(b, frames, ["utt"], search=5).collect()}
+    # frames 3 to 7: the earlier of two; 3 to 6 of the second utterance; no whole frame; another session; frames 5 to 9
+    assert got == {0: 160.0, 1: 160.0, 2: 20.0, 3: 256.0, 4: 320.0}
+    u = spark.createDataFrame([(0, 0.0, 400.0, False), (4, 0.0, 330.0, True)], "utt int, start_ms double, end_ms double, continues_previous boolean")
+    cut = lg.snap_to_quiet(b, frames, ["utt"], search=5).withColumns({"before": C("utt").cast("string"), "after": C("utt").cast("string")})
+    parts = [(r.utt, r.part, r.start_ms, r.end_ms) for r in lg.split_by_language(u, cut, ["utt"], 0.0, 96).orderBy("utt", "part").collect()]
+    assert parts == [(0, 0, 0.0, 160.0), (0, 1, 160.0, 400.0), (4, 0, 0.0, 330.0)]
 
 
 def test_voices(spark):
