@@ -49,8 +49,21 @@ def level_policy(levels: DataFrame, level_db: str = "level_db", peak_db: str = "
     return levels.withColumns({"shaped": on, "reason": reason, "gate_db": F.when(on, F.col(peak_db) + DEFAULTS.gate_db), "compressor_db": F.when(on, F.col(peak_db) + DEFAULTS.compressor_db)})
 
 
-def level_stats(policy: DataFrame, keys: list[str]) -> DataFrame:
-    return policy.groupBy(*keys).agg(F.count("*").alias("seen"), F.count(F.when(F.col("shaped"), 1)).alias("shaped_n"), F.count(F.when(F.col("reason").startswith("too quiet"), 1)).alias("too_quiet"), F.count(F.when(F.col("reason") == "empty audio", 1)).alias("empty"))
+def gated_levels(samples: DataFrame, policy: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """policy with after_db: the level of the samples that are at the gate or over it; what was not shaped keeps its level."""
+    own = samples.join(policy.select(*keys, "gate_db"), keys)
+    loud = own.groupBy(*keys).agg(F.sqrt(F.avg(F.when(dbfs(F.abs(F.col(value))) >= F.col("gate_db"), F.col(value) * F.col(value)))).alias("_r"))
+    return policy.join(loud, keys, "left").withColumn("after_db", F.when(F.col("shaped"), dbfs(F.coalesce("_r", F.lit(0.0)))).otherwise(F.col("level_db"))).drop("_r")
+
+
+def level_stats(policy: DataFrame, keys: list[str], level_db: str = "level_db", after_db: str | None = None) -> DataFrame:
+    """(keys, seen, shaped_n, too_quiet, empty): how many were shaped, and why the others were not. With after_db also by how much the level
+    of the shaped ones moved, on average (0 without any) and at the most in both directions."""
+    counts = [F.count("*").alias("seen"), F.count(F.when(F.col("shaped"), 1)).alias("shaped_n"), F.count(F.when(F.col("reason").startswith("too quiet"), 1)).alias("too_quiet"), F.count(F.when(F.col("reason") == "empty audio", 1)).alias("empty")]
+    if after_db:
+        gain = F.when(F.col("shaped"), F.col(after_db) - F.col(level_db))
+        counts += [F.coalesce(F.avg(gain), F.lit(0.0)).alias("mean_gain_db"), F.min(gain).alias("least_gain_db"), F.max(gain).alias("most_gain_db")]
+    return policy.groupBy(*keys).agg(*counts)
 
 
 def signal_health(samples: DataFrame, keys: list[str], window: int, pos: str = "pos", value: str = "value") -> DataFrame:

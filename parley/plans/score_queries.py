@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.operators import labels as lb
@@ -49,10 +50,20 @@ def signal_health(spark, d):
     return lv.signal_health(samples(spark, d), ["session_id"], 8)
 
 
+def level_gain(spark, d):
+    """Levels of four samples each, before and after the gate of the policy."""
+    own = samples(spark, d).withColumn("utt", F.floor(F.col("pos") / 4))
+    gated = lv.gated_levels(own, level_policy(spark, d), ["session_id", "utt"])
+    out = lv.level_stats(gated, ["session_id"], after_db="after_db")
+    return out.select("session_id", "shaped_n", *(F.round(c, 6).alias(c) for c in ("mean_gain_db", "least_gain_db", "most_gain_db")))
+
+
 def compare_levels(spark, d):
-    s = samples(spark, d).groupBy("session_id").agg(lv.dbfs(F.max(F.abs("value"))).alias("dominant_db"), lv.dbfs(F.avg(F.abs("value"))).alias("bleed_db"))
-    after = s.select("session_id", (F.col("dominant_db") - 1).alias("dominant_db"), (F.col("bleed_db") - F.col("session_id") % 9).alias("bleed_db"))
-    return lv.compare_levels(s, after, ["session_id"])
+    """The second half of each session's samples as another treatment of the first."""
+    own = samples(spark, d).withColumn("half", F.col("pos") * 2 >= F.count("*").over(W.partitionBy("session_id")))
+    s = own.groupBy("session_id", "half").agg(lv.dbfs(F.max(F.abs("value"))).alias("dominant_db"), lv.dbfs(F.avg(F.abs("value"))).alias("bleed_db"))
+    out = lv.compare_levels(s.where(~F.col("half")).drop("half"), s.where("half").drop("half"), ["session_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("kept_db", "removed_db")})
 
 
 LABELS = ["click", "view", "purchase"]
@@ -227,7 +238,9 @@ def deciles(spark, d):
 
 
 def separation(spark, d):
-    return vc.separation(pairs(spark, d), ["session_id"], F.col("a") % 3 == F.col("b") % 3)
+    own = vc.newest_voices(vc.usable_voice(voices(spark, d)).where("usable"))
+    out = vc.voice_separation(own)
+    return out.select("session_id", *(F.round(c, 6).alias(c) for c in out.columns if c != "session_id"))
 
 
 def label_purity(spark, d):
@@ -235,7 +248,18 @@ def label_purity(spark, d):
     return vc.label_purity(v, "session_id")
 
 
+def label_count(spark, d):
+    return vc.label_count(voices(spark, d), "session_id")
+
+
+def half_similarity(spark, d):
+    """Neighbouring embeddings as the halves of a sentence."""
+    h = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("sentence_id"), (F.col("vec_id") % 2).alias("half"), "embedding")
+    return vc.half_similarity(h, ["sentence_id"]).withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES = {
+    "label_count": label_count, "half_similarity": half_similarity, "level_gain": level_gain,
     "envelope": envelope, "peak_envelope": peak_envelope, "speaking_level": speaking_level, "session_levels": session_levels,
     "level_policy": level_policy, "level_stats": level_stats, "signal_health": signal_health, "compare_levels": compare_levels,
     "best_label": best_label, "top_labels": top_labels, "keep_verdict": verdicts, "verdict_stats": verdict_stats, "label_coverage": label_coverage,
@@ -273,9 +297,13 @@ run AS (
     FROM (SELECT u.*, known, [coalesce(list_cosine_similarity(c, u.e), 0) FOR c IN known] AS sims FROM run JOIN u ON u.session_id = run.session_id AND u.n = run.n + 1))),
 told AS (SELECT session_id, sentence_id, 'Speaker_' || lpad(CAST(who AS VARCHAR), 2, '0') AS label, similarity, is_new FROM run)"""
 
+_ASSIGNED = f"""{_RUN} SELECT session_id, sentence_id, label, round(similarity, 6) AS similarity, is_new,
+CASE WHEN is_new THEN 'no voice is near' WHEN similarity >= 0.3 THEN 'near a known voice' ELSE 'no room for another voice' END AS reason FROM told"""
+#: Of all voices, also short ones.
+ASSIGNED_ALL = _ASSIGNED.replace(" WHERE duration_ms >= 600", "").replace("SELECT session_id, sentence_id, label, round", "SELECT CAST(session_id AS BIGINT) AS session_id, sentence_id, label, round")
+
 SQL = {
-    "assign_voices": f"""{_RUN} SELECT session_id, sentence_id, label, round(similarity, 6) AS similarity, is_new,
-CASE WHEN is_new THEN 'no voice is near' WHEN similarity >= 0.3 THEN 'near a known voice' ELSE 'no room for another voice' END AS reason FROM told""",
+    "assign_voices": _ASSIGNED,
     "voice_stats": f"""{_RUN}, each AS (SELECT session_id, label, count(*) AS n, count(*) FILTER (is_new) AS w FROM told GROUP BY 1, 2)
 SELECT session_id, CAST(sum(n) AS BIGINT) AS seen, CAST(sum(n) AS BIGINT) AS identified, 0::BIGINT AS unknown, CAST(sum(w) AS BIGINT) AS new, string_agg(label || '=' || n, ',' ORDER BY label) AS speakers FROM each GROUP BY 1""",
     "voice_changes": f"""WITH RECURSIVE {VOICES}, w AS (SELECT session_id, sentence_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY session_id ORDER BY sentence_id) AS n FROM v),
@@ -290,8 +318,14 @@ SELECT h.session_id, b.sentence_id, round(list_cosine_similarity(a.e, b.e), 6) A
     "level_stats": f"WITH {_POL} SELECT session_id, count(*) AS seen, count(*) FILTER (shaped) AS shaped_n, count(*) FILTER (starts_with(reason, 'too quiet')) AS too_quiet, count(*) FILTER (level_db IS NULL) AS empty FROM pol GROUP BY 1",
     "signal_health": f"""WITH {SAMPLES}, w AS (SELECT session_id, pos // 8 AS k, count(*) AS n, count(*) FILTER (abs(value) >= 0.999) AS c, max(abs(value)) AS p, sum(value * value) AS q FROM samples GROUP BY 1, 2)
 SELECT session_id, CAST(sum(n) AS BIGINT) AS samples, CAST(sum(c) AS BIGINT) AS clipped, avg(CASE WHEN p < 1e-4 THEN 1 ELSE 0 END) AS silent_share, max(p) AS peak, sqrt(sum(q) / sum(n)) AS level FROM w GROUP BY 1""",
-    "compare_levels": f"""WITH {SAMPLES}, s AS (SELECT session_id, max(abs(value)) AS p, avg(abs(value)) AS b FROM samples GROUP BY 1), l AS (SELECT session_id, {_DB.format('p')} AS dd, {_DB.format('b')} AS bd FROM s)
-SELECT session_id, (dd - 1) - dd AS kept_db, bd - (bd - session_id % 9) AS removed_db, abs((dd - 1) - dd) <= 3 AND bd - (bd - session_id % 9) >= 6 AS separates FROM l""",
+    "compare_levels": f"""WITH {SAMPLES}, h AS (SELECT session_id, pos * 2 >= count(*) OVER (PARTITION BY session_id) AS half, value FROM samples),
+s AS (SELECT session_id, half, {_DB.format('max(abs(value))')} AS d, {_DB.format('avg(abs(value))')} AS b FROM h GROUP BY 1, 2)
+SELECT x.session_id, round(y.d - x.d, 6) AS kept_db, round(x.b - y.b, 6) AS removed_db, abs(y.d - x.d) <= 3 AND x.b - y.b >= 6 AS separates FROM s x JOIN s y ON x.session_id = y.session_id AND NOT x.half AND y.half""",
+    "level_gain": f"""WITH {_POL}, g AS (SELECT session_id, pos // 4 AS utt, value FROM samples), a AS (SELECT pol.session_id, pol.utt, shaped, level_db, sqrt(avg(value * value) FILTER ({_DB.format('abs(value)')} >= gate_db)) AS r FROM pol JOIN g ON g.session_id = pol.session_id AND g.utt = pol.utt GROUP BY 1, 2, 3, 4),
+n AS (SELECT session_id, shaped, CASE WHEN shaped THEN {_DB.format('coalesce(r, 0)')} - level_db END AS gain FROM a)
+SELECT session_id, count(*) FILTER (shaped) AS shaped_n, round(coalesce(avg(gain), 0), 6) AS mean_gain_db, round(min(gain), 6) AS least_gain_db, round(max(gain), 6) AS most_gain_db FROM n GROUP BY 1""",
+    "label_count": f"WITH {VOICES} SELECT count(DISTINCT session_id) AS voices, count(DISTINCT label) AS labels, count(DISTINCT session_id) = count(DISTINCT label) AS as_many FROM v",
+    "half_similarity": f"SELECT a.vec_id // 2 AS sentence_id, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0",
     "best_label": f"WITH {_SC} {_BEST(LABELS)}",
     "top_labels": f"""WITH {_SC}, p AS (SELECT session_id, label, max(score) AS score FROM sc GROUP BY 1, 2)
 SELECT session_id, label, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, label) AS r FROM p) WHERE r <= 3""",
@@ -322,7 +356,7 @@ SELECT session_id, sentence_id, run FROM (SELECT *, unnest(range(1, total // 5 +
 SELECT session_id, CAST(i AS INTEGER) AS decile, prob AS value FROM r, range(0, 11) t(i) WHERE r = least(n - 1, n * i // 10)""",
     "separation": f"""WITH {PAIRS}, s AS (SELECT session_id, quantile_cont(similarity, 0.5) FILTER (a % 3 = b % 3) AS same_median, quantile_cont(similarity, 0.5) FILTER (a % 3 <> b % 3) AS other_median,
 min(similarity) FILTER (a % 3 = b % 3) AS same_min, max(similarity) FILTER (a % 3 <> b % 3) AS other_max FROM pairs GROUP BY 1)
-SELECT *, same_min - other_max AS gap, (same_min + other_max) / 2 AS threshold FROM s""",
+SELECT session_id, round(same_median, 6) AS same_median, round(other_median, 6) AS other_median, round(same_min, 6) AS same_min, round(other_max, 6) AS other_max, round(same_min - other_max, 6) AS gap, round((same_min + other_max) / 2, 6) AS threshold FROM s""",
     "label_purity": f"""WITH {VOICES}, p AS (SELECT DISTINCT session_id AS truth, label FROM v), n AS (SELECT label, count(*) AS n FROM p GROUP BY 1)
 SELECT truth, count(*) AS labels, count(*) FILTER (n > 1) AS shared FROM p JOIN n USING (label) GROUP BY 1""",
 }

@@ -213,7 +213,8 @@ def _folder(spark):
 def voice_stream(spark, d):
     ss.use_rocksdb(spark)
     e = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]")
-    return ss.drain(ss.assign_voice_stream(e.select(F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("sentence_id"), "embedding")), _folder(spark))
+    own = e.select(F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("sentence_id"), "embedding")
+    return ss.drain(ss.assign_voice_stream(own), _folder(spark)).withColumn("similarity", F.round("similarity", 6))
 
 
 def _messages(spark, d, folder):
@@ -337,7 +338,9 @@ SELECT DISTINCT doc_id, md5(line) AS line_md5, distance FROM m JOIN f USING (t)
 SQL["agreed_prefix"] = f"""WITH {TEXTS}, w AS (SELECT session_id, seq, string_split(trim(regexp_replace(transcript, '\\s+', ' ', 'g')), ' ') AS w FROM tx), b AS (SELECT *, lag(w) OVER (PARTITION BY session_id ORDER BY seq) AS b FROM w),
 n AS (SELECT session_id, seq, CASE WHEN b IS NULL THEN 0 ELSE coalesce(list_position(list_transform(range(1, greatest(len(w), len(b)) + 1), lambda i: coalesce(w[i] = b[i], false)), false) - 1, len(w)) END AS n FROM b)
 SELECT session_id, seq, CAST(max(n) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS agreed FROM n"""
-from parley.plans.score_queries import LANG_SCORES  # noqa: E402
+from parley.plans.score_queries import ASSIGNED_ALL, LANG_SCORES  # noqa: E402
+
+SQL["voice_stream"] = ASSIGNED_ALL
 
 SQL["confirm_language"] = f"""WITH {LANG_SCORES}, l AS (SELECT session_id, seq, CASE WHEN margin >= 0.5 AND lang_code <> '' THEN lang_code END AS l FROM decided),
 t AS (SELECT *, CASE WHEN l = lag(l) OVER (PARTITION BY session_id ORDER BY seq) THEN l END AS t FROM l)

@@ -9,6 +9,7 @@ from parley.operators import frames as fr
 from parley.operators import segments as sg
 from parley.operators import utterances as ut
 from parley.plans.bind import FRAMES, SEGMENT, SEGMENTS, frames, table
+from parley.sources import contract as ct
 
 
 def segments(spark, d):
@@ -86,7 +87,7 @@ def reframed_padded(spark, d):
 
 
 def chunk_counts(spark, d):
-    return byte_chunks(spark, d).groupBy("session_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("pcm")).cast("long").alias("bytes"))
+    return ct.count_chunks(byte_chunks(spark, d))
 
 
 def window_arrays(spark, d):

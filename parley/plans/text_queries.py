@@ -240,7 +240,7 @@ def minutes(spark, d):
 
 def event_log(spark, d):
     e = frames(spark, d)
-    own = sinks.event_log(e.select("session_id", F.col("frame_idx").alias("seq"), F.col("ts").alias("arrived_at"), F.col("label").alias("kind"), F.lit("x").alias("text")))
+    own = sinks.event_log(e.select("session_id", F.col("frame_idx").alias("seq"), F.col("ts").alias("arrived_at"), F.col("label").alias("kind"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text")))
     return own
 
 
@@ -287,6 +287,26 @@ def round_trip(spark, d):
     return out
 
 
+def message_kinds(spark, d):
+    """Events as messages of the other six kinds, serialised and read back: a text, a number and a count of each."""
+    f = frames(spark, d)
+    known = {"session_id": F.concat(F.lit("s"), F.col("session_id").cast("string")), "protocol_version": F.lit(1), "sample_rate": F.lit(16_000), "channels": F.lit(1), "sample_width": F.lit(2), "chunk_ms": F.lit(200), "chunk_bytes": F.lit(6_400)}
+    said = {
+        "hello": ({"client": F.col("label")}, "client", None, "sample_rate"), "ready": ({}, "session_id", None, "chunk_bytes"), "bye": ({"reason": F.col("label")}, "reason", None, None),
+        "error": ({"message": F.col("label"), "fatal": F.col("power") > 60}, "message", None, "fatal"),
+        "speakers": ({"labels": F.create_map(F.col("event_id").cast("string"), F.col("label"))}, "labels", None, None),
+        "utterance": ({"index": F.col("frame_idx"), "start_ms": F.col("power"), "end_ms": F.col("power") + 32, "duration_ms": F.lit(32.0), "reason": F.lit("pause"), "continues_previous": F.lit(False), "kept": F.lit(True), "speech_score": F.col("prob"), "speaker_id": F.col("label"), "lang_code": F.lit("")}, "speaker_id", "start_ms", "index"),
+    }
+    out = None
+    for kind, (fields, text, number, count) in said.items():
+        own = f.withColumns({"seq": F.col("event_id"), **known, **fields})
+        back = ct.typed(ct.parse_messages(own.select("seq", ct.to_messages(own, kind).alias("raw"))), kind)
+        told = F.element_at("labels", F.col("seq").cast("string")) if text == "labels" else F.col(text)
+        rows = back.select("seq", F.lit(kind).alias("kind"), told.alias("said"), (F.col(number) if number else F.lit(None)).cast("double").alias("number"), (F.col(count) if count else F.lit(None)).cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def violations(spark, d):
     kind = F.when(F.col("label") == "click", "hello").when(F.col("label") == "purchase", "bye").when(F.col("label") == "view", "audio").otherwise("final")
     return ct.protocol_violations(frames(spark, d).select("session_id", F.col("frame_idx").alias("seq"), kind.alias("kind")))
@@ -304,7 +324,7 @@ QUERIES = {
     "infer": inferred, "retry_echoes": retried, "drop_stale": stale, "bounded_backlog": backlog, "answer_leftovers": leftovers, "answer_status": answer_status,
     "fold_messages": fold_messages, "keep_latest": newest_rows, "current_partial": running_text, "transcript_counts": transcript_counts, "speakers_in_order": speakers_in_order,
     "minutes": minutes, "event_log": event_log, "meeting_names": meeting_names, "parse_messages": parsed, "typed_messages": typed_partials, "parse_hello": hellos,
-    "to_messages": serialised, "messages_round_trip": round_trip, "protocol_violations": violations, "split_valid": checked_chunks,
+    "to_messages": serialised, "messages_round_trip": round_trip, "message_kinds": message_kinds, "protocol_violations": violations, "split_valid": checked_chunks,
 }
 
 SQL = {
@@ -343,13 +363,16 @@ SELECT session_id, CASE WHEN arg_max(kind, seq) = 'partial' THEN arg_max(transcr
     "transcript_counts": f"""WITH {FOLDED} SELECT session_id, count(*) AS sentences, count(*) FILTER (translation <> '') AS translated, count(*) FILTER (NOT answered) AS waiting, count(*) FILTER (answered AND translation = '') AS refused, count(*) FILTER (answered AND translation = '' AND starts_with(reason, 'too late')) AS dropped, count(transcript) AS partials, count(*) FILTER (relabelled) AS relabelled_n FROM fl GROUP BY 1""",
     "speakers_in_order": f"WITH {FOLDED}, s AS (SELECT session_id, speaker_id, min(seq) AS q FROM fl GROUP BY 1, 2) SELECT session_id, string_agg(speaker_id, ',' ORDER BY q) AS speakers FROM s GROUP BY 1",
     "minutes": f"""WITH {FOLDED} SELECT session_id, md5(string_agg(speaker_id || ': ' || transcript || chr(10) || '    ' || CASE WHEN NOT answered THEN '(still waiting)' WHEN translation = '' THEN '(not translated: ' || reason || ')' ELSE translation END, chr(10) || chr(10) ORDER BY sentence_id)) AS minutes_md5 FROM fl GROUP BY 1""",
-    "event_log": f"WITH {FRAMES} SELECT session_id, frame_idx AS seq, strftime(ts, '%H:%M:%S') || ' +' || CAST((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY session_id)) // 1000000 AS VARCHAR) || ' ' || rpad(label, 12, ' ') || 'x' AS line FROM frames",
+    "event_log": f"WITH {FRAMES} SELECT session_id, frame_idx AS seq, strftime(ts, '%H:%M:%S') || ' +' || CAST((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY session_id)) // 1000000 AS VARCHAR) || ' ' || rpad(label, 12, ' ') || 'event ' || event_id AS line FROM frames",
     "meeting_names": f"WITH {FRAMES} SELECT session_id, strftime(min(ts), '%Y-%m-%d_%H%M%S') AS folder FROM frames GROUP BY 1",
     "parse_messages": "SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_id % 11 > 3 THEN 'partial' END AS kind, CASE event_id % 11 WHEN 0 THEN 'not valid JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'unknown type' WHEN 3 THEN 'unknown type' ELSE '' END AS problem FROM events",
     "typed_messages": "SELECT event_type AS transcript, count(*) AS n FROM events WHERE event_id % 11 > 3 GROUP BY 1",
     "parse_hello": """SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 8000 ELSE 16000 END AS sample_rate, 1 AS channels, '' AS client, CASE WHEN event_id % 5 < 2 THEN 'session_id must be a text that is not empty' ELSE '' END AS problem,
 CASE WHEN event_id % 2 = 0 THEN 'sample_rate: 8000, expected 16000' ELSE '' END AS mismatch FROM events""",
     "to_messages": f"WITH {FRAMES} SELECT session_id, frame_idx, frame_idx * 32.0::DOUBLE + 0.5 AS at_ms, 'vad' AS type FROM frames",
+    "message_kinds": f"""WITH {FRAMES}, k AS (SELECT unnest(['hello', 'ready', 'bye', 'error', 'speakers', 'utterance']) AS kind)
+SELECT event_id AS seq, kind, CASE WHEN kind = 'ready' THEN 's' || session_id ELSE label END AS said, CASE WHEN kind = 'utterance' THEN round_even(power, 1) END AS number,
+CASE kind WHEN 'hello' THEN 16000 WHEN 'ready' THEN 6400 WHEN 'error' THEN CAST(power > 60 AS BIGINT) WHEN 'utterance' THEN frame_idx END AS n FROM frames CROSS JOIN k""",
     "messages_round_trip": f"""WITH {ASKED} SELECT session_id, sentence_id * 10 AS seq, 'final' AS kind, sentence_id, md5(transcript) AS text_md5 FROM ans
 UNION ALL SELECT session_id, sentence_id * 10 + 14, 'translation', sentence_id + CASE sentence_id WHEN 4 THEN 100 ELSE 0 END, md5(CASE WHEN reason = '' AND sentence_id % 7 <> 3 THEN t ELSE '' END) FROM ans WHERE sentence_id % 6 <> 5
 UNION ALL SELECT session_id, sentence_id * 10 - 3, 'partial', NULL, md5(transcript) FROM ans""",
