@@ -38,17 +38,22 @@ def session_summary(finals: DataFrame, answers: DataFrame, utterances: DataFrame
     return out.fillna(0, [c for c in out.columns if c != key])
 
 
+def _exact_sum(c: str) -> Column:
+    """The sum of doubles by their decimals, 12 places of them, so that it does not depend on the order of the rows and equal sums are equal."""
+    return F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
+
+
 def stage_cost(timings: DataFrame, key: str = "session_id") -> DataFrame:
     """(session, stage, seconds, share, rank): seconds of each stage and their share of the audio."""
-    each = timings.groupBy(key, "stage").agg(F.sum("seconds").alias("seconds"), F.sum("audio_seconds").alias("_a"))
+    each = timings.groupBy(key, "stage").agg(_exact_sum("seconds").alias("seconds"), _exact_sum("audio_seconds").alias("_a"))
     by = W.partitionBy(key).orderBy(F.desc("seconds"), "stage")
     return each.select(key, "stage", "seconds", (F.col("seconds") / F.max("_a").over(W.partitionBy(key))).alias("share"), F.row_number().over(by).alias("rank"))
 
 
 def slow_items(timings: DataFrame, keys: list[str], limit_s: float = DEFAULTS.slow_s) -> DataFrame:
     """(keys, total, worst, breakdown): items that took limit_s or more, their slowest stage and all stages."""
-    each = timings.groupBy(*keys, "stage").agg(F.sum("seconds").alias("s"))
-    out = each.groupBy(*keys).agg(F.sum("s").alias("total"), F.max(F.struct("s", "stage")).alias("w"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias("breakdown"))
+    each = timings.groupBy(*keys, "stage").agg(_exact_sum("seconds").alias("s"))
+    out = each.groupBy(*keys).agg(_exact_sum("s").alias("total"), F.max(F.struct("s", "stage")).alias("w"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias("breakdown"))
     return out.where(F.col("total") >= limit_s).select(*keys, "total", F.col("w.stage").alias("worst"), "breakdown")
 
 

@@ -266,3 +266,12 @@ def test_drift(spark):
     assert {r.id: (r.letters_apart, r.repeats) for r in dr.text_artifacts(art, ["id"]).collect()} == {1: (True, 0), 2: (False, 3)}
     near = dr.near_block_list(spark.createDataFrame([(1, "Thank you for watchin"), (2, "thank you for watching!"), (3, "nothing alike")], "id long, transcript string"), spark.createDataFrame([("Thank you for watching",)], "line string"), ["id"])
     assert [r.id for r in near.collect()] == [1]
+
+
+def test_sums_of_stages_do_not_depend_on_the_order(spark):
+    """0.1 + 0.2 and 0.3 are equal, and 0.1 + 0.2 + 0.7 is 1, whatever doubles make of it one by one."""
+    rows = [(1, 1, "b", 0.1), (1, 1, "b", 0.2), (1, 1, "a", 0.3), (2, 1, "a", 0.7), (2, 1, "a", 0.1), (2, 1, "a", 0.2)]
+    for own in (rows, rows[::-1]):
+        t = spark.createDataFrame(own, "session_id long, item_id long, stage string, seconds double").coalesce(1).withColumn("audio_seconds", F.lit(0.1))
+        assert {(r.session_id, r.stage, r.seconds, r["rank"]) for r in ql.stage_cost(t).collect()} == {(1, "a", 0.3, 1), (1, "b", 0.3, 2), (2, "a", 1.0, 1)}
+        assert [(r.session_id, r.total) for r in ql.slow_items(t, ["session_id", "item_id"], 1.0).collect()] == [(2, 1.0)]
