@@ -26,6 +26,14 @@ MAX_DEPTH = 12
 LEAF = 64
 
 
+def _majority(h: np.ndarray) -> bytes:
+    """8 bytes of the bits that are set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        votes += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(h)).tobytes()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
     """(doc_id, fp): fp is a binary of 8 * lanes bytes, 64 bits a lane.
 
@@ -53,11 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame
                 h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
                 fp = b""
                 for i in range(lanes):
-                    own = mix(h + salts[i]) if i else h
-                    votes = np.zeros(64, np.int64)
-                    for at in range(0, n, 4096):
-                        votes += np.unpackbits(own[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                    fp += np.packbits(2 * votes > n).tobytes()
+                    fp += _majority(mix(h + salts[i]) if i else h)
                 out.append(fp)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
 
@@ -203,7 +207,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, **tree) -
     return own.join(named.join(heads, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicates: sets of 5-word shingles at a Jaccard similarity of 0.8, told exactly. Candidates share one of 20
+#: Near-duplicates: sets of 5-word shingles at a Jaccard similarity of 0.8, told exactly. Candidates have SimHash fingerprints of these sets
+#: that links of 3 bits or fewer join, by the trees above, or, as fingerprints of pairs at 0.8 are farther apart, share one of 20
 #: bands of 4 MinHash values: a pair at 0.8 is missed with (1 - 0.8 ** 4) ** 20 = 0.003 %.
 STAGE = {"shingle": 5, "similarity": 0.8, "bands": 20, "rows": 4}
 
@@ -227,7 +232,7 @@ def _set_keys(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _set_rows(shingle: int, bands: int, rows_: int):
-    """(doc_id, short, key, buckets) of each document."""
+    """(doc_id, short, key, fp, buckets) of each document; fp is the SimHash of its set."""
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -236,7 +241,9 @@ def _set_rows(shingle: int, bands: int, rows_: int):
                 key, n = _set_keys(sets, ends), rows.num_rows
                 bucket = bucket_hashes(signatures(sets, np.repeat(np.arange(n), np.diff(ends)), n, bands * rows_), bands, rows_)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(bucket.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(key[:, 0].view(np.int64)), binary(key), lists], names=["doc_id", "short", "key", "buckets"])
+                mixed = mix(sets)
+                fp = pa.array([_majority(mixed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(key[:, 0].view(np.int64)), binary(key), fp, lists], names=["doc_id", "short", "key", "fp", "buckets"])
 
     return run
 
@@ -285,9 +292,12 @@ def similar_documents(docs: DataFrame, shingle: int, similarity: float, bands: i
     whatever their number, through one row per distinct set. Rows of null doc_id are left out.
     """
     own = docs.select("doc_id", "text").where("doc_id is not null")
-    sets = cut(own.mapInArrow(_set_rows(shingle, bands, rows), "doc_id long, short long, key binary, buckets array<long>"))
-    first = cut(sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("short").alias("short"), F.first("buckets").alias("buckets")))
-    member = bucket_links.members(first)
+    sets = cut(own.mapInArrow(_set_rows(shingle, bands, rows), "doc_id long, short long, key binary, fp binary, buckets array<long>"))
+    first = cut(sets.groupBy("key").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("short", "fp", "buckets"))))
+    # sets whose fingerprints the trees join meet in a bucket of their own
+    joined = connected_components(links(cut(first.select("fp").distinct()))).withColumnRenamed("node", "fp").withColumnRenamed("component", "_f")
+    buckets = F.concat("buckets", F.array(F.xxhash64(F.lit("fingerprint"), F.coalesce("_f", "fp"))))
+    member = bucket_links.members(first.join(joined, "fp", "left").select("short", buckets.alias("buckets")))
     asked = first.join(member.select("short").distinct(), "short", "left_semi").select(F.col("first").alias("doc_id")).distinct()
     # a doc_id with several texts brings all their sets; one row a set stays
     text = cut(own.join(asked, "doc_id", "left_semi").select("text").mapInArrow(_set_texts(shingle), "short long, key binary, text binary").dropDuplicates(["key"]))

@@ -65,3 +65,14 @@ def test_family_of_lines_against_all_pairs(spark):
     gone = {r.doc_id for r in line_dedup.repeated_lines(docs).collect()}
     assert len(set(want.values())) > 1
     assert gone == {i for i, c in want.items() if i != c}
+
+
+def test_fingerprints_bring_documents_together(spark):
+    """One word in 4,000 changed: a single band of 1,024 values joins few such pairs, their SimHash fingerprints nearly all."""
+    rng, rows = random.Random(9), []
+    for i in range(20):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(changed(ws, [2000], "odd")))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8, bands=1, rows=1024).collect()
+    assert sum(r.component_id == r.doc_id - 1 for r in got if r.doc_id % 2) >= 17
+    assert all(r.component_id in (r.doc_id, r.doc_id - r.doc_id % 2) for r in got)
