@@ -19,6 +19,22 @@ FILES, SLOTS = 3, 12
 SPEECH = SEGMENT | {"limit": 8, "search": 3, "every_ms": 60, "chunk_ms": 32}
 
 
+#: Rows of a part of a feed from which it is written as a file for each core; bytes of a part of the chunks of texts, about.
+ROWS, PART_BYTES = 10_000, 512_000_000
+
+
+def write_parts(spark, rows, parts, folder):
+    """How many files each part is: rows with _file, one part after the other, under folder, so that as many files a trigger are one part."""
+    held = {r[0]: r[1] for r in rows.groupBy("_file").count().collect()}
+    n = spark.sparkContext.defaultParallelism if min(held.get(i, 0) for i in range(parts)) >= ROWS else 1
+    for i in range(parts):
+        part = rows.where(F.col("_file") == i).drop("_file")
+        (part.repartition(n) if n > 1 else part.coalesce(1)).write.mode("append").parquet(folder)
+    if n > 1 and len(spark.read.parquet(folder).inputFiles()) != n * parts:
+        raise RuntimeError("a part of the feed has other than its number of files")
+    return n
+
+
 def feed(spark, rows, folder):
     """(stream, late) of rows with ts: written as files in order of arrival, where rows of a slot may come with the next one.
 
@@ -33,9 +49,9 @@ def feed(spark, rows, folder):
     ends = rows.select("session_id").distinct().select("session_id", last.alias("ts"), F.lit(True).alias("ended"), F.lit(FILES - 1).alias("_file"))
     clock = spark.range(1).select(F.timestamp_micros(F.lit(span[1] + 2 * wide)).alias("ts"), F.lit(True).alias("ended"), F.lit(FILES).alias("_file"))
     both = own.withColumn("ended", F.lit(False)).unionByName(ends, allowMissingColumns=True).unionByName(clock, allowMissingColumns=True)
-    for i in range(FILES + 1):
-        both.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/feed")
-    stream = spark.readStream.schema(both.drop("_file").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    n = write_parts(spark, both.where(F.col("_file") < FILES), FILES, f"{folder}/feed")
+    both.where(F.col("_file") == FILES).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(both.drop("_file").schema).option("maxFilesPerTrigger", n).parquet(f"{folder}/feed")
     return stream, f"{wide // 1000 + 1} milliseconds"
 
 
@@ -67,15 +83,15 @@ def running_text(spark, d):
 
 
 def frame_stream(spark, d):
-    """Texts of documents as chunks, in three files; what a chunk leaves of a frame is carried on."""
+    """Texts of documents as chunks, in three parts or more, by their bytes; what a chunk leaves of a frame is carried on."""
     ss.use_rocksdb(spark)
     folder = _folder(spark)
     chunks = sq.byte_chunks(spark, d)
-    top = chunks.agg(F.max("seq")).first()[0] or 0
-    for i in range(FILES):
-        part = F.least(F.floor(F.col("seq") * FILES / (top + 1)), F.lit(FILES - 1)) == i
-        chunks.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/feed")
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed")
+    top, size = chunks.agg(F.max("seq"), F.sum(F.octet_length("pcm"))).first()
+    parts = max(FILES, -(-(size or 0) // PART_BYTES))
+    own = chunks.withColumn("_file", F.least(F.floor(F.col("seq") * parts / ((top or 0) + 1)), F.lit(parts - 1)))
+    n = write_parts(spark, own, parts, f"{folder}/feed")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", n).parquet(f"{folder}/feed")
     return ss.drain(live.frame_stream(stream), folder).select("session_id", "frame_idx", F.md5("pcm").alias("pcm_md5"))
 
 

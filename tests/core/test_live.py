@@ -194,3 +194,14 @@ def test_voices_of_a_long_session_in_order_and_pairs_by_tiles(spark):
         pairs = {(r.session_id, r.a, r.b): r.similarity for r in vc.pairwise(df, tile=64, least=least).collect()}
         assert pairs == pytest.approx({k: v for k, v in want.items() if least is None or v >= least})
     assert vc.newest_voices(df, keep=10).groupBy("session_id").count().where("count > 10").count() == 0
+
+
+def test_parts_of_a_feed_are_files_for_all_cores(spark):
+    """A large part is as many files as there are cores, which are one batch; small ones are one file each."""
+    n = spark.sparkContext.defaultParallelism
+    for rows, want in ((3 * lq.ROWS, n), (30, 1)):
+        own = folder()
+        made = spark.range(rows).select("id", (F.col("id") % 3).alias("_file"))
+        assert lq.write_parts(spark, made, 3, f"{own}/feed") == want
+        files = spark.read.parquet(f"{own}/feed").groupBy(F.input_file_name().alias("f")).agg(F.countDistinct(F.col("id") % 3).alias("k")).collect()
+        assert len(files) == 3 * want and all(r.k == 1 for r in files)
