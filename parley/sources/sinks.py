@@ -38,12 +38,21 @@ def upsert_transcript(spark: SparkSession, path: str, keys: tuple = ("session_id
     """A foreachBatch function that keeps the row of the largest order per key in a table of hash buckets.
 
     A batch writes only the buckets that it touches, each whole, under data/batch=N/bucket=K, and then a manifest that says for every
-    bucket which batch holds it now. Manifests take turns in two places, so the one before is there until the new one is complete, and a
+    bucket which batch holds it now. The rows of a batch are worked out once, and held on disk and in memory until it is written. Manifests take turns in two places, so the one before is there until the new one is complete, and a
     batch that is repeated finds what it found and writes the same again. A batch reads one manifest and the buckets it touches, and a reader
     one version of each bucket, however many batches there have been; expire_versions removes the others.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            held = put(new, batch_id)
+        finally:
+            new.unpersist()
+        # one row for each bucket
+        rows = [(batch_id, k, b) for k, b in held.items()] or [(batch_id, None, None)]
+        spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch_id % 2}")
+
+    def put(own: DataFrame, batch_id: int) -> dict[int, int]:
         touched = [r.bucket for r in own.select("bucket").distinct().collect()]
         held = _manifest(spark, path, batch_id)
         old = _buckets(spark, path, {k: b for k, b in held.items() if k in touched})
@@ -52,10 +61,7 @@ def upsert_transcript(spark: SparkSession, path: str, keys: tuple = ("session_id
         if touched:
             best = own.groupBy("bucket", *keys).agg(F.max_by(F.struct(*(c for c in own.columns if c not in (*keys, "bucket"))), order).alias("r"))
             best.select("bucket", *keys, "r.*").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={batch_id}")
-        held |= dict.fromkeys(touched, batch_id)
-        # one row for each bucket
-        rows = [(batch_id, k, b) for k, b in held.items()] or [(batch_id, None, None)]
-        spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch_id % 2}")
+        return held | dict.fromkeys(touched, batch_id)
 
     return write
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -17,13 +17,13 @@ OUTCOMES = "session_id long, sentence_id long, reason string"
 EVICTED, ENDED = "evicted: too many waiting", "the session ended first"
 
 
-def _text(x):
-    return None if x is None or x is pd.NA or x != x else x
+_CHANGE = Row(*(c.split()[0] for c in CHANGES.split(", ")))
 
 
 class TranscriptFold(StatefulProcessor):
     """The state of one session: a map of its newest sentences, read and written by the ones that a batch names, and their ids in order of
-    appearance."""
+    appearance. Without a time to live the ids tell what the map holds, so that it is not asked for others: each question is a call to the
+    state store's process, and a session has few rows in a batch, as plain rows that need no frame of their own."""
 
     def __init__(self, keep: int, ttl_ms: int | None):
         self.keep, self.ttl_ms = keep, ttl_ms
@@ -32,26 +32,29 @@ class TranscriptFold(StatefulProcessor):
         self.known = handle.getMapState("sentences", "sentence_id long", _ROW, self.ttl_ms)
         self.line = handle.getListState("line", "sentence_id long", self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values("seq", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        part = sorted(rows, key=lambda m: (m.seq is None, m.seq or 0))
         # what the batch has read or changed; None stands for an id that is not known, or no more
         now, changed, gone = {}, {}, set()
-        line, ended = [s for (s,) in self.line.get()] if self.line.exists() else [], False
-        before = list(line)
+        line, ended = [s for (s,) in self.line.get()], False
+        before, held = list(line), set(line)
+
+        def holds(sid):
+            return sid in held if self.ttl_ms is None else self.known.containsKey((sid,))
 
         def row(sid):
             if sid not in now:
-                now[sid] = list(self.known.getValue((sid,))) if not ended and self.known.containsKey((sid,)) else None
+                now[sid] = list(self.known.getValue((sid,))) if not ended and holds(sid) else None
             return now[sid]
 
         def told(sid, version):
             r = now[sid]
             # as in the batch form: a relabelling from or to a null speaker is none
             moved = r[2] is not None and r[3] is not None and r[2] != r[3]
-            return (key[0], sid, version, r[0], *r[3:], moved)
+            return _CHANGE(key[0], sid, version, r[0], *r[3:], moved)
 
         out = []
-        for m in part.itertuples():
+        for m in part:
             if m.kind == "bye":
                 out += [told(sid, version) for sid, version in changed.items()]
                 now, changed, gone, line, ended = {}, {}, set(), [], True
@@ -62,17 +65,17 @@ class TranscriptFold(StatefulProcessor):
                         one = now[int(sid)]
                         one[3], changed[int(sid)] = one[2] if label is None else label, m.seq
                 continue
-            if m.kind not in ("final", "translation") or pd.isna(m.sentence_id):
+            if m.kind not in ("final", "translation") or m.sentence_id is None:
                 continue
-            sid = int(m.sentence_id)
+            sid = m.sentence_id
             old = row(sid)
             if m.kind == "final":
                 rest = old[6:] if old else [None, None, None, False]
-                now[sid] = [m.seq, old[1] if old else m.seq, _text(m.speaker_id), _text(m.speaker_id), _text(m.lang_code), _text(m.transcript), *rest]
+                now[sid] = [m.seq, old[1] if old else m.seq, m.speaker_id, m.speaker_id, m.lang_code, m.transcript, *rest]
                 if old is None:
                     line.append(sid)
             elif old is not None:
-                old[6:] = [_text(m.translation), _text(m.reason), _text(m.raw), True]
+                old[6:] = [m.translation, m.reason, m.raw, True]
             else:
                 continue
             changed[sid] = m.seq
@@ -90,12 +93,11 @@ class TranscriptFold(StatefulProcessor):
             self.known.updateValue((sid,), tuple(now[sid]))
             out.append(told(sid, version))
         for sid in gone if not ended else ():
-            if self.known.containsKey((sid,)):
+            if holds(sid):
                 self.known.removeKey((sid,))
         if line and (ended or line != before):
             self.line.put([(s,) for s in line])
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -116,7 +118,7 @@ def fold_stream(messages: DataFrame, keep: int = DEFAULTS.rows_kept, ttl_ms: int
         raise ValueError("keep must be 1 or more")
     own = messages.select("session_id", "seq", "kind", "sentence_id", "speaker_id", "lang_code", "transcript", "translation", "reason", "raw", "labels")
     mode = "None" if ttl_ms is None else "ProcessingTime"
-    return own.groupBy("session_id").transformWithStateInPandas(TranscriptFold(keep, ttl_ms), StructType.fromDDL(CHANGES), "Append", mode)
+    return own.groupBy("session_id").transformWithState(TranscriptFold(keep, ttl_ms), StructType.fromDDL(CHANGES), "Append", mode)
 
 
 class Backlog(StatefulProcessor):
