@@ -73,3 +73,10 @@ def test_the_state_is_asked_only_for_what_it_holds():
     out = list(fold.handleInputRows((1,), iter([message(50, "translation", 2, translation="x"), message(51, "translation", 0, translation="y")]), None))
     assert [(r.sentence_id, r.translation, r.transcript, r.answered) for r in out] == [(2, "x", "t2", True)]
     assert states.calls == ["get", "getValue", "updateValue"]
+
+
+def test_a_log_judges_its_turns_in_one_pass(spark):
+    from parley.plans import text_queries as tq
+
+    log = tq.message_log(spark, "/root/testdata/sf0.001")
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
