@@ -80,3 +80,24 @@ def test_a_log_judges_its_turns_in_one_pass(spark):
 
     log = tq.message_log(spark, "/root/testdata/sf0.001")
     assert log._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_edits_after_what_two_texts_begin_with_alike(spark):
+    from parley.operators import drift as dr
+
+    texts = ["", "a", "ab", "abc", "axc", "b", "ba", "a😀bc", "a😀xc", "😀", "phở bò", "phở gà ngon", "kitten", "sitting", "ab\ncd", "ab\nd", None]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = pairs.select("a", "b", dr.edits(F.col("a"), F.col("b")).alias("got"), F.levenshtein("a", "b").alias("want")).collect()
+    assert len(rows) == len(texts) ** 2 and [r for r in rows if r.got != r.want] == []
+
+
+def test_running_text_that_only_grew_needs_no_table_of_its_characters(spark):
+    import time
+
+    from parley.operators import drift as dr
+
+    long = "lời nói " * 50_000
+    rows = spark.createDataFrame([(1, 0, False, long[:100_000]), (1, 1, True, long), (1, 2, False, long[:300_000]), (1, 3, True, long)], "session_id long, seq long, is_final boolean, transcript string")
+    at = time.time()
+    got = [(r.seq, r.rewritten) for r in dr.far_from_partial(rows).select("seq", "rewritten").collect()]
+    assert got == [(1, 0.75)] and time.time() - at < 60
