@@ -101,3 +101,9 @@ def test_running_text_that_only_grew_needs_no_table_of_its_characters(spark):
     at = time.time()
     got = [(r.seq, r.rewritten) for r in dr.far_from_partial(rows).select("seq", "rewritten").collect()]
     assert got == [(1, 0.75)] and time.time() - at < 60
+
+
+def test_running_and_committed_texts_come_from_one_scan(spark):
+    from parley.plans import session_queries as sq
+
+    assert sq.texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
