@@ -107,3 +107,16 @@ def test_running_and_committed_texts_come_from_one_scan(spark):
     from parley.plans import session_queries as sq
 
     assert sq.texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_spaced_form_by_translation(spark):
+    import random
+
+    from parley.functions import text as tx
+
+    marks, draw = tx._SPACES + tx._MARKS, random.Random(5)
+    texts = ["", " ", "  ", " , ", "a b c", "a  b", "a,b", ",", "é、 x", "😀 -- 😀 ", None] + ["".join(draw.choice(draw.choice((marks, "  aZ0é語​_&^"))) for _ in range(draw.randrange(30))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.norm_spaced(F.col("t")).alias("got"), F.lower(F.trim(F.regexp_replace("t", f"[{tx.BLANKS}{tx.MARKS}]+", " "))).alias("want")).collect()
+    assert len(rows) == len(texts) and [r for r in rows if r.got != r.want] == []
+    # no class of many ranges goes over every character
+    assert tx.BLANKS not in str(tx.norm_spaced(F.col("t")))
