@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.llm.common import connected_components, cut
+from parley.llm.textblocks import mix
 
 #: Members of a bucket whose pairs are listed; larger buckets go through prefixes.
 FEW = 16
@@ -28,7 +30,7 @@ def _order():
 
 
 def _shared(batches):
-    """(bucket, part, short, first) of the rows (bucket, short) whose bucket the row before or behind has too; rows come sorted.
+    """(bucket, part, short, first) of the rows (bucket, short) whose bucket the row before or behind has too; rows come sorted by bucket.
 
     first: the first short of the bucket, and of each of its parts. Only the last row is held, however long a bucket is.
     """
@@ -59,13 +61,45 @@ def _shared(batches):
             yield out(([b], [p // PART], [f], [f]))
 
 
+def _folded(batches):
+    """The rows of _shared(), where a bucket of one part has its name from its members and the smallest of them as its first.
+
+    So buckets of the same members are equal rows. The last bucket is held, up to a part of it: what is held beyond that has a row
+    of a later part, and neither it nor the rest is renamed.
+    """
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        cols = held if batch is None else [np.asarray(x) for x in batch.columns] if held is None else [np.r_[h, x] for h, x in zip(held, batch.columns, strict=True)]
+        if cols is None or not len(cols[0]):
+            continue
+        # firsts of later parts stand at the end of a batch
+        order = np.argsort(cols[0], kind="stable")
+        bucket, part, short, first = (x[order] for x in cols)
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        to = len(bucket) if batch is None or len(bucket) - start[-1] > PART else start[-1]
+        held = None if to == len(bucket) else [x[to:] for x in (bucket, part, short, first)]
+        bucket, part, short, first, start = bucket[:to], part[:to], short[:to], first[:to], start[start < to]
+        if not to:
+            continue
+        size = np.diff(np.r_[start, to])
+        # two sums of hashes of the members, whatever their order; where names of two sets met, their members would meet too
+        one, two = (np.add.reduceat(mix(short.view(np.uint64) * np.uint64(x)), start) for x in (1, 3))
+        named = np.repeat(np.maximum.reduceat(part, start) == 0, size)
+        bucket = np.where(named, np.repeat(mix(mix(one) + two + size.astype(np.uint64)).view(np.int64), size), bucket)
+        first = np.where(named, np.repeat(np.minimum.reduceat(short, start), size), first)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, part, short, first)], names=["bucket", "part", "short", "first"])
+
+
 def members(rows: DataFrame) -> DataFrame:
     """(bucket, part, short, first) of buckets (short, buckets) that hold more than one short, written once.
 
-    One shuffle of numbers; a bucket streams through its task in an order of its own, and rows that are alone end there.
+    One shuffle of numbers; a bucket streams through its task, and rows that are alone end there. Of buckets with the same
+    members, which near texts share by the band, one stays: the others would have the same pairs.
     """
-    dealt = rows.select(F.explode("buckets").alias("bucket"), "short").repartition("bucket").sortWithinPartitions("bucket", _order())
-    return cut(dealt.mapInArrow(_shared, "bucket long, part long, short long, first long"))
+    # one sort column, a number: Spark's radix sort
+    dealt = rows.select(F.explode("buckets").alias("bucket"), "short").repartition("bucket").sortWithinPartitions("bucket")
+    # written before rows are folded: the parts of a large bucket follow the order in which its rows came
+    return cut(cut(dealt.mapInArrow(lambda batches: _folded(_shared(batches)), "bucket long, part long, short long, first long")).distinct())
 
 
 def _alike(words: np.ndarray, begin: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:

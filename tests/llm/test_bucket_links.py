@@ -16,6 +16,38 @@ def test_parts_share_their_first():
     assert sorted(got) == sorted(want)
 
 
+def test_buckets_of_the_same_members_are_one(spark):
+    """Each set of members stays once, in its parts; no bucket loses a member where batches end."""
+    rng = random.Random(5)
+    sets = {b: tuple(rng.sample(range(40), rng.choice([1, 2, 2, 3, 7]))) for b in range(3000)} | {b: tuple(range(100, 100 + n)) for b, n in ((3000, 2048), (3001, 2048), (3002, 2049), (3003, 9001), (3004, 4096))}
+    buckets = {}
+    for b, shorts in sets.items():
+        for s in shorts:
+            buckets.setdefault(s, []).append(b)
+    rows = spark.createDataFrame(list(buckets.items()), "short long, buckets array<long>").repartition(3)
+    got = {}
+    for r in bucket_links.members(rows).collect():
+        got.setdefault(r.bucket, []).append((r.part, r.short, r.first))
+    told = sorted(tuple(sorted({s for _, s, _ in x})) for x in got.values())
+    assert told == sorted({tuple(sorted(x)) for x in sets.values() if len(x) > 1})
+    for x in got.values():
+        parts = {}
+        for p, s, f in x:
+            parts.setdefault(p, []).append(s)
+        firsts = {f for _, _, f in x}
+        assert len(firsts) == 1 and all(firsts <= set(m) and len(set(m)) == len(m) <= 2049 for m in parts.values())
+        assert len(x) == len({s for _, s, _ in x}) + len(parts) - 1
+    # batches of any length
+    flat = sorted((b, s) for b, x in sets.items() for s in x)
+    for n in (1, 2, 7, 700):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat[i : i + n], strict=True)], names=["bucket", "short"]) for i in range(0, len(flat), n)]
+        rows = [tuple(r.values()) for b in bucket_links._folded(bucket_links._shared(iter(batches))) for r in b.to_pylist()]
+        whole = {}
+        for b, _, s, _ in rows:
+            whole.setdefault(b, set()).add(s)
+        assert sorted(map(sorted, whole.values())) == sorted(map(sorted, {frozenset(x) for x in sets.values() if len(x) > 1}))
+
+
 def test_groups_are_solved_or_left():
     rng = random.Random(1)
     texts, group = [], []
