@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import bucket_links
 from parley.llm.common import connected_components, cut, table
-from parley.llm.textblocks import BYTE, SPACE, chunks, joined, mix, ranges
+from parley.llm.textblocks import SPACE, chunks, joined, mix, ranges
 
 #: Characters of a shingle.
 SHINGLE = 8
@@ -20,6 +20,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 #: Bytes of text that are shingled at a time, so that the arrays stay in a core's cache.
 BLOCK = 200_000
+#: Codes of characters of one byte.
+CODE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,15 +34,20 @@ def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _characters(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, start, stop) with characters of UTF-8 instead of bytes; a code is a hash of a character's bytes."""
+    """(codes, start, stop) with characters of UTF-8 instead of bytes; a code is a hash of a character's bytes.
+
+    A character has one code, whatever stands beside it: lines of different blocks meet by their shingles.
+    """
     if not len(data) or data.max() < 0x80:
-        return BYTE[data], start, stop
+        return CODE[data], start, stop
     leads = np.flatnonzero(data & 0xC0 != 0x80)
-    number = np.r_[0, np.cumsum(data & 0xC0 != 0x80)]
+    code = CODE[data[leads]]
     size = np.minimum(np.diff(np.r_[leads, len(data)]), 4)
+    more = np.flatnonzero(size > 1)
     four = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(4, np.uint8)]), 4)
-    code = four[leads].view("<u4")[:, 0].astype(np.uint64) & ((np.uint64(1) << (8 * size).astype(np.uint64)) - np.uint64(1))
-    return mix(code + np.uint64(1)), number[start], number[stop]
+    word = four[leads[more]].view("<u4")[:, 0].astype(np.uint64) & ((np.uint64(1) << (8 * size[more]).astype(np.uint64)) - np.uint64(1))
+    code[more] = mix(word + np.uint64(1))
+    return code, np.searchsorted(leads, start), np.searchsorted(leads, stop)
 
 
 def _inside(start: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
@@ -92,8 +99,14 @@ def bucket_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _blank(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    seen = np.r_[0, np.cumsum(~SPACE[data])]
-    return seen[stop] == seen[start]
+    blank = start == stop
+    open_ = np.flatnonzero(~blank)
+    # only lines that begin with a space are looked at as a whole
+    open_ = open_[SPACE[data[start[open_]]]]
+    if len(open_):
+        seen = np.r_[0, np.cumsum(~SPACE[data])]
+        blank[open_] = seen[stop[open_]] == seen[start[open_]]
+    return blank
 
 
 def _keys(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[bytes]:

@@ -82,3 +82,20 @@ def test_shingle_hashes_tell_characters_apart():
         for j, b in enumerate(lines):
             x, y = ({s[k : k + 8] for k in range(max(1, len(s) - 7))} for s in (a, b))
             assert len(told[i] & told[j]) == len(x & y)
+
+
+def test_buckets_do_not_depend_on_other_lines(spark):
+    """A line has the same buckets in a block of plain characters and beside others, so near lines meet from both."""
+    line = "a plain line of about sixty characters, which stands in two blocks"
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"])
+    plain, mixed = (next(line_dedup._lines(8, 10, 4)(iter([batch(t)]))).to_pylist()[0] for t in (line, line + "\nγραμμή"))
+    assert plain == mixed
+    docs = spark.createDataFrame([(1, line), (2, f"{line}!\nγραμμή")], "doc_id long, text string").repartition(2, "doc_id")
+    assert [(r.doc_id, r.gone) for r in line_dedup.repeated_lines(docs).collect()] == [(2, [0])]
+
+
+def test_blank_lines_are_told():
+    lines = ["", " ", " a", "a ", "\t \r", "\u00a0", "b", " ", ""]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    _, start, stop = line_dedup.line_bounds(data, np.array([0, len(data)]))
+    assert [bool(x) for x in line_dedup._blank(data, start, stop)] == [not x.strip(" \t\r") for x in lines]
