@@ -43,9 +43,21 @@ def _exact_sum(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
 
 
-def stage_cost(timings: DataFrame, key: str = "session_id") -> DataFrame:
-    """(session, stage, seconds, share, rank): seconds of each stage and their share of the audio."""
-    each = timings.groupBy(key, "stage").agg(_exact_sum("seconds").alias("seconds"), _exact_sum("audio_seconds").alias("_a"))
+def _summed(rows: DataFrame, keys: list[str], order: str | None, **values: str) -> DataFrame:
+    """(keys, the named sums, and _at, the least order): added up as doubles, row by row in that order, as SQL adds rows that come so; by decimals without one."""
+    if order is None:
+        return rows.groupBy(*keys).agg(*(_exact_sum(c).alias(n) for n, c in values.items()))
+    by = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    run = rows.select(*keys, order, *(F.sum(c).over(by).alias(n) for n, c in values.items()))
+    return run.groupBy(*keys).agg(F.min(order).alias("_at"), *(F.max_by(n, order).alias(n) for n in values))
+
+
+def stage_cost(timings: DataFrame, key: str = "session_id", order: str | None = None) -> DataFrame:
+    """(session, stage, seconds, share, rank): seconds of each stage and their share of the audio.
+
+    order, unique in a session, says in what order doubles are added up; without it they are summed by decimals.
+    """
+    each = _summed(timings, [key, "stage"], order, seconds="seconds", _a="audio_seconds")
     by = W.partitionBy(key).orderBy(F.desc("seconds"), "stage")
     return each.select(key, "stage", "seconds", (F.col("seconds") / F.max("_a").over(W.partitionBy(key))).alias("share"), F.row_number().over(by).alias("rank"))
 
