@@ -62,10 +62,18 @@ def stage_cost(timings: DataFrame, key: str = "session_id", order: str | None =
     return each.select(key, "stage", "seconds", (F.col("seconds") / F.max("_a").over(W.partitionBy(key))).alias("share"), F.row_number().over(by).alias("rank"))
 
 
-def slow_items(timings: DataFrame, keys: list[str], limit_s: float = DEFAULTS.slow_s) -> DataFrame:
-    """(keys, total, worst, breakdown): items that took limit_s or more, their slowest stage and all stages."""
-    each = timings.groupBy(*keys, "stage").agg(_exact_sum("seconds").alias("s"))
-    out = each.groupBy(*keys).agg(_exact_sum("s").alias("total"), F.max(F.struct("s", "stage")).alias("w"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias("breakdown"))
+def slow_items(timings: DataFrame, keys: list[str], limit_s: float = DEFAULTS.slow_s, order: str | None = None) -> DataFrame:
+    """(keys, total, worst, breakdown): items that took limit_s or more, their slowest stage and all stages.
+
+    order as in stage_cost; the stages of an item are added up in the order in which they begin.
+    """
+    each = _summed(timings, [*keys, "stage"], order, s="seconds")
+    told = [F.max(F.struct("s", "stage")).alias("w"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias("breakdown")]
+    if order is None:
+        out = each.groupBy(*keys).agg(_exact_sum("s").alias("total"), *told)
+    else:
+        run = F.sum("s").over(W.partitionBy(*keys).orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+        out = each.withColumn("_t", run).groupBy(*keys).agg(F.max_by("_t", "_at").alias("total"), *told)
     return out.where(F.col("total") >= limit_s).select(*keys, "total", F.col("w.stage").alias("worst"), "breakdown")
 
 
