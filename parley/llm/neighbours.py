@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +17,11 @@ PIVOT_SAMPLE = 2048
 PIVOTS = 512
 #: Places of a vector's permutation that are posted: it stands in the inverted files of so many pivots.
 PREFIX = 32
-#: Rows of a block of the index, and of queries, that one task holds at a time.
+#: Rows of a block of the index, and of queries.
 BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Blocks of the index, and of queries, that meet in one task at most: 32 MB of each, for vectors of 64 components.
+TILE, QUERY_TILE = 8, 64
 #: Share of a block that is ranked best by footrule distance and then reranked.
 RERANK = 0.2
 
@@ -65,12 +69,22 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
+def _first(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, nearest first, ties to the smaller id."""
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+    top = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) < k
+    return query[top], vec[top], score[top]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = RERANK, pivots: int = PIVOTS, prefix: int = PREFIX, seed: int = 7) -> DataFrame:
     """The k nearest found of every query: (query_id, rank, vec_id, score).
 
     vectors, queries: vec_id, embedding of the same length; other columns are ignored. Every vector is
     indexed: its pivots in order of nearness (prefix of them) are posted in the inverted files of
-    its block. A query meets every block, the stated queries against all rows; the files of its own pivots give the footrule
+    its block. A query meets every block, the stated queries against all rows: tiles of a few blocks of either side meet in a task, so
+    that what a task and a batch hold stays the same as the tables grow. The files of a query's own pivots give the footrule
     distance of its permutation to a block's rows, and only the best share rerank of them is compared as vectors, by
     exact cosine. Pivots are a seeded sample of at most
     PIVOT_SAMPLE rows. Nearest first, ties to the smaller vec_id; a row of the query's own
@@ -100,44 +114,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: float = R
         dealt = df.where(F.size("e") == dim).distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
         return dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, raw binary"), n
 
-    def compare(batches):
-        for b in batches:
-            for qi, qr, xi, xr in zip(*(b.column(i) for i in range(4)), strict=True):
-                q_ids, x_ids = np.frombuffer(qi.as_py(), "<i8"), np.frombuffer(xi.as_py(), "<i8")
-                q_raw, x_raw = qr.as_py(), xr.as_py()
-                q, x = np.frombuffer(q_raw, "<f8").reshape(-1, dim), np.frombuffer(x_raw, "<f8").reshape(-1, dim)
-                uq, ux = _unit(q_raw, dim), _unit(x_raw, dim)
-                posted, keep = _files(_ranks(ux, points, prefix), prefix), min(len(x), max(2 * k + 1, int(np.ceil(rerank * len(x)))))
-                for at in range(0, len(q), 256):
-                    part = uq[at : at + 256]
-                    near = _nearness(_files(_ranks(part, points, prefix), prefix), posted, len(part), len(x), prefix)
-                    out_q, out_x = [], []
-                    for i, own in enumerate(near):
-                        # the rows that share the nearest pivots: these alone are compared as vectors
-                        few = np.argpartition(own, len(x) - keep)[len(x) - keep :]
-                        few = few[x_ids[few] != q_ids[at + i]]
-                        dots = ux[few] @ part[i]
-                        # all that may be among the k best, rounding and ties included
-                        best = min(k, len(few))
-                        hit = few[dots >= np.partition(dots, len(few) - best)[len(few) - best] - 1e-9] if best else few
-                        out_q.append(np.full(len(hit), at + i))
-                        out_x.append(hit)
-                    i, j = np.concatenate(out_q), np.concatenate(out_x)
-                    score = _cosine(q[i], x[j]) if len(i) else np.zeros(0)
-                    order = np.lexsort((x_ids[j], -score, i))
-                    i, j, score = i[order], j[order], score[order]
-                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype=int)
-                    place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-                    top = place < k
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(x_ids[j[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
-
+    def found_in(q_ids: np.ndarray, q_raw: bytes, x_ids: np.ndarray, x_raw: bytes, posted: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query_id, vec_id, score): the k nearest found in a block of the index, of some queries at a time."""
+        q, x = np.frombuffer(q_raw, "<f8").reshape(-1, dim), np.frombuffer(x_raw, "<f8").reshape(-1, dim)
+        uq, ux = _unit(q_raw, dim), _unit(x_raw, dim)
+        keep = min(len(x), max(2 * k + 1, int(np.ceil(rerank * len(x)))))
+        for at in range(0, len(q), 256):
+            part = uq[at : at + 256]
+            near = _nearness(_files(_ranks(part, points, prefix), prefix), posted, len(part), len(x), prefix)
+            out_q, out_x = [], []
+            for i, own in enumerate(near):
+                # the rows that share the nearest pivots: these alone are compared as vectors
+                few = np.argpartition(own, len(x) - keep)[len(x) - keep :]
+                few = few[x_ids[few] != q_ids[at + i]]
+                dots = ux[few] @ part[i]
+                # all that may be among the k best, rounding and ties included
+                best = min(k, len(few))
+                hit = few[dots >= np.partition(dots, len(few) - best)[len(few) - best] - 1e-9] if best else few
+                out_q.append(np.full(len(hit), at + i))
+                out_x.append(hit)
+            i, j = np.concatenate(out_q), np.concatenate(out_x)
+            yield _first(q_ids[i], x_ids[j], _cosine(q[i], x[j]) if len(i) else np.zeros(0), k)
+
+    def compare(ask: pa.Table, index: pa.Table) -> pa.Table:
+        """One tile of queries against one of the index, block by block."""
+        best = {}
+        for xi, xr in zip(index["ids"], index["raw"], strict=True):
+            x_ids, x_raw = np.frombuffer(xi.as_py(), "<i8"), xr.as_py()
+            posted = _files(_ranks(_unit(x_raw, dim), points, prefix), prefix)
+            for n, (qi, qr) in enumerate(zip(ask["ids"], ask["raw"], strict=True)):
+                parts = [best[n]] if n in best else []
+                parts += found_in(np.frombuffer(qi.as_py(), "<i8"), qr.as_py(), x_ids, x_raw, posted)
+                best[n] = _first(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+        columns = [np.concatenate(c) for c in zip(*best.values(), strict=True)] if best else [np.zeros(0, "<i8"), np.zeros(0, "<i8"), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
+
+    def tiled(df: DataFrame, name: str, per: int) -> tuple[DataFrame, int]:
+        """Blocks with the number of their tile, and the number of tiles."""
+        df = cut(df)
+        n = (df.agg(F.max("block")).first()[0] or 0) // per + 1
+        return df.withColumn(name, F.pmod("block", F.lit(n))), n
+
+    # the stated query set against all rows: every tile of queries is sent to every tile of the index, and the other way round
     index, n = blocks(own, BLOCK, own.count())
     ask, _ = blocks(asked, QUERY_BLOCK, asked.count())
-    # the stated query set against all rows, in blocks: each block of queries is sent to every block of the index
-    ask = cut(ask.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw")))
-    sent = ask.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    met = sent.join(cut(index).select("block", F.col("ids").alias("x_ids"), F.col("raw").alias("x_raw")), "block")
-    found = met.select("q_ids", "q_raw", "x_ids", "x_raw").mapInArrow(compare, schema)
+    # few blocks are still dealt to all cores
+    index, x_tiles = tiled(index, "x_tile", max(1, min(TILE, n // (4 * own.sparkSession.sparkContext.defaultParallelism))))
+    ask, q_tiles = tiled(ask, "q_tile", QUERY_TILE)
+    every = lambda name, many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias(name)
+    sent = ask.select("ids", "raw", "q_tile", every("x_tile", x_tiles)).groupBy("q_tile", "x_tile")
+    found = sent.cogroup(index.select("ids", "raw", every("q_tile", q_tiles), "x_tile").groupBy("q_tile", "x_tile")).applyInArrow(compare, schema)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

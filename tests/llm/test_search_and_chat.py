@@ -74,3 +74,22 @@ def test_query_reads_back(spark, tmp_path):
     assert (out[1].n_turns, out[1].loss_sha256) == (4, sha("<s>x<s>x"))
     assert out[1].turns_sha256 == sha("system\ns\nuser\n\nassistant\n<s>x\nassistant\n<s>x\n")
     assert out[2].turns_sha256 == sha("\nz\n")
+
+
+def test_blocks_of_queries_and_index_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v, ids = rng.normal(size=(700, 8)), np.arange(700)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    for name, n in {"BLOCK": 32, "QUERY_BLOCK": 8, "TILE": 3, "QUERY_TILE": 2}.items():
+        monkeypatch.setattr(neighbours, name, n)
+    # all of a block is reranked, so that the nearest of all rows have to come out
+    out = neighbours.search(df, df.where("vec_id % 10 = 0"), rerank=1.0)
+    # the blocks of queries, once for each block of the index, were a broadcast
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.rank): r.vec_id for r in out.collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 700, 10):
+        near = [int(j) for j in np.argsort(-(unit @ unit[i]), kind="stable") if j != i][:5]
+        want |= {(i, rank): j for rank, j in enumerate(near, 1)}
+    assert got == want
