@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from parley.config import DEFAULTS
 from parley.operators.voices import Matcher, assignment_reason
-from parley.streaming.ordering import InOrder, in_order
+from parley.streaming.ordering import InOrder, States, in_order
 
 EVENTS = "session_id long, kind string, frame long"
 
@@ -20,18 +20,18 @@ EVENTS = "session_id long, kind string, frame long"
 class Hysteresis(InOrder):
     """The state of one session: run lengths, whether a segment is open, the last closing frame, and the next frame."""
 
-    fields = "prob double, ended boolean"
+    fields, schema = "prob double, ended boolean", EVENTS
 
     def __init__(self, threshold: float, neg: float, n_open: int, n_close: int, pad: int):
         self.threshold, self.neg, self.n_open, self.n_close, self.pad = threshold, neg, n_open, n_close, pad
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "high long, low long, open boolean, closed long, next long")
+    def start(self, states: States) -> None:
+        self.state = states.getValueState("run", "high long, low long, open boolean, closed long, next long")
 
-    def late(self, key, n: int) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"session_id": key[0], "kind": ["late"], "frame": [n]})
+    def late(self, key, n: int) -> Iterator[list[tuple]]:
+        yield [(key[0], "late", n)]
 
-    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def take(self, key, rows: list[tuple]) -> Iterator[list[tuple]]:
         high, low, is_open, closed, nxt = self.state.get() if self.state.exists() else (0, 0, False, 0, 0)
         out = []
         for prob, ended in rows:
@@ -52,8 +52,7 @@ class Hysteresis(InOrder):
             self.state.clear()
         else:
             self.state.update((high, low, is_open, closed, nxt))
-        if out:
-            yield pd.DataFrame({"session_id": key[0], "kind": [k for k, _ in out], "frame": [f for _, f in out]})
+        yield [(key[0], *told) for told in out]
 
 
 def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames, ts: str | None = None, late: str | None = None) -> DataFrame:
@@ -66,7 +65,7 @@ def segment_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg
     """
     if neg > threshold:
         raise ValueError("neg must not be above threshold")
-    return in_order(frames, Hysteresis(threshold, neg, n_open, n_close, pad), EVENTS, ts, late)
+    return in_order(frames, Hysteresis(threshold, neg, n_open, n_close, pad), ts, late)
 
 
 class VoiceMatcher(StatefulProcessor):

@@ -5,24 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
 
 from parley.config import DEFAULTS
 from parley.operators.utterances import tail_window
-from parley.streaming.ordering import InOrder, in_order
+from parley.streaming.ordering import InOrder, States, in_order
 
 FRAMES = "session_id long, frame_idx long, pcm binary"
 SPOKEN = "session_id long, kind string, idx long, tick int, start_ms double, end_ms double, reason string, continues_previous boolean"
 
 
-def rows_of(schema: str, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-    if rows:
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-
 class FrameCutter(InOrder):
     """The state of one session: the bytes of its unfinished frame, fewer than a frame, and the number of the next one."""
 
@@ -31,10 +24,10 @@ class FrameCutter(InOrder):
     def __init__(self, frame_bytes: int, pad_tail: bool, key_type: str):
         self.frame_bytes, self.pad_tail, self.schema = frame_bytes, pad_tail, FRAMES.replace("session_id long", f"session_id {key_type}")
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "pcm binary, next long")
+    def start(self, states: States) -> None:
+        self.rest = states.getValueState("rest", "pcm binary, next long")
 
-    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def take(self, key, rows: list[tuple]) -> Iterator[list[tuple]]:
         rest, nxt = self.rest.get() if self.rest.exists() else (b"", 0)
         held, out, ended = bytearray(rest), [], False
         for pcm, end in rows:
@@ -53,7 +46,7 @@ class FrameCutter(InOrder):
             self.rest.clear()
         else:
             self.rest.update((bytes(held), nxt))
-        yield from rows_of(self.schema, out)
+        yield out
 
 
 def frame_stream(chunks: DataFrame, frame_bytes: int = 1024, pad_tail: bool = False, ts: str | None = None, late: str | None = None) -> DataFrame:
@@ -64,27 +57,27 @@ def frame_stream(chunks: DataFrame, frame_bytes: int = 1024, pad_tail: bool = Fa
     """
     own = chunks if "ended" in chunks.columns else chunks.withColumn("ended", F.lit(False))
     cutter = FrameCutter(frame_bytes, pad_tail, dict(chunks.dtypes)["session_id"])
-    return in_order(own, cutter, cutter.schema, ts, late)
+    return in_order(own, cutter, ts, late)
 
 
 class Speech(InOrder):
     """The state of one session: run lengths of the hysteresis, the powers of the last frames before a segment, and those of the open
     utterance, which is cut at the length limit, so that neither grows with the session."""
 
-    fields = "prob double, power double, ended boolean"
+    fields, schema = "prob double, power double, ended boolean", SPOKEN
 
     def __init__(self, threshold: float, neg: float, n_open: int, n_close: int, pad: int, limit: int, search: int, frame_ms: float, step_ms: float):
         self.threshold, self.neg, self.n_open, self.n_close, self.pad = threshold, neg, n_open, n_close, pad
         self.limit, self.search, self.frame_ms, self.step_ms = limit, search, frame_ms, step_ms
 
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "high long, low long, open boolean, closed long, next long, before array<double>, start long, idx long, continues boolean, ticks long")
-        self.power = handle.getListState("power", "power double")
+    def start(self, states: States) -> None:
+        self.run = states.getValueState("run", "high long, low long, open boolean, closed long, next long, before array<double>, start long, idx long, continues boolean, ticks long")
+        self.power = states.getListState("power", "power double")
 
-    def late(self, key, n: int) -> Iterator[pd.DataFrame]:
-        yield from rows_of(SPOKEN, [(key[0], "late", None, n, None, None, None, None)])
+    def late(self, key, n: int) -> Iterator[list[tuple]]:
+        yield [(key[0], "late", None, n, None, None, None, None)]
 
-    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def take(self, key, rows: list[tuple]) -> Iterator[list[tuple]]:
         high, low, is_open, closed, nxt, before, start, idx, continues, ticks = self.run.get() if self.run.exists() else (0, 0, False, 0, 0, [], 0, 0, False, 0)
         before = list(before)
         power = [p for (p,) in self.power.get()] if is_open and self.power.exists() else []
@@ -140,7 +133,7 @@ class Speech(InOrder):
                 self.power.put([(p,) for p in power])
             else:
                 self.power.clear()
-        yield from rows_of(SPOKEN, out)
+        yield out
 
 
 def speech_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg: float = DEFAULTS.neg_threshold, n_open: int = DEFAULTS.open_frames, n_close: int = DEFAULTS.close_frames, pad: int = DEFAULTS.pad_frames, limit: int = 218, search: int = 15, frame_ms: float = DEFAULTS.frame_ms, every_ms: int = DEFAULTS.partial_every_ms, chunk_ms: int = DEFAULTS.chunk_ms, ts: str | None = None, late: str | None = None) -> DataFrame:
@@ -157,7 +150,7 @@ def speech_stream(frames: DataFrame, threshold: float = DEFAULTS.threshold, neg:
         raise ValueError("neg must not be above threshold")
     own = frames if "ended" in frames.columns else frames.withColumn("ended", F.lit(False))
     step = -(-every_ms // chunk_ms) * chunk_ms
-    return in_order(own, Speech(threshold, neg, n_open, n_close, pad, limit, search, float(frame_ms), float(step)), SPOKEN, ts, late)
+    return in_order(own, Speech(threshold, neg, n_open, n_close, pad, limit, search, float(frame_ms), float(step)), ts, late)
 
 
 def spoken(events: DataFrame) -> DataFrame:
